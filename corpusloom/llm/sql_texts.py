@@ -27,3 +27,18 @@ SELECT doc_id, size, source_size, target,
     < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source
 """
+
+OP8 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), joined AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+    sum(length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g')) + length(url_encode(role)) + 15)::BIGINT AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM joined
+"""
