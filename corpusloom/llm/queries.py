@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, chat, minhash, mixing, sql_texts
+from corpusloom.llm import bpe, chat, minhash, mixing, quality, sql_texts
 from corpusloom.session import prepare, table
 
 
@@ -30,6 +30,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return {name: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir)) for name, f in found.items()}
