@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, chat, minhash, mixing, quality, sql_texts
+from corpusloom.llm import bpe, chat, line_dedup, minhash, mixing, quality, sql_texts
 from corpusloom.session import prepare, table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = line_dedup.mark_lines(spark, table(spark, sf_dir, "documents"))
+    gone = F.coalesce("chunks", F.array().cast("array<struct<start:int,stop:int,ch:bigint,first:boolean,w:bigint>>"))
+    lines = F.coalesce(F.size(F.split("row.text", "\n")), F.lit(0))
+    return marked.select(
+        F.col("row.doc_id").alias("doc_id"), lines.cast("long").alias("n_lines"),
+        F.aggregate(gone, F.lit(0).cast("long"), lambda n, c: n + c["stop"] - c["start"] + 1).alias("n_removed_lines"),
+        F.aggregate(gone, F.lit(0).cast("long"), lambda n, c: n + c["w"]).alias("n_removed_words"),
+        F.transform(gone, lambda c: F.struct(c["start"].alias("first_line"), c["stop"].alias("last_line"))).alias("removed"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
