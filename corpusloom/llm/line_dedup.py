@@ -1,9 +1,9 @@
 """Line dedup by content-defined chunks, with DataFrame expressions only.
 
-Every line with a word gets a 64-bit hash; a rolling hash runs over windows of line hashes. A chunk ends where the
-rolling hash of three lines is 0 modulo ``divisor``, and where the hash of two neighbouring lines occurs only once in
-the corpus; both depend on the lines alone, so an insertion or a shift moves no boundary beyond its neighbourhood, and
-a passage shared by otherwise different documents is cut out at its own ends. Chunks that occur again are compared
+Every line with a word gets a 64-bit hash; a rolling hash runs over windows of two line hashes. A boundary lies where
+the rolling hash is 0 modulo ``divisor``, and where it occurs less often in the corpus than either of its two lines.
+Both depend on the two lines alone, so an insertion or a shift moves no other boundary, and a passage shared by
+otherwise different documents is cut out at its own ends: the lines of a chunk occur together or not at all. Chunks that occur in several documents are compared
 byte by byte with their first occurrence (smallest id, then position) and removed, where they stand in a stretch of
 repeated chunks of at least ``min_words`` words; so a short line that happens to be common stays.
 """
@@ -25,21 +25,19 @@ def _lines(text: Column) -> Column:
     return F.filter(numbered, lambda e: e["x"].rlike(WORD))
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str, divisor: int) -> DataFrame:
-    """id, th (hash of the text) and ``lines``: place, words, hash, hash of the pair with the line before, cut.
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, th (hash of the text) and ``lines``: place, words, hash, rolling hash with the line before.
 
     Rows that repeat id and text are one document from here on.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(_lines(F.col(text_col)), F.array()).alias("lines"))
     counted = F.transform("lines", lambda e: F.struct(e["i"].alias("i"), F.regexp_count(e["x"], F.lit(WORD)).alias("w"), F.xxhash64(e["x"]).alias("h")))
     plain = plain.select("id", "th", counted.alias("a"))
-    before = lambda j, k: F.get("a", j - k)["h"]
     rolled = F.transform(
         "a",
         lambda e, j: F.struct(
             j.alias("s"), e["i"].alias("i"), e["w"].alias("w"), e["h"].alias("h"),
-            F.when(j > 0, F.xxhash64(before(j, 1), e["h"])).alias("pair"),
-            ((j > 2) & (F.pmod(F.xxhash64(before(j, 3), before(j, 2), before(j, 1)), F.lit(divisor)) == 0)).alias("cut"),
+            F.when(j > 0, F.xxhash64(F.get("a", j - 1)["h"], e["h"])).alias("pair"),
         ),
     )
     return plain.select("id", "th", rolled.alias("lines")).groupBy("id", "th").agg(F.first("lines").alias("lines"))
@@ -50,21 +48,26 @@ def repeated_chunks(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
 
     A chunk is a struct of first line, last line, hash and whether it is the chunk's first occurrence.
     """
-    lines = saved(_hashed(docs, id_col, text_col, divisor), spark).select("id", "th", F.explode("lines").alias("l")).select("id", "th", "l.*")
-    often = lines.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    lines = saved(_hashed(docs, id_col, text_col), spark).select("id", "th", F.explode("lines").alias("l")).select("id", "th", "l.*")
+    often = lines.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1")
     common = saved(lines.join(often, "h"), spark)
-    pairs = common.filter("pair IS NOT NULL").groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1").select("pair", F.lit(True).alias("joined"))
+    pairs = common.filter("pair IS NOT NULL").groupBy("pair").agg(F.count("*").alias("together"))
     within = Window.partitionBy("id", "th")
     rows = common.join(pairs, "pair", "left")
-    opens = F.when(F.col("cut") | F.col("joined").isNull(), 1).otherwise(0)
-    rows = rows.withColumn("chunk", F.sum(opens).over(within.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
+    by_line = within.orderBy("s")
+    # the line before is common too, and the two always come together
+    bound = (F.lag("s").over(by_line) == F.col("s") - 1) & (F.lag("times").over(by_line) == F.col("together")) & (F.col("times") == F.col("together"))
+    opens = F.when(F.coalesce(bound, F.lit(False)) & (F.pmod("pair", F.lit(divisor)) != 0), 0).otherwise(1)
+    rows = rows.withColumn("opens", opens)
+    rows = rows.withColumn("chunk", F.sum("opens").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
     chunks = rows.groupBy("id", "th", "chunk").agg(
         F.min("s").alias("s"), F.count("*").alias("n"), F.min("i").alias("start"), F.max("i").alias("stop"), F.sum("w").alias("w"),
         F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("s", "h"))), lambda e: e["h"])).alias("ch"),
     )
     chunks = saved(chunks, spark)
     place = F.struct(F.col("id").isNull(), "id", "th", "s")
-    again = chunks.groupBy("ch", "n").agg(F.count("*").alias("places"), F.min(place).alias("least")).filter("places > 1")
+    document = F.struct(F.col("id").isNull(), "id", "th")
+    again = chunks.groupBy("ch", "n").agg(F.min(place).alias("least"), F.min(document).alias("a"), F.max(document).alias("z")).filter("a != z").drop("a", "z")
     twice = chunks.join(again, ["ch", "n"]).withColumn("first", place == F.col("least"))
     by_place = within.orderBy("s")
     gap = F.when(F.lag("s").over(by_place) + F.lag("n").over(by_place) == F.col("s"), 0).otherwise(1)
