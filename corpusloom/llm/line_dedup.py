@@ -44,7 +44,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_chunks(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, min_words: int, divisor: int) -> DataFrame:
-    """(id, th, chunks): the repeated chunks of each document that stand in stretches of ``min_words`` or more.
+    """(id, th, chunks): the repeated chunks in stretches of ``min_words`` or more, and all first occurrences.
 
     A chunk is a struct of first line, last line, hash and whether it is the chunk's first occurrence.
     """
@@ -68,11 +68,12 @@ def repeated_chunks(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     place = F.struct(F.col("id").isNull(), "id", "th", "s")
     document = F.struct(F.col("id").isNull(), "id", "th")
     again = chunks.groupBy("ch", "n").agg(F.min(place).alias("least"), F.min(document).alias("a"), F.max(document).alias("z")).filter("a != z").drop("a", "z")
-    twice = chunks.join(again, ["ch", "n"]).withColumn("first", place == F.col("least"))
+    twice = chunks.join(again, ["ch", "n"]).withColumn("first", place.eqNullSafe(F.col("least")))
     by_place = within.orderBy("s")
     gap = F.when(F.lag("s").over(by_place) + F.lag("n").over(by_place) == F.col("s"), 0).otherwise(1)
     stretches = twice.withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    stretches = stretches.withColumn("long", F.sum("w").over(Window.partitionBy("id", "th", "stretch"))).filter(F.col("long") >= min_words)
+    # first occurrences stay in, as what the others are compared with
+    stretches = stretches.withColumn("long", F.sum("w").over(Window.partitionBy("id", "th", "stretch"))).filter((F.col("long") >= min_words) | F.col("first"))
     return stretches.groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop", "ch", "first", "w")).alias("chunks"))
 
 
