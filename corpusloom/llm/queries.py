@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, chat, line_dedup, minhash, mixing, quality, sql_texts
+from corpusloom.llm import bpe, chat, licenses, line_dedup, minhash, mixing, quality, sql_texts, toxicity
 from corpusloom.session import prepare, table
 
 
@@ -23,10 +23,24 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(spark, table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda m: m["first"])).cast("long").alias("first_word"),
+        F.array_max(F.transform("base", lambda m: m["first"])).cast("long").alias("last_word"),
+        "base_labels", "labels", "score",
+    )
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.with_copies(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return taken.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
