@@ -58,8 +58,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bytes(batch.column(1))
-            sizes, digests, bands = [], [], []
             for lo, hi in grouped(texts, 1 << 18):
+                sizes, digests, bands = [], [], []
                 hashes, bound = shingles(texts[lo:hi], WIDTH)
                 full = np.flatnonzero(np.diff(bound))
                 if len(full):
@@ -75,7 +75,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     sizes.append(len(own))
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                     bands.append(rows.get(i))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "n_shingles", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "n_shingles", "digest", "bands"])
 
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col))
     return source.mapInArrow(run, "node long, n_shingles long, digest binary, bands array<long>")
@@ -94,18 +94,17 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bytes(batch.column(0))
-            sets = []
             for lo, hi in grouped(texts):
                 hashes, bound = shingles(texts[lo:hi], WIDTH)
-                sets += [np.unique(hashes[bound[i] : bound[i + 1]]).tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names=[*keep, "set"])
+                sets = [np.unique(hashes[bound[i] : bound[i + 1]]).tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), pa.array(sets, pa.binary())], names=[*keep, "set"])
 
     source = docs.select(F.col(text_col), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[1:])
     return source.mapInArrow(run, f"{schema}, set binary")
 
 
-def linked(sets: list[np.ndarray], percent: int, room: int = 1 << 24) -> np.ndarray:
+def linked(sets: list[np.ndarray], percent: int, room: int = 1 << 22) -> np.ndarray:
     """(k, 2): which pairs of sets have 100 * intersection >= percent * union; exact.
 
     The intersections are a product of 0/1 matrices over the shingles that at least two sets hold, a slice of
@@ -127,7 +126,7 @@ def linked(sets: list[np.ndarray], percent: int, room: int = 1 << 24) -> np.ndar
         a, b = np.searchsorted(column, [lo, lo + step])
         part = np.zeros((len(sets), min(step, len(common) - lo)), np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
-        both += part @ part.T  # at most 2^24 ones a slice, exact in float32
+        both += part @ part.T  # at most 2^22 ones a slice, exact in float32
     hit = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1)
     return np.argwhere(hit)
 
@@ -189,6 +188,21 @@ def confirmed(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return sets.groupBy("unit").applyInPandas(run, "u long, v long")
 
 
+def possible(rows: DataFrame, wanted: DataFrame, column: str = "node", bits: int = 1 << 24) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``wanted``, by a bitmap of hashes.
+
+    The bitmap has ``bits`` bits (2 MB) whatever the size of either table, so it can be broadcast; a full one lets
+    every row through and only costs the test.
+    """
+    cell = F.pmod(F.xxhash64(column), F.lit(bits))
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(cell).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("_bits"))
+    at = F.bitmap_bit_position(cell)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0
+    joined = rows.withColumn("_at", F.bitmap_bucket_number(cell)).join(F.broadcast(bitmap), F.col("_at") == F.col("_bucket"))
+    return joined.filter(bit).select(*rows.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``id_col``, n_shingles, component_id, kept.
 
@@ -201,7 +215,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     classes = saved(real.groupBy("digest").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), spark)
     groups = candidate_groups(spark, classes)
     wanted = groups.join(classes.select("rep", "n").dropDuplicates(["rep"]), F.col("node") == F.col("rep")).select(F.col("component").alias("grp"), "node", "n")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(saved(wanted, spark), "node")
+    wanted = saved(wanted, spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    texts = possible(texts, wanted).join(wanted, "node")
     # the sets stay beside the text's own partition; only the units are shuffled
     units = block_pairs(saved(shingle_sets(texts, "node", "text", ["grp", "node", "n"]), spark), percent=percent)
     links = confirmed(units.select("unit", "node", "set"), percent)
