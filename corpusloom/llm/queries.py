@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, chat, licenses, line_dedup, minhash, mixing, quality, sql_texts, toxicity
+from corpusloom.llm import bpe, chat, embedding_dedup, licenses, line_dedup, minhash, mixing, quality, secrets, sql_texts, toxicity
 from corpusloom.session import prepare, table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "path", "line", "start", "stop", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_dedup.mark_lines(spark, table(spark, sf_dir, "documents"))
     gone = F.coalesce("chunks", F.array().cast("array<struct<start:int,stop:int,ch:bigint,first:boolean,w:bigint>>"))
@@ -46,6 +51,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.sql("SELECT -7L AS conv_id, * FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)").withColumn("text", F.lit(said))
