@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corpusloom.llm.components import components
+from corpusloom.operators.graph import components
 from corpusloom.llm.minhash import forest
 from corpusloom.session import saved
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm.components import components
+from corpusloom.operators.graph import components
 from corpusloom.llm.shingles import grouped, mixed, shingles
 from corpusloom.session import saved
 
