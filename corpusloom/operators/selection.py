@@ -47,7 +47,7 @@ def round_robin_budget(items: DataFrame, key: str, group: str, size: str, budget
     Only one row per round is summed in order, and then the rows of the one round in which the budget is reached, so no
     task orders all items.
     """
-    ranked = items.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order_key(F.col(key)), key)))
+    ranked = items.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order_key(F.col(key)), key, size)))
     rounds = ranked.groupBy("turn").agg(F.sum(size).alias("_all"))
     before = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     rounds = rounds.withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0.0))).filter(F.col("_before") < budget)
