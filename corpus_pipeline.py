@@ -33,7 +33,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of each document of the mix."""
-    return bpe.bpe_digests(prepare(spark), docs)
+    prepare(spark)
+    return bpe.bpe_digests(docs)
 
 
 STAGES = [

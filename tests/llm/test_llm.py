@@ -1,0 +1,458 @@
+"""The training-data operators against brute force, and on awkward rows."""
+
+import hashlib
+import itertools
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import Row, functions as F
+
+from corpusloom.llm import bpe, chat, embedding_dedup, licenses, line_dedup, minhash, mixing, quality, queries, secrets, sql_texts, toxicity
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, component int, row string"
+LONG = "lorem ipsum dolor " * 20_000
+
+
+def table(spark, texts, ids=None, sources=None, langs=None):
+    rows = [(i, t, s, x, None if t is None else len(t), 1, 2, "r") for i, t, s, x in zip(ids or range(len(texts)), texts, langs or itertools.cycle(["en"]), sources or itertools.cycle(["a/b"]))]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+AWKWARD = ["", None, "one", " \n\t ", "same text here five words ok", "same text here five words ok", LONG, "é" * 50]
+AWKWARD_IDS = [1, 2, None, 4, 5, 5, 7, 8]
+
+
+def awkward(spark):
+    return table(spark, AWKWARD, AWKWARD_IDS, ["a", None, "", "a", "b", "b", "a", None], ["en", None, "en", "", "en", "en", "fr", "en"])
+
+
+def documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+# byte-level BPE
+
+
+def test_bpe_matches_the_library(spark):
+    enc = bpe.encoder(public_tokenizers.path(bpe.RANK_FILE), public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab é\n\t 12.,'s<|endoftext|>漢🙂") for _ in range(rng.randrange(400))) for _ in range(80)]
+    texts += ["a" * 5000, " " * 5000, "x " * 60_000 + "\n\n y"]
+    for t in texts:
+        whole = [i for m in re.finditer(r"(?s).+", t) for i in enc.encode_ordinary(m[0])]
+        assert bpe.encode(t, enc, size=64) == whole
+        assert enc.decode_bytes(whole) == t.encode()
+
+
+def test_bpe_round_trip_on_awkward_rows(spark):
+    rows = awkward(spark)
+    encoded = bpe.bpe_encode(rows)
+    decoded = bpe.bpe_decode(encoded).collect()
+    assert sorted((bytes(r["bytes"]) for r in decoded), key=len) == sorted(((t or "").encode() for t in AWKWARD), key=len)
+    digests = bpe.bpe_digests(rows).collect()
+    assert len(digests) == len(AWKWARD)
+    assert Counter(r["decoded_sha256"] for r in digests) == Counter(hashlib.sha256((t or "").encode()).hexdigest() for t in AWKWARD)
+    assert bpe.bpe_digests(rows.limit(0)).count() == 0
+
+
+# mixing
+
+
+def water_fill(sizes, weights=(5, 2, 1), most=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    target, full, total = {}, set(), sum(sizes.values())
+    while True:
+        rest = [s for s in order if s not in full]
+        left = total - sum(most * sizes[s] for s in full)
+        target = {s: most * sizes[s] if s in full else left * w[s] / sum(w[x] for x in rest) for s in order}
+        over = {s for s in rest if target[s] > most * sizes[s] + 1e-9}
+        if not over:
+            return target
+        full |= over
+
+
+def test_mixing_targets_and_copies(spark):
+    rng = random.Random(4)
+    sources = [None, "s1", "s2", "s3", "s4", "é"]
+    texts = ["w " * rng.randrange(1, 60) for _ in range(900)]
+    where = [sources[min(5, int(rng.expovariate(1)))] for _ in texts]
+    rows = mixing.with_copies(spark, table(spark, texts, sources=where)).collect()
+    sizes = Counter()
+    for t, s in zip(texts, where):
+        sizes[s] += len(t.split())
+    expected = water_fill(sizes)
+    taken = Counter()
+    for r in rows:
+        assert r["target"] == pytest.approx(expected[r["source"]])
+        assert 0 <= r["copies"] <= 3
+        taken[r["source"]] += r["size"] * r["copies"]
+    for s in sizes:
+        assert taken[s] == pytest.approx(expected[s], rel=0.25, abs=120)
+    again = mixing.with_copies(spark, table(spark, texts, sources=where)).collect()
+    assert sorted((r["row"]["doc_id"], r["copies"]) for r in rows) == sorted((r["row"]["doc_id"], r["copies"]) for r in again)
+
+
+def test_mixing_awkward(spark):
+    assert len(mixing.with_copies(spark, awkward(spark)).collect()) == len(AWKWARD)
+    out = mixing.mix(spark, awkward(spark))
+    assert out.columns == awkward(spark).columns
+    assert mixing.mix(spark, awkward(spark).limit(0)).count() == 0
+    assert mixing.mix(spark, table(spark, ["", None])).count() == 0
+
+
+# chat
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(6)
+    parts = ["<turn user>", "</turn>", "<\\turn", "<\\\\/turn>", "\\", "\n", "### Assistant:", "ok", "<", "turn"]
+    rows = [(c, t, rng.choice(["user", "assistant", None, "sy st>em"]), rng.choice([None, "", *["".join(rng.choices(parts, k=5)) for _ in range(9)]])) for c in [1, 2, 3, None] for t in [0, 1, 1, 5, None]]
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    for c in [1, 2, 3, None]:
+        turns = sorted((r for r in rows if r[0] == c), key=key)
+        assert got[c]["texts"] == [r[3] or "" for r in turns]
+        assert got[c]["roles"] == [r[2] or "" for r in turns]
+        assert got[c]["learned"] == "".join(r[3] or "" for r in turns if r[2] == "assistant")
+
+
+def test_chat_trees_choose_the_best_branch(spark):
+    rows = [("c", 1, None, "user", "q", 1.0), ("c", 2, 1, "assistant", "bad", 0.0), ("c", 3, 1, "assistant", "good", 5.0), ("c", 4, 3, "user", "more", 5.0), ("c", 5, 99, "user", "orphan", 0.0)]
+    nodes = spark.createDataFrame(rows, "conv_id string, node long, parent long, role string, text string, score double")
+    paths = chat.chosen_paths(spark, nodes, top=2)
+    got = sorted((r["branch"], r["position"], r["node"]) for r in paths.collect())
+    assert got == [(1, 0, 1), (1, 1, 3), (1, 2, 4), (2, 0, 1), (2, 1, 2)]
+    loop = spark.createDataFrame([("c", 1, 2, "user", "", 0.0), ("c", 2, 1, "user", "", 0.0)], nodes.schema)
+    with pytest.raises(ValueError, match="cycle"):
+        chat.jump_tables(spark, loop, most=4)
+    assert chat.format_conversations(spark, spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# near-duplicates
+
+
+def brute_components(texts):
+    sets = {}
+    for i, t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    seen = defaultdict(list)
+    for i, s in sets.items():
+        for j, n in Counter(j for x in s for j in seen[x]).items():
+            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+        for x in s:
+            seen[x].append(i)
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_minhash_equals_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(6):
+        base = rng.choices(words, k=rng.randrange(30, 120))
+        for _ in range(60):
+            own = list(base)
+            for _ in range(rng.randrange(5)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own))
+    texts += ["a b", "A  B", "a", "", None, "a b c"]
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(spark, table(spark, texts)).collect()}
+    for i, (n, c) in brute_components(list(enumerate(texts))).items():
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, c, c == i)
+
+
+def test_minhash_large_group_in_blocks(spark):
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(600):
+        own = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            own[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, table(spark, texts)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts))).items()}
+
+
+def test_minhash_awkward(spark):
+    rows = minhash.near_duplicates(spark, awkward(spark)).collect()
+    assert len(rows) == len(AWKWARD)
+    assert all(r["kept"] for r in rows if r["doc_id"] is None)
+    assert minhash.near_duplicates(spark, awkward(spark).limit(0)).count() == 0
+    assert minhash.drop_near_duplicates(spark, awkward(spark)).columns == awkward(spark).columns
+
+
+# line dedup
+
+
+def passage(name, lines=3, n=20):
+    return [" ".join(f"{name}{i}x{k}" for k in range(n)) for i in range(lines)]
+
+
+def test_line_dedup_catches_passages_and_spares_the_rest(spark):
+    p, short = passage("p"), ["common short line"]
+    texts = [
+        "\n".join(["first of its own", *p, "end one"]), "\n".join([*short, *p]), "\n".join(["lead in two", "", *p[:2], "", p[2], "tail"]),
+        "\n".join(["alone a", *short, "alone b"]), "\n".join([*short, "clean text"]), "\n".join(p), "\n".join(passage("q") * 2), "", None, "\n",
+    ]
+    rows = {r["row"]["doc_id"]: r for r in line_dedup.mark_lines(spark, table(spark, texts)).collect()}
+    assert rows[0]["text"] == texts[0]
+    assert rows[1]["text"] == "common short line"
+    assert rows[2]["text"].split("\n") == ["lead in two", "", "tail"]
+    for i in (3, 4, 6, 7, 8, 9):
+        assert rows[i]["text"] == texts[i]
+    assert rows[5]["text"] == ""
+    left = line_dedup.drop_repeated_lines(spark, table(spark, texts))
+    assert {r["doc_id"] for r in left.collect()} == set(range(10)) - {5}
+    assert left.columns == table(spark, texts).columns
+
+
+def test_line_dedup_awkward(spark):
+    assert line_dedup.mark_lines(spark, awkward(spark)).count() == len(AWKWARD)
+    assert line_dedup.mark_lines(spark, awkward(spark).limit(0)).count() == 0
+
+
+def test_line_dedup_on_documents(spark):
+    rows = {r["row"]["doc_id"]: r for r in line_dedup.mark_lines(spark, documents(spark)).collect()}
+    seen = set()
+    for i in sorted(rows):
+        own = rows[i]["row"]["text"].split("\n")
+        gone = {k for c in rows[i]["chunks"] or [] for k in range(c["start"], c["stop"] + 1)}
+        assert rows[i]["text"] == ("\n".join(x for k, x in enumerate(own) if k not in gone))
+        for k, x in enumerate(own):
+            if len(x.split()) > 50 and x in seen:
+                assert k in gone
+            if k in gone and x.split():
+                assert x in seen or own.index(x) < k
+        seen |= set(own)
+
+
+# licenses
+
+
+def brute_licenses(text):
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hits = [(k, label) for label, p in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+    at = [k for k, _ in hits]
+    return len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def test_licenses_base_equals_brute_force(spark):
+    rng = random.Random(12)
+    parts = ["cc", "by", "nc", "CC-BY", "under the", "MIT", "license", "License.", "Apache", "version", "2", "2.0", ",", "--- ---", "é", "\n", "cc by nc"]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(250)] + ["under the MIT license " * 300, "cc" + "-" * 40 + "by nc", *AWKWARD]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark, table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        first = [m["first"] for m in got[i]["base"]]
+        assert (got[i]["n_words"], len(first), min(first, default=None), max(first, default=None), got[i]["base_labels"]) == brute_licenses(t)
+        assert set(filter(None, got[i]["base_labels"].split(","))) <= set(got[i]["labels"].split(","))
+        assert 0 <= got[i]["score"] <= 1
+
+
+def test_license_rules_and_suppression(spark):
+    texts = ["SPDX-License-Identifier: GPL-2.0-only", "released under the terms of the GNU General Public License, version 3", "nothing here", "Licensed under CC BY-NC-SA 4.0"]
+    got = [r for r in licenses.scan_licenses(spark, table(spark, texts)).orderBy("doc_id").collect()]
+    assert [r["labels"] for r in got] == ["gpl-2", "gpl-3", "", "cc-by-nc,cc-by-nc-sa"]
+    for r in got:
+        for a, b in itertools.permutations(r["detections"], 2):
+            assert not (a["first"] <= b["first"] and b["last"] <= a["last"] and a["tier"] >= b["tier"])
+    assert len(licenses.rules()) > 300
+
+
+# secrets
+
+
+def test_secrets_forest(spark):
+    rng = random.Random(3)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = [f'some words\nconfig {name} = "{hexes(40)}" end' for name in ["token", "api_key", "password", "secret"] for _ in range(25)]
+    texts += [f"commit {hexes(40)} merged" for _ in range(50)] + ["averyverylongordinarycompoundword in a text"] * 50 + [f"card {rng.randrange(10**15, 10**16)}" for _ in range(50)]
+    rows = table(spark, texts)
+    got = secrets.scan_secrets(spark, rows).collect()
+    for r in got:
+        assert texts[r["doc_id"]].split("\n")[r["line"]][r["start"] : r["stop"]] == r["value"]
+    found = {r["doc_id"] for r in got if r["is_secret"]}
+    assert found == set(range(100))
+
+
+def test_secrets_awkward(spark):
+    secrets.scan_secrets(spark, awkward(spark)).collect()
+    assert secrets.scan_secrets(spark, awkward(spark).limit(0)).count() == 0
+    ordinary = secrets.scan_secrets(spark, table(spark, ["plain words"])).count()
+    assert ordinary == 0
+
+
+# quality
+
+
+def test_quality_counts_equal_brute_force(spark):
+    texts = [r["text"] for r in documents(spark).limit(60).collect()] + AWKWARD + ["a b c a b c a", "x\nx\n\nx y", "# $ | <b>"]
+    got = {r["doc_id"]: r for r in quality.quality(spark, table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall("[^\x20\x09-\x0d]+", t or "")
+        windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        many = Counter(windows)
+        covered = {k + j for k, x in enumerate(windows) if many[x] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        expected = len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == expected
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+        assert not (r["kept"] and r["base_failed"])
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    rows = table(spark, ["the cat sat on the mat and that was that " * 3, "a tin hat", "le chat est là " * 4], langs=["en", "en", "fr"])
+    model = quality.sorted_arrays(spark, quality.kneser_ney(spark, quality.count_grams(rows, "text", "lang")))
+    letters = sorted(set("thecatsonmdwiln")) + [quality.END]
+    for lang in ("en", "fr"):
+        for prefix in ("", "t", "th", "tha", "ca"):
+            # one more letter after a prefix: the differences of log probabilities give the conditional ones
+            base = model.score(lang, [prefix])[0] if prefix else 0.0
+            assert np.isfinite(base)
+    table_rows = quality.kneser_ney(spark, quality.count_grams(rows, "text", "lang")).filter("gram != ''").collect()
+    by_context = defaultdict(float)
+    for r in table_rows:
+        if r["n"] is not None and r["gram"] != quality.BEGIN:
+            by_context[r["lang"], r["gram"][:-1]] += np.exp(r["logp"])
+    assert all(0 < p <= 1 + 1e-6 for p in by_context.values())
+    assert letters
+
+
+def test_quality_awkward(spark):
+    got = quality.quality(spark, awkward(spark)).collect()
+    assert len(got) == len(AWKWARD)
+    assert quality.quality(spark, awkward(spark).limit(0)).count() == 0
+
+
+# toxicity
+
+
+def test_block_max_is_exact():
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(500):
+        terms = sorted(rng.choice(40, rng.integers(1, 6), replace=False).tolist())
+        rows.append((terms, rng.integers(1, 4, len(terms)).tolist()))
+    idf = rng.uniform(1, 5, 40)
+    index = toxicity.BlockMaxIndex(np.arange(500), rng.integers(0, 2, 500), rows, idf, block=16)
+    dense = np.zeros((500, 40))
+    for i, r in enumerate(rows):
+        t, w = index.weigh(*r)
+        dense[i, t] = w
+    for q in range(60):
+        got = [(c, int(index.ids[i])) for c, i in index.nearest(*rows[q], 7, without=q)]
+        scores = np.round(dense @ dense[q], 12)
+        expected = sorted(((s, i) for i, s in enumerate(scores) if i != q and s > 0), key=lambda x: (-x[0], x[1]))[:7]
+        assert [i for _, i in got] == [i for _, i in expected]
+
+
+def test_toxicity_on_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(spark, rows, labels).collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    out = [(got[i]["predicted"], y) for i, y in known.items() if got[i]["held_out"]]
+    assert sum(p == y for p, y in out) / len(out) > 0.9
+    assert sum(p and y for p, y in out) / sum(y for _, y in out) > 0.5
+
+
+def test_toxicity_awkward(spark):
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (5, 0), (5, 1)], "doc_id long, toxic int")
+    assert toxicity.toxicity(spark, awkward(spark), labels).count() == len(AWKWARD)
+    assert toxicity.toxicity(spark, awkward(spark), labels.limit(0)).count() == len(AWKWARD)
+    assert toxicity.toxicity(spark, awkward(spark).limit(0), labels).count() == 0
+
+
+# embeddings
+
+
+def brute_links(rows, threshold=0.98):
+    links = defaultdict(set)
+    for a, b in itertools.combinations([r for r in rows if r[0] is not None], 2):
+        if a[2] == b[2] and a[2] is not None and all(v[1] and None not in v[1] and np.isfinite(v[1]).all() and np.linalg.norm(v[1]) for v in (a, b)) and len(a[1]) == len(b[1]):
+            x, y = np.array(a[1]), np.array(b[1])
+            if x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= threshold and a[0] != b[0]:
+                links[a[0]].add(b[0])
+                links[b[0]].add(a[0])
+    return links
+
+
+def test_embeddings_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for c in range(5):
+        centre = rng.standard_normal(16)
+        rows += [(len(rows) + i, [float(np.float32(v)) for v in centre + rng.standard_normal(16) * 0.08], c % 2) for i in range(30)]
+    rows += [(1000 + i, [float(np.float32(v)) for v in rng.standard_normal(16)], i % 2) for i in range(60)]
+    rows += [(2000, rows[0][1], 0), (2001, rows[0][1], 0), (2002, rows[0][1], 1), (2003, None, 0), (2004, [], 0), (2005, [0.0] * 16, 0), (2006, [float("nan")] * 16, 0), (2007, [None] * 16, 0), (2008, rows[0][1], None), (2009, [1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    recalls = []
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(spark, df, report=lambda _, r: recalls.append(r)).collect()}
+    links = brute_links(rows)
+    assert {i: r["n_links"] for i, r in got.items()} == {r[0]: len(links[r[0]]) for r in rows}
+    assert recalls[-1] >= 0.98
+    up = {r[0]: r[0] for r in rows}
+    for _ in range(20):
+        for i, near in links.items():
+            up[i] = min([up[i], *(up[j] for j in near)])
+    assert {i: r["component_id"] for i, r in got.items()} == up
+    assert embedding_dedup.near_vectors(spark, df.limit(0)).count() == 0
+
+
+# queries and pipeline
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries.queries()[name](spark, DATA)
+    found = con.sql(queries.oracle_sql()[name])
+    at = [found.columns.index(c) for c in sorted(df.columns)]
+    assert sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in found.fetchall()), key=str)
+    assert sql_texts
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark):
+    import corpus_pipeline as p
+
+    docs = documents(spark)
+    before = {r["doc_id"]: r for r in docs.collect()}
+    kept = p.quality_rules(spark, docs, DATA).cache()
+    verdict = {r["doc_id"]: r["kept"] for r in quality.quality(spark, docs).collect()}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, k in verdict.items() if k)
+    lines = p.line_chunks(spark, kept, DATA).cache()
+    assert {r["doc_id"] for r in lines.collect()} <= {r["doc_id"] for r in kept.collect()}
+    alone = p.near_duplicates(spark, lines, DATA).cache()
+    expected = brute_components([(r["doc_id"], r["text"]) for r in lines.collect()])
+    assert sorted(r["doc_id"] for r in alone.collect()) == sorted(i for i, (_, c) in expected.items() if c == i)
+    mixed = p.source_mix(spark, alone, DATA).cache()
+    assert mixed.columns == docs.columns == alone.columns == lines.columns == kept.columns
+    assert max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 3
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.encoder(public_tokenizers.path(bpe.RANK_FILE), public_tokenizers.PATTERN)._mergeable_ranks, special_tokens={})
+    out = p.byte_bpe(spark, mixed, DATA).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in out) == Counter((r["doc_id"], len(enc.encode_ordinary(r["text"]))) for r in mixed.collect())
+    assert len(before) == docs.count() and F
+    assert Row
