@@ -29,11 +29,11 @@ def lanes(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return first.select(key, ((F.row_number().over(Window.orderBy("_f")) - 1) % n).cast("int").alias("lane"))
 
 
-def stream_chunks(stream: DataFrame, key: str, size: int, quiet: str = "10 seconds") -> DataFrame:
+def stream_chunks(stream: DataFrame, key: str, size: int, quiet: str | None = "10 seconds") -> DataFrame:
     """(key, chunk, frames, is_final) from a stream: a chunk is given when ``size`` frames are there.
 
     The rest of a key follows as its final chunk when it has been quiet for ``quiet`` of processing time; frames that
-    come later begin a new sequence.
+    come later begin a new sequence. Without ``quiet`` the rest stays held.
     """
     kind = stream.schema[key].dataType.simpleString()
 
@@ -50,7 +50,9 @@ def stream_chunks(stream: DataFrame, key: str, size: int, quiet: str = "10 secon
                 out.append((found[0], chunk, size, False))
                 chunk, held = chunk + 1, held - size
             state.update((chunk, held))
-            state.setTimeoutDuration(int(pd.Timedelta(quiet).total_seconds() * 1000))
+            if quiet:
+                state.setTimeoutDuration(int(pd.Timedelta(quiet).total_seconds() * 1000))
         yield pd.DataFrame(out, columns=[key, "chunk", "frames", "is_final"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, chunk long, frames long, is_final boolean", "chunk long, held long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    wait = GroupStateTimeout.ProcessingTimeTimeout if quiet else GroupStateTimeout.NoTimeout
+    return stream.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, chunk long, frames long, is_final boolean", "chunk long, held long", "append", wait)
