@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.keys import draw, gender, group_key, order_key, voice_key
-from corpusloom.operators import decoding, evaluation, intervals, relational, sampling, selection, similarity, splits
+from corpusloom.operators import decoding, evaluation, intervals, purity, relational, sampling, selection, similarity, splits
 from corpusloom.operators.graph import components
 from corpusloom.session import prepare, saved, table
 
@@ -299,6 +299,14 @@ def label_medoids(spark, d):
     return similarity.medoids(unit_vectors(spark, d), DIM, "vec_id").select("label", "medoid")
 
 
+@query("WITH " + LOO + """, m AS (SELECT label, median(loo) AS med FROM loo GROUP BY ALL), a AS (SELECT label, 1.4826 * median(abs(loo - med)) AS mad FROM loo JOIN m USING (label) GROUP BY ALL),
+  o AS (SELECT label, avg((((med - loo > 3 * greatest(mad, 0.02)) AND med - loo >= 0.1) OR loo < 0.3)::INT) AS share FROM loo JOIN m USING (label) JOIN a USING (label) GROUP BY ALL),
+  c AS (SELECT label, n, (sum(t * t) - n) / (n * (n - 1)) AS intra FROM sums JOIN n USING (label) GROUP BY label, n)
+  SELECT label, n, round(share, 9) AS outlier_share, CASE WHEN n < 4 THEN 'POUCOS' WHEN intra < 0.45 OR share >= 0.25 THEN 'RUIM' WHEN intra < 0.55 OR share >= 0.1 THEN 'SUSPEITO' ELSE 'OK' END AS status FROM c JOIN o USING (label)""")
+def label_verdicts(spark, d):
+    return purity.label_verdicts(unit_vectors(spark, d), DIM).select("label", "n", F.round("outlier_share", 9).alias("outlier_share"), "status")
+
+
 CENTRES = VEC + """, c AS (SELECT label, i, t / sqrt(sum(t * t) OVER (PARTITION BY label)) AS c FROM sums), pairs AS (
   SELECT a.label AS a, b.label AS b, sum(a.c * b.c) AS cosine FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY ALL)"""
 
