@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -53,6 +55,7 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         shared = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{shared}")
     return shared
 
