@@ -22,3 +22,15 @@ def unit(a: Column) -> Column:
 def vector_sum(a: Column, size: int) -> Column:
     """Aggregate: element-wise sum of arrays of one length; sums combine on the map side, so a large group is one row."""
     return F.array(*[F.sum(F.get(a, F.lit(i))) for i in range(size)])
+
+
+def mulaw(a: Column, bits: int = 8, mu: float = 255.0) -> Column:
+    """Samples through mu-law companding and back."""
+    steps = float(2 ** (bits - 1) - 1)
+
+    def one(v: Column) -> Column:
+        x = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v.cast("double")))
+        y = F.rint(F.signum(x) * F.log1p(mu * F.abs(x)) / F.log1p(F.lit(mu)) * steps) / steps
+        return F.signum(y) * (F.pow(F.lit(1.0 + mu), F.abs(y)) - 1) / mu
+
+    return F.transform(a, one)

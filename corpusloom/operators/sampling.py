@@ -23,6 +23,18 @@ def conditions(clips: DataFrame, mix: dict[str, float], epoch: int, seed: int =
     return clips.withColumn("variant", draw_variant(draw(seed, epoch, F.col("idx"), "variant"), mix))
 
 
+def augmented(idx: Column, variants: list[int], p: float, salt: int, seed: int = 42) -> Column:
+    """With probability ``p`` one of ``variants``, each alike, else null."""
+    k = (F.floor(draw("augk", seed, salt, idx) * len(variants)) % len(variants)).cast("int")
+    return F.when(draw("aug", seed, salt, idx) < p, F.element_at(F.array(*map(F.lit, variants)), k + 1))
+
+
+def cyclic_successor(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """``name``: the next key of the group in order, the first one after the last."""
+    by = Window.partitionBy(group).orderBy(key)
+    return rows.withColumn(name, F.coalesce(F.lead(key).over(by), F.first(key).over(by)))
+
+
 def pick_reference(clips: DataFrame, epoch: int, seed: int = 42, low: float = 2.5, high: float = 10.2) -> DataFrame:
     """For each clip another clip of its speaker, by hash, never itself; ``ref`` is null where there is none.
 

@@ -524,6 +524,72 @@ def person_rank(spark, d):
     return total.withColumn("within", within).join(first, "part").select("o_custkey", F.concat(F.lit("P"), F.lpad(rank, 6, "0")).alias("person"))
 
 
+# references, requests and reports ------------------------------------------------------------------------------------
+
+
+@query(USABLE + """ SELECT speaker, string_agg(idx, ',' ORDER BY idx) AS pool, count(*)::BIGINT AS n FROM usable GROUP BY speaker""")
+def reference_pools(spark, d):
+    pool = F.array_join(F.sort_array(F.collect_list("idx")), ",")
+    return usable(spark, d).groupBy("speaker").agg(pool.alias("pool"), F.count("*").alias("n"))
+
+
+@query(USABLE + f""", a AS (SELECT idx, {U.format("'aug|42|7|' || idx")} AS u, {U.format("'augk|42|7|' || idx")} AS k FROM usable)
+  SELECT idx, CASE WHEN u < 0.4::DOUBLE THEN ([2, 5, 9])[(floor(k * 3)::INT % 3) + 1] END::INT AS variant FROM a""")
+def augmentation_draw(spark, d):
+    return usable(spark, d).select("idx", sampling.augmented(F.col("idx"), [2, 5, 9], 0.4, 7).alias("variant"))
+
+
+@query(USABLE + """, r AS (SELECT DISTINCT corpus, speaker FROM usable)
+  SELECT corpus, speaker, coalesce(lead(speaker) OVER (PARTITION BY corpus ORDER BY speaker), first_value(speaker) OVER (PARTITION BY corpus ORDER BY speaker)) AS floor_speaker FROM r""")
+def next_speaker(spark, d):
+    return sampling.cyclic_successor(usable(spark, d).select("corpus", "speaker").distinct(), "corpus", "speaker", "floor_speaker")
+
+
+@query(CLIPS + """, p AS (SELECT corpus, count(*)::BIGINT AS n, round_even(sum(dur) / 3600, 3) AS hours, round(avg(dur), 6) AS mean, max(dur) AS longest FROM clips GROUP BY corpus)
+  SELECT * FROM p UNION ALL SELECT '_all', count(*)::BIGINT, round_even(sum(dur) / 3600, 3), round(avg(dur), 6), max(dur) FROM clips""")
+def corpus_summary(spark, d):
+    c = clips(spark, d)
+    agg = [F.count("*").alias("n"), F.bround(F.sum("dur") / 3600, 3).alias("hours"), F.round(F.avg("dur"), 6).alias("mean"), F.max("dur").alias("longest")]
+    return c.groupBy("corpus").agg(*agg).unionByName(c.agg(*agg).withColumn("corpus", F.lit("_all")))
+
+
+@query(HELD + """ SELECT split, count(DISTINCT CASE WHEN gender = 'F' THEN corpus || '|' || speaker END)::BIGINT AS f_voices, count(DISTINCT CASE WHEN gender = 'M' THEN corpus || '|' || speaker END)::BIGINT AS m_voices,
+  count(CASE WHEN gender = 'F' THEN 1 END)::BIGINT AS f_clips, count(CASE WHEN gender = 'M' THEN 1 END)::BIGINT AS m_clips FROM split GROUP BY split""")
+def gender_table(spark, d):
+    voice = voice_key(F.col("corpus"), F.col("speaker"), F.col("idx"))
+    per = [(g, F.col("gender") == g) for g in "FM"]
+    return held(spark, d).groupBy("split").agg(*[F.count_distinct(F.when(t, voice)).alias(f"{g.lower()}_voices") for g, t in per], *[F.count_if(t).alias(f"{g.lower()}_clips") for g, t in per])
+
+
+@query(r"""SELECT lang, count(*)::BIGINT AS n, sum(regexp_matches(text, '\b[A-Z]{2,7}\b')::INT)::BIGINT AS acronyms, sum(regexp_matches(text, '\b[a-zA-Z]\b')::INT)::BIGINT AS letters, sum(regexp_matches(text, '[0-9]')::INT)::BIGINT AS numerals FROM (
+  SELECT lang, regexp_replace(text, '[^ -~]', 'x', 'g') AS text FROM documents) GROUP BY lang""")
+def category_profile(spark, d):
+    plain = table(spark, d, "documents").select("lang", F.regexp_replace("text", "[^ -~]", "x").alias("text"))
+    return plain.groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(F.col("text").rlike(p)).alias(k) for k, p in (("acronyms", r"\b[A-Z]{2,7}\b"), ("letters", r"\b[a-zA-Z]\b"), ("numerals", "[0-9]"))])
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_replace(lower(regexp_replace(left(text, 60), '[^ -~]', ' ', 'g')), '[^a-z0-9]+', '-', 'g') AS s FROM documents) SELECT doc_id, left(regexp_replace(s, '^-|-$', '', 'g'), 40) AS slug FROM t""")
+def text_slugs(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.slug(F.regexp_replace(F.left("text", F.lit(60)), "[^ -~]", " ")).alias("slug"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'ref_edit_tata' ELSE 'ref_clone_tata' END WHEN doc_id % 5 = 0 THEN 'tts_instruction' ELSE 'tts_plain' END AS template,
+  CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN '[S1]' ELSE '[' || source || ']' END AS prefix FROM documents""")
+def request_templates(spark, d):
+    i = F.col("doc_id")
+    ref = F.when(i % 3 == 0, "r.wav")
+    speaker = F.when(i % 4 == 1, "[S1]").when(i % 4 == 0, F.when(i % 8 == 0, "")).otherwise(F.col("source"))
+    return table(spark, d, "documents").select("doc_id", tx.template_name(ref, ref, F.when(i % 5 == 0, "slow").otherwise("  ")).alias("template"), tx.speaker_prefix(speaker).alias("prefix"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT vec_id, greatest(-1, least(1, x)) AS x FROM x), y AS (SELECT vec_id, x, round_even(sign(x) * ln(1 + 255 * abs(x)) / ln(256) * 127, 0) / 127 AS y FROM c)
+  SELECT vec_id, round(sum(sign(y) * (pow(256.0::DOUBLE, abs(y)) - 1) / 255), 6) AS total FROM y GROUP BY vec_id""")
+def mulaw_totals(spark, d):
+    from corpusloom.functions.vectors import mulaw
+
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(mulaw(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
 # streams, batch twins ------------------------------------------------------------------------------------------------
 
 
