@@ -76,6 +76,8 @@ def chosen_paths(spark: SparkSession, nodes: DataFrame, top: int = 1, salts: int
         far = tables[k].select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "far")
         bit = F.shiftright("up", k).bitwiseAND(F.lit(1)) == 1
         rows = rows.join(far, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("n")), "left").select("conv_id", "branch", "steps", "up", F.when(bit, F.col("far")).otherwise(F.col("at")).alias("at"))
+        # each join is made once, and a lost executor costs one step
+        rows = saved(rows, spark)
     return rows.select("conv_id", "branch", (F.col("steps") - 1 - F.col("up")).alias("position"), F.col("at").alias("node"))
 
 
