@@ -24,7 +24,7 @@ from corpusloom.session import saved
 MOST_EXAMPLES = 20_000
 MOST_TERMS = 4_096
 LEAST_EXAMPLES = 3
-LEAST_Z = 3.5
+LEAST_RATIO = 36.0
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -72,16 +72,24 @@ def term_counts(examples: DataFrame) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, examples: DataFrame) -> list[str]:
-    """Terms by how much more often toxic examples hold them, in standard errors of the log odds ratio."""
-    sizes = examples.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos"), F.count("*").alias("n")).first()
+    """Terms that toxic examples hold more often, by the log likelihood ratio against the share of toxic examples.
+
+    Examples whose word sets have the same smallest hash count once, as copies of one text would make each of its rare
+    words look like evidence. The threshold allows for the millions of terms that are tried.
+    """
+    least_hash = F.array_min(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.xxhash64(w)))
+    apart = saved(examples.withColumn("_hash", least_hash).dropDuplicates(["toxic", "_hash"]).select("text", "toxic"), spark)
+    sizes = apart.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos"), F.count("*").alias("n")).first()
     pos, neg = sizes["pos"], sizes["n"] - sizes["pos"]
     if not pos or not neg:
         return []
-    a, c = F.col("pos") + 0.5, F.col("neg") + 0.5
-    b, d = F.lit(pos + 1.0) - a, F.lit(neg + 1.0) - c
-    z = (F.log(a / b) - F.log(c / d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    chosen = term_counts(examples).filter((F.col("pos") >= LEAST_EXAMPLES) & (F.col("pos") <= pos) & (F.col("neg") <= neg)).withColumn("z", z)
-    chosen = chosen.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS)
+    share = pos / (pos + neg)
+    have = F.col("pos") / (F.col("pos") + F.col("neg"))
+    # a zero count adds nothing
+    part = lambda n, p, q: F.when(F.col(n) > 0, F.col(n) * F.log(p / q)).otherwise(0.0)
+    ratio = 2 * (part("pos", have, F.lit(share)) + part("neg", 1 - have, F.lit(1 - share)))
+    chosen = term_counts(apart).filter((F.col("pos") >= LEAST_EXAMPLES) & (have > share)).withColumn("ratio", ratio)
+    chosen = chosen.filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(MOST_TERMS)
     return sorted(r["term"] for r in chosen.collect())
 
 
