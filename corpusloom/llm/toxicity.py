@@ -1,20 +1,21 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over all terms of a document and of the examples.
 
-Terms are words and word prefixes; those kept are the ones that toxic examples hold significantly more often than others
-do. Inverse document frequencies count all documents. The examples are a sample of labelled rows bounded by
-``MOST_EXAMPLES``, so the index has a size bound and can be sent to every task; each document is a query of its own.
-The k nearest vote with a weight that falls with distance, and the vote is calibrated by the leave-one-out votes of
-the examples, pooled to be monotone.
+Terms are all words and word prefixes, known by 64-bit hashes. Document frequencies count all documents. The examples are
+a sample of labelled rows bounded by ``MOST_EXAMPLES``, so their index has a size bound and can be sent to every task; each
+document is a query of its own. Terms that no example holds count in the length of a document's vector: their
+frequencies are joined in Spark. The k nearest vote with a weight that falls with distance, and the vote is calibrated by
+the leave-one-out votes of the examples, pooled to be monotone.
 """
 
 from __future__ import annotations
 
-import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.llm.minhash import possible
@@ -22,13 +23,18 @@ from corpusloom.llm.mixing import uniform
 from corpusloom.session import saved
 
 MOST_EXAMPLES = 20_000
-MOST_TERMS = 4_096
-LEAST_EXAMPLES = 3
-LEAST_RATIO = 36.0
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
-MEMO = 500_000
+#: Terms of the most examples, whose weights stand in a dense matrix.
+DENSE = 1_024
+#: Documents that are compared with the examples at once.
+QUERIES = 128
+#: Candidates are found in single precision; what is nearer than this to the last is compared in double.
+SLACK = 1e-5
+#: Terms counted in a task before they are passed on.
+GATHERED = 4_000_000
+MEMO = 200_000
 EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_/\\~`+=@^"
 
 
@@ -43,163 +49,212 @@ def word_terms(word: bytes) -> list[str]:
 
 
 class Memo(dict):
-    """word -> numbers of its terms in the vocabulary."""
+    """word -> hashes of its terms, eight bytes each."""
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) > MEMO:
             self.clear()
-        found = self[word] = tuple(self.vocabulary[t] for t in word_terms(word) if t in self.vocabulary)
+        found = self[word] = b"".join(xxhash.xxh3_64_intdigest(t).to_bytes(8, "little") for t in word_terms(word))
         return found
 
 
-def term_counts(examples: DataFrame) -> DataFrame:
-    """(term, pos, neg): how many toxic and other examples (text, toxic) hold each term."""
+def text_terms(text: str | None, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all terms of a text in order, and how often it holds each."""
+    words = Counter((text or "").encode().split())
+    packed = [memo[w] for w in words]
+    hashes = np.frombuffer(b"".join(packed), np.int64)
+    times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) // 8 for p in packed])
+    terms, place = np.unique(hashes, return_inverse=True)
+    return terms, np.bincount(place, times, len(terms)).astype(np.int64)
+
+
+def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, df): the number of rows that hold each term; counts are combined in tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, found, size = Memo(), [], 0
+
+        def combined() -> pa.RecordBatch:
+            terms, n = np.unique(np.concatenate(found), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], names=["term", "n"])
+
         for batch in batches:
-            found = Counter(), Counter()
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = set((text.as_py() or "").encode().split())
-                found[toxic].update({t for w in words for t in word_terms(w)})
-            terms = sorted(found[0].keys() | found[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([found[1][t] for t in terms], pa.int64()), pa.array([found[0][t] for t in terms], pa.int64())], names=["term", "pos", "neg"])
+            for text in batch.column(0):
+                found.append(text_terms(text.as_py(), memo)[0])
+                size += len(found[-1])
+                if size > GATHERED:
+                    yield combined()
+                    found, size = [], 0
+        if found:
+            yield combined()
+
+    return docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """int32 values, byte by byte and compressed."""
+    return zlib.compress(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
-    counted = examples.select("text", "toxic").mapInArrow(run, "term string, pos long, neg long")
-    return counted.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
 
-def vocabulary(spark: SparkSession, examples: DataFrame) -> list[str]:
-    """Terms that toxic examples hold more often, by the log likelihood ratio against the share of toxic examples.
 
-    Examples whose word sets have the same smallest hash count once, as copies of one text would make each of its rare
-    words look like evidence. The threshold allows for the millions of terms that are tried.
+def packed_vectors(examples: DataFrame, terms) -> DataFrame:
+    """Examples (node, toxic, text) a batch at a time: nodes, marks, sizes, and steps between term numbers and times, packed.
+
+    ``terms`` are the sorted hashes that the numbers stand for, as a broadcast.
     """
-    least_hash = F.array_min(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.xxhash64(w)))
-    apart = saved(examples.withColumn("_hash", least_hash).dropDuplicates(["toxic", "_hash"]).select("text", "toxic"), spark)
-    sizes = apart.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos"), F.count("*").alias("n")).first()
-    pos, neg = sizes["pos"], sizes["n"] - sizes["pos"]
-    if not pos or not neg:
-        return []
-    share = pos / (pos + neg)
-    have = F.col("pos") / (F.col("pos") + F.col("neg"))
-    # a zero count adds nothing
-    part = lambda n, p, q: F.when(F.col(n) > 0, F.col(n) * F.log(p / q)).otherwise(0.0)
-    ratio = 2 * (part("pos", have, F.lit(share)) + part("neg", 1 - have, F.lit(1 - share)))
-    chosen = term_counts(apart).filter((F.col("pos") >= LEAST_EXAMPLES) & (have > share)).withColumn("ratio", ratio)
-    chosen = chosen.filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(MOST_TERMS)
-    return sorted(r["term"] for r in chosen.collect())
-
-
-def term_vectors(docs: DataFrame, terms: list[str], id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns, terms array<int>, times array<int> of the whole text of every row."""
-    numbers = {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(numbers)
+        memo = Memo()
         for batch in batches:
-            ids, times = [], []
-            for text in batch.column(0):
-                found = Counter()
-                for word in (text.as_py() or "").encode().split():
-                    if hit := memo[word]:
-                        found.update(hit)
-                ids.append(sorted(found))
-                times.append([found[i] for i in ids[-1]])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=[*keep, "terms", "times"])
+            if batch.num_rows:
+                rows = [text_terms(text.as_py(), memo) for text in batch.column(2)]
+                numbers = np.searchsorted(terms.value, np.concatenate([r[0] for r in rows]))
+                parts = [batch.column(0).to_numpy().astype(np.int64).tobytes(), packed(batch.column(1).to_numpy()), packed(np.array([len(r[0]) for r in rows])), packed(np.diff(numbers, prepend=0)), packed(np.concatenate([r[1] for r in rows]))]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["nodes", "marks", "sizes", "steps", "times"])
 
-    source = docs.select(F.col(text_col).alias("_text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[1:])
-    return source.mapInArrow(run, f"{schema}, terms array<int>, times array<int>")
+    return examples.select("node", "toxic", "text").mapInArrow(run, "nodes binary, marks binary, sizes binary, steps binary, times binary")
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors, in blocks of examples with the largest weight of each term in a block."""
-
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: list[tuple[list[int], list[int]]], idf: np.ndarray, block: int = BLOCK):
-        # similar examples stand together, so that few blocks have a high bound for a query
-        order = sorted(range(len(rows)), key=lambda i: (sorted(zip(rows[i][0], rows[i][1], strict=True), key=lambda t: (-idf[t[0]], t)), ids[i]))
-        self.ids, self.labels, self.idf, self.block = ids[order], labels[order], idf, block
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for term, weight in zip(*self.weigh(*rows[i]), strict=True):
-                postings.setdefault(int(term), []).append((at, float(weight)))
-        self.postings = {}
-        for term, found in postings.items():
-            at, weight = np.array([a for a, _ in found]), np.array([w for _, w in found])
-            blocks, starts = np.unique(at // block, return_index=True)
-            self.postings[term] = at, weight, blocks, np.maximum.reduceat(weight, starts), np.append(starts, len(at))
-        self.n_blocks = -(-len(rows) // block)
+    """Unit vectors of examples: rows of term numbers and times; postings and a dense part are made where they are used."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, rows, idf: np.ndarray, block: int = BLOCK, terms: np.ndarray | None = None):
+        """``rows`` are (numbers, times) of each example, or flat arrays (starts, numbers, times) of all."""
+        if not isinstance(rows, tuple):
+            rows = np.append(0, np.cumsum([len(r[0]) for r in rows])), np.concatenate([[], *[r[0] for r in rows]]), np.concatenate([[], *[r[1] for r in rows]])
+        self.ids, self.labels, self.idf, self.block, self.terms = ids, labels, idf, block, terms
+        self.starts, self.numbers, self.times = rows[0].astype(np.int64), rows[1].astype(np.int32), rows[2].astype(np.int32)
+        self.parts, self.ready = None, False
+
+    @classmethod
+    def of_parts(cls, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, parts: list[tuple[bytes, bytes]], idf: np.ndarray, terms: np.ndarray) -> BlockMaxIndex:
+        """An index whose packed ``parts`` are opened only in the tasks; each executor keeps a copy of it on disk."""
+        index = cls(ids, labels, (np.append(0, np.cumsum(sizes)), np.zeros(0), np.zeros(0)), idf, terms=terms)
+        index.parts = parts
+        return index
 
     def weigh(self, terms, times) -> tuple[np.ndarray, np.ndarray]:
         weights = (1 + np.log(np.asarray(times, float))) * self.idf[np.asarray(terms, int)]
         return np.asarray(terms, int), weights / np.sqrt((weights * weights).sum())
 
+    def prepare(self) -> None:
+        """Norms, the dense matrix of the terms that the most examples hold, and postings of the rest."""
+        n, sizes = len(self.ids), np.diff(self.starts)
+        if self.parts:
+            self.numbers = np.concatenate([np.cumsum(unpacked(steps), dtype=np.int32) for steps, _ in self.parts])
+            self.times = np.concatenate([unpacked(times) for _, times in self.parts])
+            self.parts = None
+        row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        weight = ((1 + np.log(self.times)) * self.idf[self.numbers]).astype(np.float64)
+        self.norm = np.sqrt(np.bincount(row, weight * weight, n))
+        weight = (weight / self.norm[row]).astype(np.float32)
+        held = np.bincount(self.numbers, minlength=len(self.idf))
+        common = np.argsort(-held, kind="stable")[:DENSE]
+        self.column = np.full(len(self.idf), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        at = np.flatnonzero(self.column[self.numbers] >= 0)
+        self.dense = np.zeros((n, len(common)), np.float32)
+        self.dense[row[at], self.column[self.numbers[at]]] = weight[at]
+        at = np.flatnonzero(self.column[self.numbers] < 0)
+        at = at[np.argsort(self.numbers[at], kind="stable")]
+        self.rows, self.weights = row[at], weight[at]
+        held[common] = 0
+        self.lists = np.append(0, np.cumsum(held))
+        self.query = np.zeros(len(self.idf))
+        self.ready = True
+
+    def search(self, queries: list, k: int, without: list) -> list[list[tuple[float, int]]]:
+        """``nearest`` of several (numbers, times)."""
+        if not self.ready:
+            self.prepare()
+        n = len(self.ids)
+        weighed = [self.weigh(*q) for q in queries]
+        matrix = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        for i, (terms, weights) in enumerate(weighed):
+            column = self.column[terms]
+            matrix[i, column[column >= 0]] = weights[column >= 0]
+        near = matrix @ self.dense.T
+        out = []
+        for (terms, weights), scores, gone in zip(weighed, near, without, strict=True):
+            rare = self.column[terms] < 0
+            low, high = self.lists[terms[rare]], self.lists[terms[rare] + 1]
+            if (total := int((high - low).sum())) > 0:
+                size = high - low
+                at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(total)
+                scores = scores + np.bincount(self.rows[at], self.weights[at] * np.repeat(weights[rare], size), n)
+            some = n if k + 1 >= n else k + int(np.count_nonzero(self.ids == gone)) if gone is not None else k
+            least = max(0.0, -np.partition(-scores, some - 1)[some - 1] - SLACK) if 0 < some < n else 0.0
+            found = []
+            self.query[terms] = weights
+            for i in np.flatnonzero(scores >= least if least > 0 else scores > 0).tolist():
+                if gone is None or self.ids[i] != gone:
+                    part = slice(self.starts[i], self.starts[i + 1])
+                    mine = self.numbers[part]
+                    cosine = float(self.query[mine] @ ((1 + np.log(self.times[part])) * self.idf[mine])) / self.norm[i]
+                    found.append((round(float(cosine), 12), -int(self.ids[i]), i))
+            self.query[terms] = 0
+            out.append([(c, i) for c, _, i in sorted(found, reverse=True)[:k]])
+        return out
+
     def nearest(self, terms, times, k: int, without=None) -> list[tuple[float, int]]:
-        """The k largest (cosine, example) above 0, exact, ties to the smaller id; ``without`` is an id to leave out.
-
-        Blocks are opened in the order of their bounds until no unopened bound can reach the k-th cosine.
-        """
-        terms, weights = self.weigh(terms, times)
-        have = [(w, self.postings[t]) for t, w in zip(terms.tolist(), weights.tolist(), strict=True) if t in self.postings]
-        bound = np.zeros(self.n_blocks)
-        for w, (_, _, blocks, largest, _) in have:
-            bound[blocks] += w * largest
-        best: list[tuple[float, int, int]] = []
-        order = np.argsort(-bound, kind="stable")
-        for b in order[: np.count_nonzero(bound > 0)].tolist():
-            if len(best) == k and bound[b] < best[0][0] - 1e-9:
-                break
-            scores = np.zeros(self.block)
-            for w, (at, weight, blocks, _, starts) in have:
-                p = np.searchsorted(blocks, b)
-                if p < len(blocks) and blocks[p] == b:
-                    part = slice(starts[p], starts[p + 1])
-                    scores[at[part] - b * self.block] += w * weight[part]
-            for j in np.flatnonzero(scores).tolist():
-                i = b * self.block + j
-                if self.ids[i] != without:
-                    entry = (round(float(scores[j]), 12), -int(self.ids[i]), i)
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-        return [(c, i) for c, _, i in sorted(best, reverse=True)]
-
-
-def votes(index: BlockMaxIndex, near: list[tuple[float, int]], prior: float) -> float:
-    """Distance-weighted share of toxic neighbours, drawn to ``prior`` by one far neighbour."""
-    weight = [1 / (1.05 - c) for c, _ in near]
-    return (sum(w * index.labels[i] for w, (_, i) in zip(weight, near, strict=True)) + prior) / (sum(weight) + 1)
-
-
-def score_vectors(vectors: DataFrame, keep: list[str], index, id_col: str, prior: float, k: int, leave_out: bool) -> DataFrame:
-    """``keep`` columns, vote (null without a term of the index) and evidence of every vector."""
+        """The k largest (cosine, example) above 0, exact, ties to the smaller id; ``without`` is an id to leave out."""
+        return self.search([(terms, times)], k, [without])[0]
+
+
+def neighbours(docs: DataFrame, text_col: str, keep: list[str], index, id_col: str, k: int, leave_out: bool) -> DataFrame:
+    """``keep`` columns and what decides a row's vote.
+
+    inside: the squared length of the part of the vector that the index has terms of; ids, cosines and labels of the
+    nearest examples, by that part alone; others and times: terms that no example holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: BlockMaxIndex = index.value
-        memo: dict = {}
-        for batch in batches:
-            out, evidence = [], []
-            ids = batch.column(0).to_pylist()
-            for doc, terms, times in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = (tuple(terms), tuple(times), doc if leave_out else None)
-                if key not in memo:
-                    if len(memo) > MEMO // 4:
-                        memo.clear()
-                    near = own.nearest(terms, times, k, doc if leave_out else None) if terms else []
-                    memo[key] = votes(own, near, prior) if near else None, [{"id": int(own.ids[i]), "cosine": c, "toxic": int(own.labels[i])} for c, i in near[:3]]
-                vote, near = memo[key]
-                out.append(vote)
-                evidence.append(near)
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(out, pa.float64()), pa.array(evidence, kind)], names=[*keep, "vote", "evidence"])
-
-    source = vectors.select(F.col(id_col).cast("long").alias("_id"), "terms", "times", *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[3:])
-    return source.mapInArrow(run, f"{schema}, vote double, evidence array<struct<id:bigint,cosine:double,toxic:int>>")
+        memo = Memo()
+        for whole in batches:
+            for start in range(0, whole.num_rows, QUERIES):
+                batch = whole.slice(start, QUERIES)
+                inside, others, times, queries = [], [], [], []
+                for text in batch.column(1):
+                    terms, n = text_terms(text.as_py(), memo)
+                    at = np.minimum(np.searchsorted(own.terms, terms), max(0, len(own.terms) - 1))
+                    known = own.terms[at] == terms if len(own.terms) else np.zeros(len(terms), bool)
+                    queries.append((at[known], n[known]))
+                    inside.append(float((((1 + np.log(n[known])) * own.idf[at[known]]) ** 2).sum()))
+                    others.append(terms[~known])
+                    times.append(n[~known])
+                asked = [i for i, q in enumerate(queries) if len(q[0])]
+                ids = batch.column(0).to_pylist()
+                near = [[] for _ in queries]
+                if asked:
+                    for i, found in zip(asked, own.search([queries[i] for i in asked], k, [ids[i] if leave_out else None for i in asked]), strict=True):
+                        near[i] = found
+                lists = [pa.array([[int(own.ids[i]) for _, i in x[:3]] for x in near], pa.list_(pa.int64())), pa.array([[c for c, _ in x] for x in near], pa.list_(pa.float64())), pa.array([[int(own.labels[i]) for _, i in x] for x in near], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(inside, pa.float64()), *lists, pa.array(others, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], names=[*keep, "row", "inside", "ids", "cosines", "labels", "others", "times"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keep, F.monotonically_increasing_id().alias("row"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:])
+    return source.mapInArrow(run, f"{schema}, inside double, ids array<bigint>, cosines array<double>, labels array<int>, others array<bigint>, times array<int>")
+
+
+def voted(found: DataFrame, counts: DataFrame, n_docs: int, keep: list[str], prior: float) -> DataFrame:
+    """``keep`` columns, vote (null without a neighbour), empty (no term at all) and evidence of rows of ``neighbours``.
+
+    A vote is the distance-weighted share of toxic neighbours, drawn to ``prior`` by one far neighbour.
+    """
+    terms = found.filter(F.size("others") > 0).select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", F.col("o.others").alias("term"), F.col("o.times").alias("n"))
+    weight = (1 + F.log("n")) * (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1)
+    outside = terms.join(counts, "term").groupBy("row").agg(F.sum(weight * weight).alias("outside"))
+    rows = found.join(outside, "row", "left").withColumn("part", F.sqrt(F.try_divide("inside", F.col("inside") + F.coalesce("outside", F.lit(0.0)))))
+    rows = rows.withColumn("cosines", F.transform("cosines", lambda c: c * F.col("part")))
+    weights = F.transform("cosines", lambda c: 1 / (1.05 - c))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, w: s + w)
+    vote = (total(F.zip_with(weights, "labels", lambda w, y: w * y)) + prior) / (total(weights) + 1)
+    evidence = F.transform("ids", lambda i, j: F.struct(i.alias("id"), F.get("cosines", j).alias("cosine"), F.get("labels", j).alias("toxic")))
+    return rows.select(*keep, F.when(F.size("cosines") > 0, vote).alias("vote"), ((F.size("cosines") == 0) & (F.size("others") == 0)).alias("empty"), evidence.alias("evidence"))
 
 
 def monotone(cells: list[tuple[int, int, int]], prior: float, bins: int) -> list[float]:
@@ -220,9 +275,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     """Per row of ``docs``: ``id_col``, held_out, score, predicted, evidence (the nearest examples).
 
     Labels (doc_id, toxic) of held-out rows are never read; of several labels of one id the largest counts, null ones
-    do not. A null or empty text, and one without any kept term, gets the share of toxic examples among examples of its
-    kind. Null ids are not held out; repeated rows are scored one by one; without labels every score is 0; an empty
-    table gives an empty result; other columns are not looked at.
+    do not. A text without any term gets the share of toxic examples among examples of its kind, and one that shares no
+    term with an example the share among all. Null ids are not held out; repeated rows are scored one by one; without
+    labels every score is 0; an empty table gives an empty result; other columns are not looked at.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("node"), "toxic").filter("node IS NOT NULL AND toxic IS NOT NULL")
     known = known.filter(~held_out(F.col("node"))).groupBy("node").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -232,23 +287,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     known = saved(known, spark)
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     examples = saved(possible(texts, known).join(known, "node"), spark)
-    terms = vocabulary(spark, examples)
-    vectors = saved(term_vectors(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), terms, "id", "text", ["id"]), spark)
-    n_docs = vectors.count()
-    df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most MOST_TERMS rows
-    idf = np.log((1 + n_docs) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], float))) + 1
-    taught = saved(term_vectors(examples, terms, "node", "text", ["node", "toxic"]), spark)
-    # at most MOST_EXAMPLES rows with a term
-    rows = taught.filter(F.size("terms") > 0).orderBy("node").collect()
-    plain = taught.filter(F.size("terms") == 0).agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("y"), F.count("*").alias("n")).first()
-    without = plain["y"] / (plain["n"] + 1)
-    prior = sum(r["toxic"] for r in rows) / max(1, len(rows))
-    index = BlockMaxIndex(np.array([r["node"] for r in rows], np.int64), np.array([r["toxic"] for r in rows], np.int64), [(r["terms"], r["times"]) for r in rows], idf)
+    counts = saved(document_frequencies(texts, "text"), spark)
+    n_docs = docs.count()
+    # the terms of at most MOST_EXAMPLES rows
+    frequency = counts.join(document_frequencies(examples, "text").select("term"), "term").toArrow()
+    order = np.argsort(frequency["term"].to_numpy())
+    terms, df = frequency["term"].to_numpy()[order], frequency["df"].to_numpy()[order]
+    idf = np.log((1 + n_docs) / (1 + df.astype(float))) + 1
+    # at most MOST_EXAMPLES rows in all, packed
+    parts = packed_vectors(examples, spark.sparkContext.broadcast(terms)).collect()
+    ids = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x["nodes"], np.int64) for x in parts]])
+    marks, sizes = (np.concatenate([np.zeros(0, np.int32), *[unpacked(x[c]) for x in parts]]).astype(np.int64) for c in ("marks", "sizes"))
+    without = float(marks[sizes == 0].sum() / (np.count_nonzero(sizes == 0) + 1))
+    prior = float(marks[sizes > 0].mean()) if (sizes > 0).any() else 0.0
+    index = BlockMaxIndex.of_parts(ids, marks, sizes, [(bytes(x["steps"]), bytes(x["times"])) for x in parts], idf, terms)
     sent = spark.sparkContext.broadcast(index)
     cell = F.least(F.floor(F.col("vote") * bins), F.lit(bins - 1)).cast("int")
-    again = score_vectors(taught.filter(F.size("terms") > 0), ["toxic"], sent, "node", prior, k, True).filter("vote IS NOT NULL")
+    again = voted(saved(neighbours(examples, "text", ["toxic"], sent, "node", k, True), spark), counts, n_docs, ["toxic"], prior).filter("vote IS NOT NULL")
     cells = [(r["b"], r["y"], r["n"]) for r in again.groupBy(cell.alias("b")).agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).collect()]  # at most ``bins`` rows
     calibrated = F.array(*[F.lit(float(p)) for p in monotone(cells, prior, bins)])
-    scored = score_vectors(vectors, ["id"], sent, "id", prior, k, False)
-    score = F.when(F.col("vote").isNull(), F.lit(float(without))).otherwise(F.element_at(calibrated, cell + 1))
+    near = saved(neighbours(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"], sent, "id", k, False), spark)
+    scored = voted(near, counts, n_docs, ["id"], prior)
+    score = F.when(F.col("vote").isNotNull(), F.element_at(calibrated, cell + 1)).otherwise(F.when(F.col("empty"), F.lit(float(without))).otherwise(F.lit(prior)))
     return scored.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "evidence")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -382,6 +383,21 @@ def test_toxicity_awkward(spark):
     assert toxicity.toxicity(spark, awkward(spark).limit(0), labels).count() == 0
 
 
+def test_toxicity_compares_all_terms(spark):
+    texts = ["calm river stone", "grim ugly night", "calm river boat", "calm river stone unseen", "sky", "zebra", ""]
+    labels = spark.createDataFrame([(i, int(i == 11)) for i in (10, 11, 12)], "doc_id long, toxic int").filter(~toxicity.held_out(F.col("doc_id")))
+    ids = [10, 11, 12, 20, 21, 22, 23]
+    got = {r["doc_id"]: {e["id"]: e["cosine"] for e in r["evidence"]} for r in toxicity.toxicity(spark, table(spark, texts, ids), labels).collect()}
+    sets = [{t for w in x.encode().split() for t in toxicity.word_terms(w)} for x in texts]
+    idf = {t: math.log(8 / (1 + sum(t in s for s in sets))) + 1 for s in sets for t in s}
+    norm = lambda s: math.sqrt(sum(idf[t] ** 2 for t in s))
+    taught = [r["doc_id"] for r in labels.collect()]
+    assert len(taught) > 1
+    for i, s in zip(ids, sets, strict=True):
+        near = {j: sum(idf[t] ** 2 for t in s & sets[ids.index(j)]) / norm(s) / norm(sets[ids.index(j)]) for j in taught if s & sets[ids.index(j)]}
+        assert got[i].keys() == near.keys() and all(abs(near[j] - c) < 1e-9 for j, c in got[i].items())
+
+
 # embeddings
 
 
