@@ -112,11 +112,6 @@ LOOSE = (
     ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", 1, "copyright"),
 )
 
-#: A cheap test on the raw text: a text without any of these goes to no rule.
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-PREFILTER = rf"(?i)licen[cs]|copyright|public{_GAP}domain|rights{_GAP}reserved|warrant|permission|redistribution|unencumbered|proprietary|unauthorized|foundation|spdx|cc{_GAP}by|creative{_GAP}commons|\b(?:[al]?gpl|bsd|[em]pl)\b"
-
-
 def rules() -> list[tuple[int, str, str, int, str]]:
     """(order, label, regex, tier, keyword) of all rules, base phrases first."""
     found = [(label, phrase, 2, phrase.split()[0]) for label, phrase in BASE]
@@ -127,6 +122,22 @@ def rules() -> list[tuple[int, str, str, int, str]]:
     return [(i, label, regex, tier, keyword) for i, (label, regex, tier, keyword) in enumerate(found)]
 
 
+def prefilter() -> str:
+    """A cheap test on the raw text, made of the rules: every text that a rule matches passes it.
+
+    A statement with a word for license in it needs that word, every other one its lead and a family's name, base phrases
+    and loose rules themselves. Blanks stand for any run that separates words.
+    """
+    leads = [pattern.split("{name}")[0] for pattern, _ in STATEMENTS if not pattern.startswith(("licen", "spdx license", "{name} licen"))]
+    names = "|".join(name for _, name, _, _ in FAMILIES)
+    parts = ["licen[cs]e", *[phrase for _, phrase in BASE], *[pattern for _, pattern, _, _ in LOOSE], f"(?:{'|'.join(leads)})(?:{names})"]
+    return "(?i)" + "|".join(parts).replace(" ", f"(?:{NOT_WORD})")
+
+
+#: A text that does not hold this goes to no rule.
+PREFILTER = prefilter()
+
+
 def normal(text: Column) -> Column:
     """The words of a text, lower-cased in A-Z, with a blank before, between and after them."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_WORD, " ")), F.lit(" "))

@@ -277,6 +277,38 @@ def test_license_rules_and_suppression(spark):
     assert len(licenses.rules()) > 300
 
 
+def sample(tree, rng):
+    """A text that a parsed pattern matches."""
+    out = ""
+    for op, x in tree:
+        match str(op):
+            case "LITERAL":
+                out += chr(x)
+            case "IN":
+                kind, y = rng.choice(x)
+                out += chr(y if str(kind) == "LITERAL" else rng.randint(*y))
+            case "MAX_REPEAT":
+                out += "".join(sample(x[2], rng) for _ in range(rng.randint(x[0], x[1])))
+            case "SUBPATTERN":
+                out += sample(x[3], rng)
+            case "BRANCH":
+                out += sample(rng.choice(x[1]), rng)
+            case _:
+                raise ValueError(op)
+    return out
+
+
+def test_license_prefilter_lets_every_rule_through(spark):
+    rng = random.Random(5)
+    texts = [sample(re._parser.parse(regex), rng) for _, _, regex, _, _ in licenses.rules() for _ in range(12)]
+    texts = [rng.choice([x, x.upper(), x.replace(" ", ",\n-- ")]) for x in texts]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark, table(spark, texts)).collect()}
+    assert [t for i, t in enumerate(texts) if not got[i]["detections"]] == []
+    said = {"Released under MIT": "mit", "distributed under Apache 2.0": "apache-2", "available under CC0": "cc0", "released under WTFPL": "wtfpl", "governed by OFL": "ofl-1", "subject to ODbL": "odbl-1", "under zlib": "zlib", "under ISC": "isc", "released under GPL2": "gpl-2", "released under LGPL3": "lgpl-3", "released under AGPL3": "agpl-3"}
+    got = licenses.scan_licenses(spark, table(spark, list(said))).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == list(said.values()) and all(r["score"] > 0 for r in got)
+
+
 # secrets
 
 
