@@ -1,15 +1,16 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over all terms of a document and of the examples.
-
-Terms are all words and word prefixes, known by 64-bit hashes. Document frequencies count all documents. The examples are
-a sample of labelled rows bounded by ``MOST_EXAMPLES``, so their index has a size bound and can be sent to every task; each
-document is a query of its own. Terms that no example holds count in the length of a document's vector: their
-frequencies are joined in Spark. The k nearest vote with a weight that falls with distance, and the vote is calibrated by
-the leave-one-out votes of the examples, pooled to be monotone.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over words and word prefixes, block-max inverted index.
+
+Terms are all words and word prefixes, known by 64-bit hashes; document frequencies count all documents. The examples are
+a sample of labelled rows bounded by ``MOST_EXAMPLES`` and ``MOST_CHARS``, so their index has a size bound and can be sent
+to every task; each document is a query of its own. The nearest share of the examples votes with the squares of their
+cosines, and votes are calibrated by the leave-one-out votes of the examples, weighed to the labels' true shares and pooled
+to be monotone. Terms that no example holds cannot match: they scale all cosines of a document alike, and neither the order
+of its neighbours nor its vote depends on that scale. Where cosines themselves are asked for, the frequencies of these terms
+are joined in Spark and count in the document's length.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,19 +23,23 @@ from corpusloom.llm.minhash import possible
 from corpusloom.llm.mixing import uniform
 from corpusloom.session import saved
 
-MOST_EXAMPLES = 20_000
+#: Examples at most, about half of them of either label, and the longest text that may be one.
+MOST_EXAMPLES = 4_000
+MOST_CHARS = 50_000
 PREFIXES = (4, 5, 6)
-NEIGHBOURS = 15
+#: Neighbours that vote: this share of the examples, and this number at least.
+SHARE, NEIGHBOURS = 0.08, 50
+#: Examples in a block, whose greatest weights bound the cosines in it.
 BLOCK = 64
-#: Terms of the most examples, whose weights stand in a dense matrix.
+#: Terms of the most examples, whose postings are stored as a matrix.
 DENSE = 1_024
 #: Documents that are compared with the examples at once.
 QUERIES = 128
-#: Candidates are found in single precision; what is nearer than this to the last is compared in double.
-SLACK = 1e-5
 #: Terms counted in a task before they are passed on.
 GATHERED = 4_000_000
 MEMO = 200_000
+BINS = 400
+EVIDENCE = 3
 EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_/\\~`+=@^"
 
 
@@ -91,124 +96,153 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def packed(values: np.ndarray) -> bytes:
-    """int32 values, byte by byte and compressed."""
-    return zlib.compress(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def counts_of(docs: DataFrame, text_col: str, terms) -> DataFrame:
+    """(place, n): the number of rows that hold each of the sorted hashes in the broadcast ``terms``.
 
+    A task sends one count for each term it has seen, whatever the number of its rows.
+    """
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, own = Memo(), terms.value
+        total = np.zeros(len(own), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                at, known = located(own, text_terms(text.as_py(), memo)[0])
+                total[at[known]] += 1
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["place", "n"])
 
+    return docs.select(text_col).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
-def packed_vectors(examples: DataFrame, terms) -> DataFrame:
-    """Examples (node, toxic, text) a batch at a time: nodes, marks, sizes, and steps between term numbers and times, packed.
 
-    ``terms`` are the sorted hashes that the numbers stand for, as a broadcast.
-    """
+def located(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes among sorted ones, and which of them are there."""
+    if not len(terms):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+    return at, terms[at] == wanted
+
+
+def term_lists(examples: DataFrame) -> DataFrame:
+    """node, toxic, terms (sorted hashes) and times of examples (node, toxic, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
         for batch in batches:
-            if batch.num_rows:
-                rows = [text_terms(text.as_py(), memo) for text in batch.column(2)]
-                numbers = np.searchsorted(terms.value, np.concatenate([r[0] for r in rows]))
-                parts = [batch.column(0).to_numpy().astype(np.int64).tobytes(), packed(batch.column(1).to_numpy()), packed(np.array([len(r[0]) for r in rows])), packed(np.diff(numbers, prepend=0)), packed(np.concatenate([r[1] for r in rows]))]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], names=["nodes", "marks", "sizes", "steps", "times"])
+            rows = [text_terms(text.as_py(), memo) for text in batch.column(2)]
+            lists = [pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].astype(np.int32).tobytes() for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["node", "toxic", "terms", "times"])
 
-    return examples.select("node", "toxic", "text").mapInArrow(run, "nodes binary, marks binary, sizes binary, steps binary, times binary")
+    return examples.select("node", "toxic", "text").mapInArrow(run, "node long, toxic int, terms binary, times binary")
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples: rows of term numbers and times; postings and a dense part are made where they are used."""
+    """Unit vectors of examples behind inverted lists, in blocks of examples with the greatest weight of each term.
+
+    The lists of the ``DENSE`` commonest terms are a matrix, block by block; those of the rest are walked whole. A block
+    whose bound is below the k-th cosine found so far is never opened.
+    """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, rows, idf: np.ndarray, block: int = BLOCK, terms: np.ndarray | None = None):
-        """``rows`` are (numbers, times) of each example, or flat arrays (starts, numbers, times) of all."""
-        if not isinstance(rows, tuple):
-            rows = np.append(0, np.cumsum([len(r[0]) for r in rows])), np.concatenate([[], *[r[0] for r in rows]]), np.concatenate([[], *[r[1] for r in rows]])
-        self.ids, self.labels, self.idf, self.block, self.terms = ids, labels, idf, block, terms
-        self.starts, self.numbers, self.times = rows[0].astype(np.int64), rows[1].astype(np.int32), rows[2].astype(np.int32)
-        self.parts, self.ready = None, False
-
-    @classmethod
-    def of_parts(cls, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, parts: list[tuple[bytes, bytes]], idf: np.ndarray, terms: np.ndarray) -> BlockMaxIndex:
-        """An index whose packed ``parts`` are opened only in the tasks; each executor keeps a copy of it on disk."""
-        index = cls(ids, labels, (np.append(0, np.cumsum(sizes)), np.zeros(0), np.zeros(0)), idf, terms=terms)
-        index.parts = parts
-        return index
+        """``rows`` are (numbers, times) of each example: places of its terms in ``idf``, and how often it holds them."""
+        self.idf, self.block, self.terms = idf, block, terms
+        strongest = [int(r[0][np.argmax(self.weigh(*r)[1])]) if len(r[0]) else -1 for r in rows]
+        # examples that are alike in their commonest strong term stand together, so that bounds are tight
+        held = np.bincount(np.concatenate([np.zeros(0, np.int64), *[np.asarray(r[0], np.int64) for r in rows]]), minlength=len(idf))
+        usual = [int(r[0][np.argmax(held[np.asarray(r[0], int)])]) if len(r[0]) else -1 for r in rows]
+        order = np.lexsort((strongest, usual)) if len(rows) else np.zeros(0, int)
+        self.ids, self.labels = np.asarray(ids)[order], np.asarray(labels)[order]
+        ordered = [rows[i] for i in order]
+        self.starts = np.append(0, np.cumsum([len(r[0]) for r in ordered])).astype(np.int64)
+        self.numbers = np.concatenate([np.zeros(0), *[r[0] for r in ordered]]).astype(np.int32)
+        self.times = np.concatenate([np.zeros(0), *[r[1] for r in ordered]]).astype(np.int32)
+        self.ready = False
 
     def weigh(self, terms, times) -> tuple[np.ndarray, np.ndarray]:
         weights = (1 + np.log(np.asarray(times, float))) * self.idf[np.asarray(terms, int)]
         return np.asarray(terms, int), weights / np.sqrt((weights * weights).sum())
 
     def prepare(self) -> None:
-        """Norms, the dense matrix of the terms that the most examples hold, and postings of the rest."""
-        n, sizes = len(self.ids), np.diff(self.starts)
-        if self.parts:
-            self.numbers = np.concatenate([np.cumsum(unpacked(steps), dtype=np.int32) for steps, _ in self.parts])
-            self.times = np.concatenate([unpacked(times) for _, times in self.parts])
-            self.parts = None
-        row = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        weight = ((1 + np.log(self.times)) * self.idf[self.numbers]).astype(np.float64)
-        self.norm = np.sqrt(np.bincount(row, weight * weight, n))
-        weight = (weight / self.norm[row]).astype(np.float32)
+        """The matrix of the commonest terms, the lists of the rest and the blocks' maxima, made once in a task's process."""
+        n = len(self.ids)
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+        weight = (1 + np.log(self.times)) * self.idf[self.numbers]
+        weight = weight / np.sqrt(np.bincount(row, weight * weight, n))[row]
         held = np.bincount(self.numbers, minlength=len(self.idf))
         common = np.argsort(-held, kind="stable")[:DENSE]
         self.column = np.full(len(self.idf), -1, np.int32)
         self.column[common] = np.arange(len(common))
         at = np.flatnonzero(self.column[self.numbers] >= 0)
-        self.dense = np.zeros((n, len(common)), np.float32)
+        self.dense = np.zeros((n, len(common)))
         self.dense[row[at], self.column[self.numbers[at]]] = weight[at]
         at = np.flatnonzero(self.column[self.numbers] < 0)
         at = at[np.argsort(self.numbers[at], kind="stable")]
         self.rows, self.weights = row[at], weight[at]
         held[common] = 0
         self.lists = np.append(0, np.cumsum(held))
-        self.query = np.zeros(len(self.idf))
+        self.blocks = np.arange(0, n, self.block)
+        self.most = np.maximum.reduceat(self.dense, self.blocks) if n else np.zeros((0, len(common)))
         self.ready = True
 
     def search(self, queries: list, k: int, without: list) -> list[list[tuple[float, int]]]:
         """``nearest`` of several (numbers, times)."""
         if not self.ready:
             self.prepare()
-        n = len(self.ids)
-        weighed = [self.weigh(*q) for q in queries]
-        matrix = np.zeros((len(queries), self.dense.shape[1]), np.float32)
-        for i, (terms, weights) in enumerate(weighed):
+        n, count = len(self.ids), len(self.blocks)
+        if not n or not queries:
+            return [[] for _ in queries]
+        matrix, scores = np.zeros((len(queries), self.dense.shape[1])), np.zeros((len(queries), n))
+        for i, (terms, weights) in enumerate(self.weigh(*q) for q in queries):
             column = self.column[terms]
-            matrix[i, column[column >= 0]] = weights[column >= 0]
-        near = matrix @ self.dense.T
-        out = []
-        for (terms, weights), scores, gone in zip(weighed, near, without, strict=True):
-            rare = self.column[terms] < 0
-            low, high = self.lists[terms[rare]], self.lists[terms[rare] + 1]
-            if (total := int((high - low).sum())) > 0:
-                size = high - low
+            inside = column >= 0
+            matrix[i, column[inside]] = weights[inside]
+            rare = terms[~inside]
+            low, size = self.lists[rare], self.lists[rare + 1] - self.lists[rare]
+            if total := int(size.sum()):
                 at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(total)
-                scores = scores + np.bincount(self.rows[at], self.weights[at] * np.repeat(weights[rare], size), n)
-            some = n if k + 1 >= n else k + int(np.count_nonzero(self.ids == gone)) if gone is not None else k
-            least = max(0.0, -np.partition(-scores, some - 1)[some - 1] - SLACK) if 0 < some < n else 0.0
-            found = []
-            self.query[terms] = weights
-            for i in np.flatnonzero(scores >= least if least > 0 else scores > 0).tolist():
-                if gone is None or self.ids[i] != gone:
-                    part = slice(self.starts[i], self.starts[i + 1])
-                    mine = self.numbers[part]
-                    cosine = float(self.query[mine] @ ((1 + np.log(self.times[part])) * self.idf[mine])) / self.norm[i]
-                    found.append((round(float(cosine), 12), -int(self.ids[i]), i))
-            self.query[terms] = 0
-            out.append([(c, i) for c, _, i in sorted(found, reverse=True)[:k]])
+                scores[i] = np.bincount(self.rows[at], self.weights[at] * np.repeat(weights[~inside], size), n)
+        bounds = matrix @ self.most.T + np.maximum.reduceat(scores, self.blocks, axis=1)
+        opened = np.zeros((len(queries), count), bool)
+        first = np.argsort(-bounds, axis=1)[:, : -(-2 * k // self.block) + 1]
+        np.put_along_axis(opened, first, True, 1)
+        self.open(opened, matrix, scores)
+        least = np.zeros(len(queries))
+        for i, gone in enumerate(without):
+            # what is not opened yet has no whole score: it cannot raise the k-th above the truth
+            seen = np.where(np.repeat(opened[i], self.block)[:n], scores[i], 0)
+            some = k + (int(np.count_nonzero(self.ids == gone)) if gone is not None else 0)
+            least[i] = np.partition(seen, n - some)[n - some] if some < n else 0.0
+        more = ~opened & (bounds >= least[:, None] - 1e-9)
+        self.open(more, matrix, scores)
+        opened |= more
+        out = []
+        for i, gone in enumerate(without):
+            near = np.flatnonzero(np.repeat(opened[i], self.block)[:n] & (scores[i] > 0) & (scores[i] >= least[i] - 1e-9))
+            if gone is not None:
+                near = near[self.ids[near] != gone]
+            value = np.round(scores[i][near], 12)
+            best = np.lexsort((self.ids[near], -value))[:k]
+            out.append(list(zip(value[best].tolist(), near[best].tolist(), strict=True)))
         return out
 
+    def open(self, which: np.ndarray, matrix: np.ndarray, scores: np.ndarray) -> None:
+        """Add the part of the commonest terms to the scores of the blocks of each query."""
+        for b in np.flatnonzero(which.any(0)).tolist():
+            asked = np.flatnonzero(which[:, b])
+            part = slice(b * self.block, min(len(self.ids), (b + 1) * self.block))
+            scores[asked, part] += matrix[asked] @ self.dense[part].T
+
     def nearest(self, terms, times, k: int, without=None) -> list[tuple[float, int]]:
         """The k largest (cosine, example) above 0, exact, ties to the smaller id; ``without`` is an id to leave out."""
         return self.search([(terms, times)], k, [without])[0]
 
 
-def neighbours(docs: DataFrame, text_col: str, keep: list[str], index, id_col: str, k: int, leave_out: bool) -> DataFrame:
-    """``keep`` columns and what decides a row's vote.
+def neighbours(docs: DataFrame, text_col: str, keep: list[str], index, id_col: str, k: int, leave_out: bool, outside: bool) -> DataFrame:
+    """``keep`` columns, and of each row: vote (null without a neighbour), empty (no term at all), the nearest examples.
 
-    inside: the squared length of the part of the vector that the index has terms of; ids, cosines and labels of the
-    nearest examples, by that part alone; others and times: terms that no example holds.
+    A vote is the share of toxic ones among the ``k`` nearest, weighed by the squares of their cosines. ids, cosines and
+    marks are those of the first few. With ``outside`` also the squared length of the part of the vector that the index
+    has terms of, and the terms that no example holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,96 +251,117 @@ def neighbours(docs: DataFrame, text_col: str, keep: list[str], index, id_col: s
         for whole in batches:
             for start in range(0, whole.num_rows, QUERIES):
                 batch = whole.slice(start, QUERIES)
-                inside, others, times, queries = [], [], [], []
+                inside, others, times, queries, empty = [], [], [], [], []
                 for text in batch.column(1):
                     terms, n = text_terms(text.as_py(), memo)
-                    at = np.minimum(np.searchsorted(own.terms, terms), max(0, len(own.terms) - 1))
-                    known = own.terms[at] == terms if len(own.terms) else np.zeros(len(terms), bool)
+                    at, known = located(own.terms, terms)
                     queries.append((at[known], n[known]))
-                    inside.append(float((((1 + np.log(n[known])) * own.idf[at[known]]) ** 2).sum()))
-                    others.append(terms[~known])
-                    times.append(n[~known])
+                    empty.append(not len(terms))
+                    if outside:
+                        inside.append(float((((1 + np.log(n[known])) * own.idf[at[known]]) ** 2).sum()))
+                        others.append(terms[~known])
+                        times.append(n[~known])
                 asked = [i for i, q in enumerate(queries) if len(q[0])]
                 ids = batch.column(0).to_pylist()
                 near = [[] for _ in queries]
-                if asked:
-                    for i, found in zip(asked, own.search([queries[i] for i in asked], k, [ids[i] if leave_out else None for i in asked]), strict=True):
-                        near[i] = found
-                lists = [pa.array([[int(own.ids[i]) for _, i in x[:3]] for x in near], pa.list_(pa.int64())), pa.array([[c for c, _ in x] for x in near], pa.list_(pa.float64())), pa.array([[int(own.labels[i]) for _, i in x] for x in near], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(inside, pa.float64()), *lists, pa.array(others, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], names=[*keep, "row", "inside", "ids", "cosines", "labels", "others", "times"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keep, F.monotonically_increasing_id().alias("row"))
+                for i, found in zip(asked, own.search([queries[i] for i in asked], k, [ids[i] if leave_out else None for i in asked]), strict=True):
+                    near[i] = found
+                votes = []
+                for found in near:
+                    at = [i for _, i in found]
+                    weight = np.array([c for c, _ in found]) ** 2
+                    votes.append(float((weight * own.labels[at]).sum() / weight.sum()) if at else None)
+                lists = [pa.array([[int(own.ids[i]) for _, i in x[:EVIDENCE]] for x in near], pa.list_(pa.int64())), pa.array([[c for c, _ in x[:EVIDENCE]] for x in near], pa.list_(pa.float64())), pa.array([[int(own.labels[i]) for _, i in x[:EVIDENCE]] for x in near], pa.list_(pa.int32()))]
+                columns = [*batch.columns[2:], pa.array(votes, pa.float64()), pa.array(empty, pa.bool_()), *lists]
+                if outside:
+                    columns += [pa.array(inside, pa.float64()), pa.array(others, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keep, *([F.monotonically_increasing_id().alias("row")] if outside else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:])
-    return source.mapInArrow(run, f"{schema}, inside double, ids array<bigint>, cosines array<double>, labels array<int>, others array<bigint>, times array<int>")
-
+    added = "vote double, empty boolean, ids array<bigint>, cosines array<double>, marks array<int>" + (", inside double, others array<bigint>, times array<int>" if outside else "")
+    names = [f.name for f in source.schema[2:]] + [x.split()[0] for x in added.split(", ")]
+    return source.mapInArrow(run, f"{schema}, {added}")
 
-def voted(found: DataFrame, counts: DataFrame, n_docs: int, keep: list[str], prior: float) -> DataFrame:
-    """``keep`` columns, vote (null without a neighbour), empty (no term at all) and evidence of rows of ``neighbours``.
 
-    A vote is the distance-weighted share of toxic neighbours, drawn to ``prior`` by one far neighbour.
-    """
+def whole_cosines(spark: SparkSession, found: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
+    """``found`` with the cosines of whole vectors: terms that no example holds count in a document's length."""
+    found = saved(found, spark)
     terms = found.filter(F.size("others") > 0).select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", F.col("o.others").alias("term"), F.col("o.times").alias("n"))
     weight = (1 + F.log("n")) * (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1)
-    outside = terms.join(counts, "term").groupBy("row").agg(F.sum(weight * weight).alias("outside"))
-    rows = found.join(outside, "row", "left").withColumn("part", F.sqrt(F.try_divide("inside", F.col("inside") + F.coalesce("outside", F.lit(0.0)))))
-    rows = rows.withColumn("cosines", F.transform("cosines", lambda c: c * F.col("part")))
-    weights = F.transform("cosines", lambda c: 1 / (1.05 - c))
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, w: s + w)
-    vote = (total(F.zip_with(weights, "labels", lambda w, y: w * y)) + prior) / (total(weights) + 1)
-    evidence = F.transform("ids", lambda i, j: F.struct(i.alias("id"), F.get("cosines", j).alias("cosine"), F.get("labels", j).alias("toxic")))
-    return rows.select(*keep, F.when(F.size("cosines") > 0, vote).alias("vote"), ((F.size("cosines") == 0) & (F.size("others") == 0)).alias("empty"), evidence.alias("evidence"))
-
-
-def monotone(cells: list[tuple[int, int, int]], prior: float, bins: int) -> list[float]:
-    """Calibrated probability of each of ``bins`` cells from (cell, toxic, n), pooled so that it never falls."""
-    count = {b: (y, n) for b, y, n in cells}
-    pools = []
+    lengths = terms.join(document_frequencies(texts, "text"), "term").groupBy("row").agg(F.sum(weight * weight).alias("outside"))
+    part = F.sqrt(F.try_divide("inside", F.col("inside") + F.coalesce("outside", F.lit(0.0))))
+    return found.join(lengths, "row", "left").withColumn("cosines", F.transform("cosines", lambda c: c * part))
+
+
+def monotone(cells: list[tuple[int, float, float]], prior: float, bins: int) -> list[float]:
+    """Calibrated probability of each of ``bins`` cells from (cell, toxic weight, weight), pooled so that it never falls.
+
+    Each pool is drawn to ``prior`` by a weight of two examples; cells without examples follow the one before.
+    """
+    pools: list[list[float]] = []
+    for b, y, n in sorted(cells):
+        pools.append([b, y, n])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            _, y, n = pools.pop()
+            pools[-1][1] += y
+            pools[-1][2] += n
+    out, at, now = [], 0, 0.0
     for b in range(bins):
-        y, n = count.get(b, (0, 0))
-        middle = (b + 0.5) / bins
-        pools.append([y + 2 * middle, n + 2.0, 1])
-        while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
-            y, n, m = pools.pop()
-            pools[-1] = [pools[-1][0] + y, pools[-1][1] + n, pools[-1][2] + m]
-    return [y / n for y, n, m in pools for _ in range(m)]
+        while at < len(pools) and pools[at][0] <= b:
+            now = max(now, (pools[at][1] + 2 * prior) / (pools[at][2] + 2))
+            at += 1
+        out.append(now)
+    return out
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS, most: int = MOST_EXAMPLES, bins: int = 20) -> DataFrame:
-    """Per row of ``docs``: ``id_col``, held_out, score, predicted, evidence (the nearest examples).
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, least: int = NEIGHBOURS, most: int = MOST_EXAMPLES, bins: int = BINS, cosines: bool = True) -> DataFrame:
+    """Per row of ``docs``: ``id_col``, held_out, score, predicted, evidence (the nearest examples, with cosines if asked).
 
     Labels (doc_id, toxic) of held-out rows are never read; of several labels of one id the largest counts, null ones
-    do not. A text without any term gets the share of toxic examples among examples of its kind, and one that shares no
-    term with an example the share among all. Null ids are not held out; repeated rows are scored one by one; without
-    labels every score is 0; an empty table gives an empty result; other columns are not looked at.
+    do not, and of several texts of one labelled id the least is the example. A text without any term gets the share of
+    toxic examples among examples of its kind, and one that shares no term with an example the share among all. Null ids
+    are not held out; repeated rows are scored one by one; without labels every score is 0; an empty table gives an empty
+    result; other columns are not looked at.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("node"), "toxic").filter("node IS NOT NULL AND toxic IS NOT NULL")
     known = known.filter(~held_out(F.col("node"))).groupBy("node").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    share = most / max(1, known.count())
-    if share < 1:
-        known = known.filter(uniform(F.col("node"), seed="toxicity") < share)
-    known = saved(known, spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    examples = saved(possible(texts, known).join(known, "node"), spark)
-    counts = saved(document_frequencies(texts, "text"), spark)
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # at most two rows
+    taken = F.when(F.col("toxic") == 1, min(1.0, most / 2 / max(1, sizes.get(1, 0)))).otherwise(min(1.0, most / 2 / max(1, sizes.get(0, 0))))
+    known = saved(known.filter(uniform(F.col("node"), seed="toxicity") < taken), spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
+    examples = possible(texts, known).filter(F.length("text") <= MOST_CHARS).join(known, "node")
+    examples = saved(examples.groupBy("node", "toxic").agg(F.min("text").alias("text")), spark)
+    # at most MOST_EXAMPLES rows of at most MOST_CHARS characters
+    rows = [(r["node"], r["toxic"], np.frombuffer(r["terms"], np.int64), np.frombuffer(r["times"], np.int32)) for r in term_lists(examples).collect()]
+    rows.sort(key=lambda r: r[0])
+    terms = np.unique(np.concatenate([np.zeros(0, np.int64), *[r[2] for r in rows]]))
     n_docs = docs.count()
-    # the terms of at most MOST_EXAMPLES rows
-    frequency = counts.join(document_frequencies(examples, "text").select("term"), "term").toArrow()
-    order = np.argsort(frequency["term"].to_numpy())
-    terms, df = frequency["term"].to_numpy()[order], frequency["df"].to_numpy()[order]
-    idf = np.log((1 + n_docs) / (1 + df.astype(float))) + 1
-    # at most MOST_EXAMPLES rows in all, packed
-    parts = packed_vectors(examples, spark.sparkContext.broadcast(terms)).collect()
-    ids = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x["nodes"], np.int64) for x in parts]])
-    marks, sizes = (np.concatenate([np.zeros(0, np.int32), *[unpacked(x[c]) for x in parts]]).astype(np.int64) for c in ("marks", "sizes"))
-    without = float(marks[sizes == 0].sum() / (np.count_nonzero(sizes == 0) + 1))
-    prior = float(marks[sizes > 0].mean()) if (sizes > 0).any() else 0.0
-    index = BlockMaxIndex.of_parts(ids, marks, sizes, [(bytes(x["steps"]), bytes(x["times"])) for x in parts], idf, terms)
+    counted = counts_of(texts, "text", spark.sparkContext.broadcast(terms)).toArrow()  # one row a term of the examples
+    df = np.zeros(len(terms))
+    df[counted["place"].to_numpy()] = counted["n"].to_numpy()
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    marks, held = np.array([r[1] for r in rows], np.int64), np.array([len(r[2]) for r in rows], np.int64)
+    index = BlockMaxIndex(np.array([r[0] for r in rows], np.int64), marks, [(np.searchsorted(terms, r[2]), r[3]) for r in rows], idf, terms=terms)
     sent = spark.sparkContext.broadcast(index)
+    prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    # an example stands for as many labelled rows as its label has, over as many examples
+    stands = {y: sizes.get(y, 0) / max(1, int((marks == y).sum())) for y in (0, 1)}
+    bare = {y: stands[y] * int(((marks == y) & (held == 0)).sum()) for y in (0, 1)}
+    without = bare[1] / (bare[0] + bare[1] + 1)
+    k = max(least, int(share * len(rows)))
     cell = F.least(F.floor(F.col("vote") * bins), F.lit(bins - 1)).cast("int")
-    again = voted(saved(neighbours(examples, "text", ["toxic"], sent, "node", k, True), spark), counts, n_docs, ["toxic"], prior).filter("vote IS NOT NULL")
-    cells = [(r["b"], r["y"], r["n"]) for r in again.groupBy(cell.alias("b")).agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).collect()]  # at most ``bins`` rows
-    calibrated = F.array(*[F.lit(float(p)) for p in monotone(cells, prior, bins)])
-    near = saved(neighbours(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"], sent, "id", k, False), spark)
-    scored = voted(near, counts, n_docs, ["id"], prior)
-    score = F.when(F.col("vote").isNotNull(), F.element_at(calibrated, cell + 1)).otherwise(F.when(F.col("empty"), F.lit(float(without))).otherwise(F.lit(prior)))
-    return scored.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "evidence")
+    again = neighbours(examples.repartition(24), "text", ["toxic"], sent, "node", k, True, False).filter("vote IS NOT NULL")
+    cells: dict[int, list[float]] = {}
+    for r in again.groupBy(cell.alias("b"), "toxic").count().collect():  # at most two rows a bin
+        at = cells.setdefault(r["b"], [0.0, 0.0])
+        at[0] += r["toxic"] * r["count"] * stands[1]
+        at[1] += r["count"] * stands[r["toxic"]]
+    calibrated = F.array(*[F.lit(float(p)) for p in monotone([(b, y, n) for b, (y, n) in cells.items()], prior, bins)])
+    near = neighbours(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"], sent, "id", k, False, cosines)
+    if cosines:
+        near = whole_cosines(spark, near, texts, n_docs)
+    score = F.when(F.col("vote").isNotNull(), F.element_at(calibrated, cell + 1)).otherwise(F.when(F.col("empty"), F.lit(float(without))).otherwise(F.lit(float(prior))))
+    fields = [lambda i, j: i.alias("id"), *([lambda i, j: F.get("cosines", j).alias("cosine")] if cosines else []), lambda i, j: F.get("marks", j).alias("toxic")]
+    evidence = F.transform("ids", lambda i, j: F.struct(*[f(i, j) for f in fields]))
+    return near.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), evidence.alias("evidence"))
