@@ -24,7 +24,7 @@ from corpusloom.llm.mixing import uniform
 from corpusloom.session import saved
 
 #: Examples at most, about half of them of either label, and the longest text that may be one.
-MOST_EXAMPLES = 4_000
+MOST_EXAMPLES = 3_000
 MOST_CHARS = 50_000
 PREFIXES = (4, 5, 6)
 #: Neighbours that vote: this share of the examples, and this number at least.
@@ -37,35 +37,63 @@ DENSE = 1_024
 QUERIES = 128
 #: Terms counted in a task before they are passed on.
 GATHERED = 4_000_000
-MEMO = 200_000
+MEMO = 400_000
 BINS = 400
 EVIDENCE = 3
-EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_/\\~`+=@^"
+EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\~`+=@^"
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def word_terms(word: bytes) -> list[str]:
+def word_terms(word: str | bytes) -> list[str]:
     """The terms of one word: the word itself and its prefixes, marked by a star."""
-    bare = word.strip(EDGES).decode().lower()
-    return [bare, *[bare[:n] + "*" for n in PREFIXES if len(bare) > n]] if bare else []
+    bare = (word.decode() if isinstance(word, bytes) else word).lower().strip(EDGES)
+    size = len(bare)
+    return [bare, *[bare[:n] + "*" for n in PREFIXES if size > n]] if bare else []
 
 
 class Memo(dict):
     """word -> hashes of its terms, eight bytes each."""
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > MEMO:
             self.clear()
         found = self[word] = b"".join(xxhash.xxh3_64_intdigest(t).to_bytes(8, "little") for t in word_terms(word))
         return found
 
 
+class Places(dict):
+    """word -> places of its terms among the sorted hashes ``terms``; terms that are not there are left out."""
+
+    def __init__(self, terms: np.ndarray):
+        self.known = dict(zip(terms.view(np.uint64).tolist(), range(len(terms)), strict=True))
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > MEMO:
+            self.clear()
+        known = self.known
+        found = self[word] = tuple([known[h] for h in map(xxhash.xxh3_64_intdigest, word_terms(word)) if h in known])
+        return found
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Places of a text's terms in order, how often it holds each, and whether it has no term at all."""
+        words = Counter((text or "").lower().split())
+        places: list[int] = []
+        times: list[int] = []
+        for word, n in words.items():
+            if own := self[word]:
+                places += own
+                times += [n] * len(own)
+        terms, back = np.unique(np.array(places, np.int64), return_inverse=True)
+        empty = not places and not any(w.strip(EDGES) for w in words)
+        return terms, np.bincount(back, times, len(terms)).astype(np.int64), empty
+
+
 def text_terms(text: str | None, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all terms of a text in order, and how often it holds each."""
-    words = Counter((text or "").encode().split())
+    words = Counter((text or "").lower().split())
     packed = [memo[w] for w in words]
     hashes = np.frombuffer(b"".join(packed), np.int64)
     times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) // 8 for p in packed])
@@ -103,12 +131,11 @@ def counts_of(docs: DataFrame, text_col: str, terms) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, own = Memo(), terms.value
-        total = np.zeros(len(own), np.int64)
+        known = Places(terms.value)
+        total = np.zeros(len(terms.value), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                at, known = located(own, text_terms(text.as_py(), memo)[0])
-                total[at[known]] += 1
+                total[known.of(text.as_py())[0]] += 1
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["place", "n"])
 
@@ -247,17 +274,18 @@ def neighbours(docs: DataFrame, text_col: str, keep: list[str], index, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: BlockMaxIndex = index.value
-        memo = Memo()
+        memo, places = Memo(), Places(own.terms)
         for whole in batches:
             for start in range(0, whole.num_rows, QUERIES):
                 batch = whole.slice(start, QUERIES)
                 inside, others, times, queries, empty = [], [], [], [], []
                 for text in batch.column(1):
-                    terms, n = text_terms(text.as_py(), memo)
-                    at, known = located(own.terms, terms)
-                    queries.append((at[known], n[known]))
-                    empty.append(not len(terms))
+                    at, n, bare = places.of(text.as_py())
+                    queries.append((at, n))
+                    empty.append(bare)
                     if outside:
+                        terms, n = text_terms(text.as_py(), memo)
+                        at, known = located(own.terms, terms)
                         inside.append(float((((1 + np.log(n[known])) * own.idf[at[known]]) ** 2).sum()))
                         others.append(terms[~known])
                         times.append(n[~known])
