@@ -24,7 +24,7 @@ from corpusloom.llm.mixing import uniform
 from corpusloom.session import saved
 
 #: Examples at most, about half of them of either label, and the longest text that may be one.
-MOST_EXAMPLES = 3_000
+MOST_EXAMPLES = 2_000
 MOST_CHARS = 50_000
 PREFIXES = (4, 5, 6)
 #: Neighbours that vote: this share of the examples, and this number at least.
@@ -124,22 +124,46 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def counts_of(docs: DataFrame, text_col: str, terms) -> DataFrame:
-    """(place, n): the number of rows that hold each of the sorted hashes in the broadcast ``terms``.
+def placed(docs: DataFrame, text_col: str, keep: list[str], terms, outside: bool = False) -> DataFrame:
+    """``keep`` columns, and of each text: places (int32, ascending) of its terms among the broadcast hashes, times (int32)
+    and empty (no term at all). With ``outside`` also a row number, and hashes and times of the terms that are not there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, memo = Places(terms.value), Memo()
+        for batch in batches:
+            rows = [places.of(text.as_py()) for text in batch.column(0)]
+            columns = [*batch.columns[1:], *[pa.array([r[i].astype(np.int32).tobytes() for r in rows], pa.binary()) for i in (0, 1)], pa.array([r[2] for r in rows], pa.bool_())]
+            if outside:
+                others = []
+                for text in batch.column(0):
+                    found, n = text_terms(text.as_py(), memo)
+                    known = located(terms.value, found)[1]
+                    others.append((found[~known], n[~known]))
+                columns += [pa.array([o[0] for o in others], pa.list_(pa.int64())), pa.array([o[1] for o in others], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    source = docs.select(F.col(text_col), *keep, *([F.monotonically_increasing_id().alias("row")] if outside else []))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[1:])
+    added = "places binary, times binary, empty boolean" + (", others array<bigint>, other_times array<int>" if outside else "")
+    names = [f.name for f in source.schema[1:]] + [x.split()[0] for x in added.split(", ")]
+    return source.mapInArrow(run, f"{schema}, {added}")
+
+
+def counts_of(rows: DataFrame, size: int) -> DataFrame:
+    """(place, n): the number of rows of ``placed`` that hold each of ``size`` terms.
 
     A task sends one count for each term it has seen, whatever the number of its rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Places(terms.value)
-        total = np.zeros(len(terms.value), np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                total[known.of(text.as_py())[0]] += 1
+            for places in batch.column(0):
+                total[np.frombuffer(places.as_py(), np.int32)] += 1
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["place", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    return rows.select("places").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
 
 def located(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,31 +288,20 @@ class BlockMaxIndex:
         return self.search([(terms, times)], k, [without])[0]
 
 
-def neighbours(docs: DataFrame, text_col: str, keep: list[str], index, id_col: str, k: int, leave_out: bool, outside: bool) -> DataFrame:
-    """``keep`` columns, and of each row: vote (null without a neighbour), empty (no term at all), the nearest examples.
+def neighbours(rows: DataFrame, keep: list[str], index, id_col: str, k: int, leave_out: bool = False) -> DataFrame:
+    """``keep`` columns, and of each row of ``placed``: vote (null without a neighbour), empty, the nearest examples.
 
     A vote is the share of toxic ones among the ``k`` nearest, weighed by the squares of their cosines. ids, cosines and
-    marks are those of the first few. With ``outside`` also the squared length of the part of the vector that the index
-    has terms of, and the terms that no example holds.
+    marks are those of the first few; inside is the squared length of the part of the vector that the index has terms of.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: BlockMaxIndex = index.value
-        memo, places = Memo(), Places(own.terms)
         for whole in batches:
             for start in range(0, whole.num_rows, QUERIES):
                 batch = whole.slice(start, QUERIES)
-                inside, others, times, queries, empty = [], [], [], [], []
-                for text in batch.column(1):
-                    at, n, bare = places.of(text.as_py())
-                    queries.append((at, n))
-                    empty.append(bare)
-                    if outside:
-                        terms, n = text_terms(text.as_py(), memo)
-                        at, known = located(own.terms, terms)
-                        inside.append(float((((1 + np.log(n[known])) * own.idf[at[known]]) ** 2).sum()))
-                        others.append(terms[~known])
-                        times.append(n[~known])
+                queries = [(np.frombuffer(p.as_py(), np.int32), np.frombuffer(n.as_py(), np.int32)) for p, n in zip(batch.column(1), batch.column(2), strict=True)]
+                inside = [float((((1 + np.log(n)) * own.idf[p]) ** 2).sum()) for p, n in queries]
                 asked = [i for i, q in enumerate(queries) if len(q[0])]
                 ids = batch.column(0).to_pylist()
                 near = [[] for _ in queries]
@@ -300,22 +313,19 @@ def neighbours(docs: DataFrame, text_col: str, keep: list[str], index, id_col: s
                     weight = np.array([c for c, _ in found]) ** 2
                     votes.append(float((weight * own.labels[at]).sum() / weight.sum()) if at else None)
                 lists = [pa.array([[int(own.ids[i]) for _, i in x[:EVIDENCE]] for x in near], pa.list_(pa.int64())), pa.array([[c for c, _ in x[:EVIDENCE]] for x in near], pa.list_(pa.float64())), pa.array([[int(own.labels[i]) for _, i in x[:EVIDENCE]] for x in near], pa.list_(pa.int32()))]
-                columns = [*batch.columns[2:], pa.array(votes, pa.float64()), pa.array(empty, pa.bool_()), *lists]
-                if outside:
-                    columns += [pa.array(inside, pa.float64()), pa.array(others, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keep, *([F.monotonically_increasing_id().alias("row")] if outside else []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:])
-    added = "vote double, empty boolean, ids array<bigint>, cosines array<double>, marks array<int>" + (", inside double, others array<bigint>, times array<int>" if outside else "")
-    names = [f.name for f in source.schema[2:]] + [x.split()[0] for x in added.split(", ")]
+                yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(votes, pa.float64()), *lists, pa.array(inside, pa.float64())], names=names)
+
+    source = rows.select(F.col(id_col).cast("long").alias("_id"), "places", "times", *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[3:])
+    added = "vote double, ids array<bigint>, cosines array<double>, marks array<int>, inside double"
+    names = [f.name for f in source.schema[3:]] + [x.split()[0] for x in added.split(", ")]
     return source.mapInArrow(run, f"{schema}, {added}")
 
 
 def whole_cosines(spark: SparkSession, found: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
     """``found`` with the cosines of whole vectors: terms that no example holds count in a document's length."""
     found = saved(found, spark)
-    terms = found.filter(F.size("others") > 0).select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("row", F.col("o.others").alias("term"), F.col("o.times").alias("n"))
+    terms = found.filter(F.size("others") > 0).select("row", F.explode(F.arrays_zip("others", "other_times")).alias("o")).select("row", F.col("o.others").alias("term"), F.col("o.other_times").alias("n"))
     weight = (1 + F.log("n")) * (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1)
     lengths = terms.join(document_frequencies(texts, "text"), "term").groupBy("row").agg(F.sum(weight * weight).alias("outside"))
     part = F.sqrt(F.try_divide("inside", F.col("inside") + F.coalesce("outside", F.lit(0.0))))
@@ -365,7 +375,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     rows.sort(key=lambda r: r[0])
     terms = np.unique(np.concatenate([np.zeros(0, np.int64), *[r[2] for r in rows]]))
     n_docs = docs.count()
-    counted = counts_of(texts, "text", spark.sparkContext.broadcast(terms)).toArrow()  # one row a term of the examples
+    known_terms = spark.sparkContext.broadcast(terms)
+    # each text is cut into terms once; what follows reads the places of its terms
+    queries = saved(placed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"], known_terms, cosines), spark)
+    counted = counts_of(queries, len(terms)).toArrow()  # one row a term of the examples
     df = np.zeros(len(terms))
     df[counted["place"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((1 + n_docs) / (1 + df)) + 1
@@ -379,14 +392,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     without = bare[1] / (bare[0] + bare[1] + 1)
     k = max(least, int(share * len(rows)))
     cell = F.least(F.floor(F.col("vote") * bins), F.lit(bins - 1)).cast("int")
-    again = neighbours(examples.repartition(24), "text", ["toxic"], sent, "node", k, True, False).filter("vote IS NOT NULL")
+    again = neighbours(placed(examples.repartition(24), "text", ["node", "toxic"], known_terms), ["toxic"], sent, "node", k, leave_out=True).filter("vote IS NOT NULL")
     cells: dict[int, list[float]] = {}
     for r in again.groupBy(cell.alias("b"), "toxic").count().collect():  # at most two rows a bin
         at = cells.setdefault(r["b"], [0.0, 0.0])
         at[0] += r["toxic"] * r["count"] * stands[1]
         at[1] += r["count"] * stands[r["toxic"]]
     calibrated = F.array(*[F.lit(float(p)) for p in monotone([(b, y, n) for b, (y, n) in cells.items()], prior, bins)])
-    near = neighbours(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", ["id"], sent, "id", k, False, cosines)
+    near = neighbours(queries, ["id", "empty", *(["row", "others", "other_times"] if cosines else [])], sent, "id", k)
     if cosines:
         near = whole_cosines(spark, near, texts, n_docs)
     score = F.when(F.col("vote").isNotNull(), F.element_at(calibrated, cell + 1)).otherwise(F.when(F.col("empty"), F.lit(float(without))).otherwise(F.lit(float(prior))))
