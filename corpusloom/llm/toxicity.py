@@ -124,15 +124,24 @@ def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """int32 steps between ascending values, byte plane by byte plane, so that the column compresses well."""
+    return np.diff(values, prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel(), dtype=np.int32)
+
+
 def placed(docs: DataFrame, text_col: str, keep: list[str], terms, outside: bool = False) -> DataFrame:
-    """``keep`` columns, and of each text: places (int32, ascending) of its terms among the broadcast hashes, times (int32)
+    """``keep`` columns, and of each text: places of its terms among the broadcast hashes and times (both ``packed``)
     and empty (no term at all). With ``outside`` also a row number, and hashes and times of the terms that are not there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, memo = Places(terms.value), Memo()
         for batch in batches:
             rows = [places.of(text.as_py()) for text in batch.column(0)]
-            columns = [*batch.columns[1:], *[pa.array([r[i].astype(np.int32).tobytes() for r in rows], pa.binary()) for i in (0, 1)], pa.array([r[2] for r in rows], pa.bool_())]
+            columns = [*batch.columns[1:], *[pa.array([packed(r[i]) for r in rows], pa.binary()) for i in (0, 1)], pa.array([r[2] for r in rows], pa.bool_())]
             if outside:
                 others = []
                 for text in batch.column(0):
@@ -159,7 +168,7 @@ def counts_of(rows: DataFrame, size: int) -> DataFrame:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for places in batch.column(0):
-                total[np.frombuffer(places.as_py(), np.int32)] += 1
+                total[unpacked(places.as_py())] += 1
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["place", "n"])
 
@@ -300,7 +309,7 @@ def neighbours(rows: DataFrame, keep: list[str], index, id_col: str, k: int, lea
         for whole in batches:
             for start in range(0, whole.num_rows, QUERIES):
                 batch = whole.slice(start, QUERIES)
-                queries = [(np.frombuffer(p.as_py(), np.int32), np.frombuffer(n.as_py(), np.int32)) for p, n in zip(batch.column(1), batch.column(2), strict=True)]
+                queries = [(unpacked(p.as_py()), unpacked(n.as_py())) for p, n in zip(batch.column(1), batch.column(2), strict=True)]
                 inside = [float((((1 + np.log(n)) * own.idf[p]) ** 2).sum()) for p, n in queries]
                 asked = [i for i, q in enumerate(queries) if len(q[0])]
                 ids = batch.column(0).to_pylist()
