@@ -1,16 +1,18 @@
 """Near-duplicate documents: MinHash bands find candidates, full shingle sets confirm them.
 
-1. One pass over the texts gives each document the size of its set of 5-word shingles, a 128-bit digest of the set
-   and ``bands`` hashes, each of ``rows`` universal-hash minima.
-2. Documents with equal sets fall into one class by an aggregation on the digest; its smallest id stands for it.
+1. One pass over the texts gives each document the size of its set of 5-word shingles, a 128-bit digest of the set,
+   a signature of universal-hash minima and ``bands`` hashes, each of ``rows`` of these minima.
+2. Documents with equal sets fall into one class by an aggregation on the digest; one of its rows stands for it.
 3. Classes that share a band are joined by star edges to the smallest of the bucket, never pair by pair; the
    components of these edges are the candidate groups.
-4. Within a group every pair that could reach the threshold is confirmed on the full sets, in blocks of bounded size:
-   a large group is cut into windows of similar set sizes and these into salted blocks, and pairs of blocks are the
-   units of work. A block pair returns a spanning forest of its links, not the pairs.
+4. Within a group the pairs that could reach the threshold are verified on their signatures, and what agrees is confirmed
+   on the full sets, in blocks of bounded size: a large group is cut into windows of similar set sizes and these into
+   salted blocks, and pairs of blocks are the units of work. A block pair returns a spanning forest of its links, not
+   the pairs; pairs that the forest connects already need no set.
 5. The components of the confirmed links, by alternating large-star and small-star, are the near-duplicate groups.
 
-With 28 bands of 5 rows a pair at the threshold 0.85 shares no band with probability (1 - 0.85^5)^28 < 1e-7.
+With 28 bands of 5 rows a pair at the threshold 0.85 shares no band with probability (1 - 0.85^5)^28 < 1e-7, and fewer than
+``AGREED`` of its 140 signature bytes agree with probability < 1e-10.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BANDS, ROWS = 28, 5
 WIDTH = 5
 PERCENT = 85
 BLOCK = 128
+#: Equal bytes of two signatures at least: of 140, a pair at the threshold has 119 on average, with a deviation of 4.2.
+AGREED = 85
 
 _rng = np.random.default_rng(97)
 SLOPES = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,13 +57,13 @@ def minima(hashes: np.ndarray, starts: np.ndarray, slopes: np.ndarray, shifts: n
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """node, n_shingles, digest (null for an empty set), bands of every row."""
+    """uid, node, th (hash of the text), n_shingles, and of a set that is not empty digest, bands and signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column(1))
+            texts = _bytes(batch.column(3))
             for lo, hi in grouped(texts, 1 << 18):
-                sizes, digests, bands = [], [], []
+                sizes, digests, bands, signed = [], [], [], []
                 hashes, bound = shingles(texts[lo:hi], WIDTH)
                 full = np.flatnonzero(np.diff(bound))
                 if len(full):
@@ -68,17 +72,20 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     for r in range(ROWS):
                         key = mixed(key * np.uint64(0x2545F4914F6CDD1D) + low[:, r])
                     rows = dict(zip(full.tolist(), np.ascontiguousarray(key.T).view(np.int64), strict=True))
+                    sign = (mixed(low) >> np.uint64(56)).astype(np.uint8).reshape(BANDS * ROWS, len(full)).T
+                    signs = dict(zip(full.tolist(), [x.tobytes() for x in sign], strict=True))
                 else:
-                    rows = {}
+                    rows, signs = {}, {}
                 for i in range(hi - lo):
                     own = np.unique(hashes[bound[i] : bound[i + 1]])
                     sizes.append(len(own))
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                     bands.append(rows.get(i))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "n_shingles", "digest", "bands"])
+                    signed.append(signs.get(i))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signed, pa.binary())], names=["uid", "node", "th", "n_shingles", "digest", "bands", "sign"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col))
-    return source.mapInArrow(run, "node long, n_shingles long, digest binary, bands array<long>")
+    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("node"), F.xxhash64(text_col).alias("th"), F.col(text_col))
+    return source.mapInArrow(run, "uid long, node long, th long, n_shingles long, digest binary, bands array<long>, sign binary")
 
 
 def candidate_groups(spark: SparkSession, classes: DataFrame) -> DataFrame:
@@ -104,33 +111,6 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -
     return source.mapInArrow(run, f"{schema}, set binary")
 
 
-def linked(sets: list[np.ndarray], percent: int, room: int = 1 << 22) -> np.ndarray:
-    """(k, 2): which pairs of sets have 100 * intersection >= percent * union; exact.
-
-    The intersections are a product of 0/1 matrices over the shingles that at least two sets hold, a slice of
-    shingles at a time.
-    """
-    n = np.array([len(s) for s in sets])
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), n)
-    common = np.flatnonzero(np.bincount(place, minlength=len(values)) > 1)
-    column = np.full(len(values), -1)
-    column[common] = np.arange(len(common))
-    column = column[place]
-    owner, column = owner[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float64)
-    step = max(1, room // len(sets))
-    for lo in range(0, len(common), step):
-        a, b = np.searchsorted(column, [lo, lo + step])
-        part = np.zeros((len(sets), min(step, len(common) - lo)), np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        both += part @ part.T  # at most 2^22 ones a slice, exact in float32
-    hit = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1)
-    return np.argwhere(hit)
-
-
 def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs."""
     up = list(range(n))
@@ -174,15 +154,40 @@ def block_pairs(groups: DataFrame, block: int = BLOCK, percent: int = PERCENT) -
     return rows.withColumn("unit", unit).drop("members", "blocks", "window", "other", "mine")
 
 
+def links_within(sets: list[np.ndarray], signs: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with 100 * intersection >= percent * union.
+
+    Pairs whose signatures agree are tried from the most alike on, and one whose ends are connected is not tried.
+    """
+    n = np.array([len(x) for x in sets])
+    least = percent * np.maximum(n[:, None], n[None, :]) <= 100 * np.minimum(n[:, None], n[None, :])
+    agreed = np.stack([np.count_nonzero(signs[i] == signs, axis=1) for i in range(len(sets))])
+    pairs = np.argwhere(np.triu(least & (agreed >= AGREED), 1))
+    pairs = pairs[np.argsort(-agreed[pairs[:, 0], pairs[:, 1]], kind="stable")]
+    up = list(range(len(sets)))
+    kept = []
+    for a, b in pairs.tolist():
+        x, y = a, b
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * both >= percent * (n[a] + n[b] - both):
+                up[max(x, y)] = min(x, y)
+                kept.append((a, b))
+    return kept
+
+
 def confirmed(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (u, v) of a spanning forest of the links within each unit."""
+    """Edges (u, v) of a spanning forest of the links within each unit of rows (unit, node, set, sign)."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node", kind="stable")
         node = part["node"].to_numpy()
-        pairs = linked([np.frombuffer(s, np.uint64) for s in part["set"]], percent)
-        pairs = forest(pairs, len(node))
-        at = np.array(pairs, np.int64).reshape(-1, 2)
+        signs = np.frombuffer(b"".join(part["sign"]), np.uint8).reshape(len(node), -1)
+        at = np.array(links_within([np.frombuffer(s, np.uint64) for s in part["set"]], signs, percent), np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": node[at[:, 0]], "v": node[at[:, 1]]})
 
     return sets.groupBy("unit").applyInPandas(run, "u long, v long")
@@ -203,34 +208,46 @@ def possible(rows: DataFrame, wanted: DataFrame, column: str = "node", bits: int
     return joined.filter(bit).select(*rows.columns)
 
 
+def _resolved(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """node, th, n_shingles, component_id and kept of every row of ``docs``."""
+    sketch = saved(sketches(docs, id_col, text_col), spark)
+    real = sketch.filter("digest IS NOT NULL AND node IS NOT NULL")
+    first = F.min(F.struct("uid", "node", "th", "n_shingles", "bands", "sign"))
+    classes = real.groupBy("digest").agg(first.alias("f"), F.min("node").alias("least"), F.count("*").alias("copies"))
+    classes = saved(classes.select("digest", "least", "copies", F.col("f.uid").alias("rep"), F.col("f.node").alias("node"), F.col("f.th").alias("th"), F.col("f.n_shingles").alias("n"), F.col("f.bands").alias("bands"), F.col("f.sign").alias("sign")), spark)
+    groups = candidate_groups(spark, classes).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    wanted = saved(groups.join(classes.select("rep", "node", "th", "n", "sign"), "rep"), spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    texts = possible(texts, wanted).join(wanted, ["node", "th"]).select("rep", "grp", "n", "sign", "text")
+    # rows that repeat id and text are one set
+    sets = saved(shingle_sets(texts, "rep", "text", ["rep", "grp", "n", "sign"]).dropDuplicates(["rep"]), spark)
+    units = block_pairs(sets.withColumnRenamed("rep", "node"), percent=percent)
+    found = components(spark, confirmed(units.select("unit", "node", "set", "sign"), percent))
+    # the first of a component: its least id, and of several texts with it the one with the least digest
+    members = found.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "digest", "least"), "rep")
+    heads = members.groupBy("component").agg(F.min(F.struct("least", "digest")).alias("head"))
+    heads = members.join(heads, "component").select("digest", "head")
+    # classes of one row and no link need no join: they are their own head
+    known = classes.filter("copies > 1").select("digest", "least").join(heads, "digest", "full_outer")
+    known = known.select("digest", F.coalesce("head", F.struct("least", "digest")).alias("head"))
+    rows = sketch.select("node", "th", "n_shingles", "digest").join(known, "digest", "left")
+    component = F.when(F.col("digest").isNotNull() & F.col("node").isNotNull(), F.coalesce("head.least", "node")).otherwise(F.col("node"))
+    kept = F.col("head").isNull() | F.col("node").isNull() | ((F.col("node") == F.col("head.least")) & (F.col("digest") == F.col("head.digest")))
+    return rows.select("node", "th", "n_shingles", component.alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``id_col``, n_shingles, component_id, kept.
 
-    A null or blank text has an empty set and is linked with nothing. Rows that repeat an id are one node: they
-    share its links and are all kept or all dropped. A row whose id is null is not linked: component_id is null and
-    kept is true. An empty table gives an empty result; other columns are not looked at.
+    A null or blank text has an empty set and is linked with nothing. Rows that repeat an id are told apart by their
+    texts: each text has its own links, and of several texts with a component's least id one is kept. Rows that repeat
+    id and text are kept or dropped together. A row whose id is null is not linked: component_id is null and kept is
+    true. An empty table gives an empty result; other columns are not looked at.
     """
-    sketch = saved(sketches(docs, id_col, text_col), spark)
-    real = sketch.filter("digest IS NOT NULL AND node IS NOT NULL")
-    classes = saved(real.groupBy("digest").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), spark)
-    groups = candidate_groups(spark, classes)
-    wanted = groups.join(classes.select("rep", "n").dropDuplicates(["rep"]), F.col("node") == F.col("rep")).select(F.col("component").alias("grp"), "node", "n")
-    wanted = saved(wanted, spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    texts = possible(texts, wanted).join(wanted, "node")
-    # the sets stay beside the text's own partition; only the units are shuffled
-    units = block_pairs(saved(shingle_sets(texts, "node", "text", ["grp", "node", "n"]), spark), percent=percent)
-    links = confirmed(units.select("unit", "node", "set"), percent)
-    found = components(spark, links)
-    # copies follow the document that stands for their class; only classes of several rows need the join
-    several = classes.filter("copies > 1").select("digest", "rep")
-    rows = sketch.select("node", "n_shingles", "digest").join(several, "digest", "left").withColumn("rep", F.coalesce("rep", "node"))
-    out = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select(F.col("node").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("node") == component, F.lit(True)).alias("kept"))
+    return _resolved(spark, docs, id_col, text_col, percent).select(F.col("node").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their group; columns unchanged."""
-    gone = near_duplicates(spark, docs, id_col, text_col, percent).filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stand for their group; columns unchanged. A text is gone only where a like one stays."""
+    gone = _resolved(spark, docs, id_col, text_col, percent).filter("NOT kept").select(F.col("node").alias("_gone"), F.col("th").alias("_gone_th")).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col("_gone")) & (F.xxhash64(text_col) == F.col("_gone_th")), "left_anti")

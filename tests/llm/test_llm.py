@@ -11,9 +11,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from pyspark.sql import Row, functions as F
+from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, embedding_dedup, licenses, line_dedup, minhash, mixing, quality, queries, secrets, sql_texts, toxicity
+from corpusloom.llm import bpe, chat, embedding_dedup, licenses, line_dedup, minhash, mixing, quality, queries, secrets, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, component int, row string"
@@ -200,6 +200,40 @@ def test_minhash_awkward(spark):
     assert minhash.drop_near_duplicates(spark, awkward(spark)).columns == awkward(spark).columns
 
 
+def test_minhash_repeated_ids_lose_no_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = b + " more"
+    rows = table(spark, [a, a, b, near, b], [3, 5, 5, 9, 5])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark, rows).collect())
+    assert got == [(3, 36, 3, True), (5, 36, 3, False), (5, 36, 5, True), (5, 36, 5, True), (9, 37, 5, False)]
+    left = minhash.drop_near_duplicates(spark, rows).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(3, a), (5, b), (5, b)]
+    # both texts of an id alike, and the id the least: one of them stays
+    left = minhash.drop_near_duplicates(spark, table(spark, [b, near, b], [1, 1, 2])).collect()
+    assert len(left) == 1
+
+
+def test_minhash_signatures_lose_no_link():
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (20, 60, 300):
+        base = rng.integers(0, 2**63, size, dtype=np.uint64)
+        for _ in range(60):
+            own = base.copy()
+            at = rng.random(size) < rng.uniform(0, 0.12)
+            own[at] = rng.integers(0, 2**63, at.sum(), dtype=np.uint64)
+            sets.append(np.unique(own))
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    low = minhash.minima(np.concatenate(sets), starts, minhash.SLOPES, minhash.SHIFTS)
+    signs = (minhash.mixed(low) >> np.uint64(56)).astype(np.uint8).T
+    lost = 0
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            lost += np.count_nonzero(signs[i] == signs[j]) < minhash.AGREED
+    assert lost == 0
+
+
 # line dedup
 
 
@@ -354,7 +388,6 @@ def test_quality_counts_equal_brute_force(spark):
 def test_kneser_ney_is_a_distribution(spark):
     rows = table(spark, ["the cat sat on the mat and that was that " * 3, "a tin hat", "le chat est là " * 4], langs=["en", "en", "fr"])
     model = quality.sorted_arrays(spark, quality.kneser_ney(spark, quality.count_grams(rows, "text", "lang")))
-    letters = sorted(set("thecatsonmdwiln")) + [quality.END]
     for lang in ("en", "fr"):
         for prefix in ("", "t", "th", "tha", "ca"):
             # one more letter after a prefix: the differences of log probabilities give the conditional ones
@@ -366,7 +399,6 @@ def test_kneser_ney_is_a_distribution(spark):
         if r["n"] is not None and r["gram"] != quality.BEGIN:
             by_context[r["lang"], r["gram"][:-1]] += np.exp(r["logp"])
     assert all(0 < p <= 1 + 1e-6 for p in by_context.values())
-    assert letters
 
 
 def test_quality_awkward(spark):
@@ -480,7 +512,6 @@ def test_query_equals_sql(spark, name):
     found = con.sql(queries.oracle_sql()[name])
     at = [found.columns.index(c) for c in sorted(df.columns)]
     assert sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in found.fetchall()), key=str)
-    assert sql_texts
 
 
 def test_pipeline_equals_its_stages_by_brute_force(spark):
@@ -502,5 +533,4 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.encoder(public_tokenizers.path(bpe.RANK_FILE), public_tokenizers.PATTERN)._mergeable_ranks, special_tokens={})
     out = p.byte_bpe(spark, mixed, DATA).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in out) == Counter((r["doc_id"], len(enc.encode_ordinary(r["text"]))) for r in mixed.collect())
-    assert len(before) == docs.count() and F
-    assert Row
+    assert len(before) == docs.count()
