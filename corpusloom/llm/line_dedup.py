@@ -1,11 +1,13 @@
 """Line dedup by content-defined chunks, with DataFrame expressions only.
 
 Every line with a word gets a 64-bit hash; a rolling hash runs over windows of two line hashes. A boundary lies where
-the rolling hash is 0 modulo ``divisor``, and where it occurs less often in the corpus than either of its two lines.
-Both depend on the two lines alone, so an insertion or a shift moves no other boundary, and a passage shared by
-otherwise different documents is cut out at its own ends: the lines of a chunk occur together or not at all. Chunks that occur in several documents are compared
-byte by byte with their first occurrence (smallest id, then position) and removed, where they stand in a stretch of
-repeated chunks of at least ``min_words`` words; so a short line that happens to be common stays.
+the rolling hash is 0 modulo ``divisor``, and where it occurs less often in the corpus than either of its two lines. An
+insertion or a shift within a document moves no other boundary, and a passage shared by otherwise different documents is
+cut out at its own ends: the lines of a chunk occur together or not at all. Chunks that occur again, in another document
+or in the same, are compared byte by byte with their first occurrence (smallest id, then position). They are removed where
+their lines belong to a run of two or more lines that always come together, or where they stand in a stretch of
+``min_words`` words or more; a stretch goes on over two neighbouring chunks only where these two are neighbours in several
+places. So a short line that happens to be common stays, beside whatever it stands.
 """
 
 from __future__ import annotations
@@ -60,21 +62,26 @@ def repeated_chunks(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     opens = F.when(F.coalesce(bound, F.lit(False)) & (F.pmod("pair", F.lit(divisor)) != 0), 0).otherwise(1)
     rows = rows.withColumn("opens", opens)
     rows = rows.withColumn("chunk", F.sum("opens").over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
+    # a run of lines that always come together may be cut by the hash; it is one repeated passage all the same
+    rows = rows.withColumn("run", F.sum(F.when(F.coalesce(bound, F.lit(False)), 0).otherwise(1)).over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
     chunks = rows.groupBy("id", "th", "chunk").agg(
-        F.min("s").alias("s"), F.count("*").alias("n"), F.min("i").alias("start"), F.max("i").alias("stop"), F.sum("w").alias("w"),
+        F.min("s").alias("s"), F.count("*").alias("n"), F.min("i").alias("start"), F.max("i").alias("stop"), F.sum("w").alias("w"), F.min("run").alias("run"),
         F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("s", "h"))), lambda e: e["h"])).alias("ch"),
     )
-    chunks = saved(chunks, spark)
-    place = F.struct(F.col("id").isNull(), "id", "th", "s")
-    document = F.struct(F.col("id").isNull(), "id", "th")
-    again = chunks.groupBy("ch", "n").agg(F.min(place).alias("least"), F.min(document).alias("a"), F.max(document).alias("z")).filter("a != z").drop("a", "z")
-    twice = chunks.join(again, ["ch", "n"]).withColumn("first", place.eqNullSafe(F.col("least")))
     by_place = within.orderBy("s")
-    gap = F.when(F.lag("s").over(by_place) + F.lag("n").over(by_place) == F.col("s"), 0).otherwise(1)
-    stretches = twice.withColumn("gap", gap).withColumn("stretch", F.sum("gap").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    # first occurrences stay in, as what the others are compared with
-    stretches = stretches.withColumn("long", F.sum("w").over(Window.partitionBy("id", "th", "stretch"))).filter((F.col("long") >= min_words) | F.col("first"))
-    return stretches.groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop", "ch", "first", "w")).alias("chunks"))
+    beside = F.lag("s").over(by_place) + F.lag("n").over(by_place) == F.col("s")
+    chunks = chunks.withColumn("joint", F.when(beside, F.xxhash64(F.lag("ch").over(by_place), "ch")))
+    chunks = saved(chunks.withColumn("lines", F.sum("n").over(Window.partitionBy("id", "th", "run"))), spark)
+    place = F.struct(F.col("id").isNull(), "id", "th", "s")
+    again = chunks.groupBy("ch", "n").agg(F.min(place).alias("least"), F.count("*").alias("places")).filter("places > 1").drop("places")
+    joints = chunks.filter("joint IS NOT NULL").groupBy("joint").agg(F.count("*").alias("met")).filter("met > 1").select("joint", F.lit(True).alias("usual"))
+    twice = chunks.join(again, ["ch", "n"]).withColumn("first", place.eqNullSafe(F.col("least"))).join(joints, "joint", "left")
+    # first occurrences stay in, as what the others are compared with, and end a stretch
+    goes_on = F.coalesce(F.col("usual") & (F.lag("s").over(by_place) + F.lag("n").over(by_place) == F.col("s")) & ~F.col("first") & ~F.lag("first").over(by_place), F.lit(False))
+    stretches = twice.withColumn("gap", F.when(goes_on, 0).otherwise(1)).withColumn("stretch", F.sum("gap").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = stretches.withColumn("long", F.sum("w").over(Window.partitionBy("id", "th", "stretch")))
+    stretches = stretches.filter((F.col("lines") > 1) | (F.col("long") >= min_words) | F.col("first"))
+    return stretches.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "s", "n", "ch", "first", "w"))).alias("chunks"))
 
 
 def mark_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, divisor: int = DIVISOR) -> DataFrame:
@@ -91,18 +98,22 @@ def mark_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     # the one shuffle of the texts; what follows reads this table
     marked = saved(rows.join(found, same, "left").select("row", "id_", "th_", "chunks"), spark)
     text = F.col(f"row.{text_col}")
-    parts = marked.filter("chunks IS NOT NULL").select("id_", "th_", F.explode("chunks").alias("c"), _lines(text).alias("lines"))
-    said = F.array_join(F.transform(F.filter("lines", lambda e: e["i"].between(F.col("c.start"), F.col("c.stop"))), lambda e: e["x"]), "\n")
-    parts = parts.select("id_", "th_", "c.start", "c.ch", "c.first", said.alias("said"))
+    parts = marked.filter("chunks IS NOT NULL").select("id_", "th_", "chunks", F.transform(_lines(text), lambda e: e["x"]).alias("lines"))
+    told = lambda c: F.struct(c["start"].alias("start"), c["ch"].alias("ch"), c["first"].alias("first"), F.array_join(F.slice("lines", c["s"] + 1, c["n"].cast("int")), "\n").alias("said"))
+    parts = parts.select("id_", "th_", F.explode(F.transform("chunks", told)).alias("c")).select("id_", "th_", "c.*")
     model = parts.filter("first").select("ch", F.col("said").alias("model")).dropDuplicates(["ch"])
     differ = parts.filter("NOT first").join(model, "ch").filter("said != model")
     # equal hashes of different bytes: next to none, so the planner sees a tiny table here
     spared = saved(differ.groupBy(F.col("id_").alias("id"), F.col("th_").alias("th")).agg(F.collect_set("start").alias("spared")), spark)
     out = marked.join(spared, F.col("id_").eqNullSafe(F.col("id")) & (F.col("th_") == F.col("th")), "left")
     gone = F.filter("chunks", lambda c: ~c["first"] & ~F.coalesce(F.array_contains("spared", c["start"]), F.lit(False)))
-    out = out.select("row", gone.alias("chunks"))
-    rest = F.filter(F.split(text, "\n"), lambda x, i: ~F.exists("chunks", lambda c: i.between(c["start"], c["stop"])))
-    return out.select("row", "chunks", F.when(F.size("chunks") > 0, F.array_join(rest, "\n")).otherwise(text).alias("text"))
+    out = out.select("row", gone.alias("chunks"), F.split(text, "\n").alias("lines"))
+    # what is left is a slice before each chunk and one after the last
+    ends = F.transform("chunks", lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop")))
+    ends = F.concat(F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"))), ends, F.array(F.struct(F.size("lines").alias("start"), F.lit(0).alias("stop"))))
+    out = out.withColumn("ends", F.when(F.size("chunks") > 0, ends))
+    rest = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda j: F.slice("lines", F.get("ends", j - 1)["stop"] + 2, F.get("ends", j)["start"] - F.get("ends", j - 1)["stop"] - 1))
+    return out.select("row", "chunks", F.when(F.col("ends").isNotNull(), F.array_join(F.flatten(rest), "\n")).otherwise(text).alias("text"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, divisor: int = DIVISOR) -> DataFrame:

@@ -17,7 +17,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_dedup.mark_lines(spark, table(spark, sf_dir, "documents"))
-    gone = F.coalesce("chunks", F.array().cast("array<struct<start:int,stop:int,ch:bigint,first:boolean,w:bigint>>"))
+    gone = F.coalesce("chunks", F.array().cast("array<struct<start:int,stop:int,s:int,n:bigint,ch:bigint,first:boolean,w:bigint>>"))
     lines = F.coalesce(F.size(F.split("row.text", "\n")), F.lit(0))
     return marked.select(
         F.col("row.doc_id").alias("doc_id"), lines.cast("long").alias("n_lines"),

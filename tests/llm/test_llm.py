@@ -251,14 +251,78 @@ def test_line_dedup_catches_passages_and_spares_the_rest(spark):
     assert rows[0]["text"] == texts[0]
     assert rows[1]["text"] == "common short line"
     assert rows[2]["text"].split("\n") == ["lead in two", "", "tail"]
-    for i in (3, 4, 6, 7, 8, 9):
+    for i in (3, 4, 7, 8, 9):
         assert rows[i]["text"] == texts[i]
+    # a passage goes where it repeats within its document, too
+    assert rows[6]["text"] == "\n".join(passage("q"))
     assert rows[5]["text"] == ""
     left = line_dedup.drop_repeated_lines(spark, table(spark, texts))
     assert {r["doc_id"] for r in left.collect()} == set(range(10)) - {5}
     assert left.columns == table(spark, texts).columns
 
 
+def brute_line_dedup(texts, min_words=line_dedup.MIN_WORDS):
+    """Texts left, without cuts by the hash: runs of lines that always come together, and stretches of usual joints."""
+    lines = [[(k, x) for k, x in enumerate((t or "").split("\n")) if re.search("[^\x20\x09-\x0d]", x)] for t in texts]
+    times, pairs = Counter(x for own in lines for _, x in own), Counter((a[1], b[1]) for own in lines for a, b in itertools.pairwise(own))
+    runs, first, joints = [], {}, Counter()
+    for d, own in enumerate(lines):
+        found = []
+        for j, (k, x) in enumerate(own):
+            if times[x] < 2:
+                continue
+            near = j and times[own[j - 1][1]] == times[x] == pairs[own[j - 1][1], x]
+            if near:
+                found[-1][2].append((k, x))
+            else:
+                found.append([j, d, [(k, x)]])
+        runs.append(found)
+        for r in found:
+            first.setdefault(tuple(x for _, x in r[2]), (d, r[0]))
+        for a, b in itertools.pairwise(found):
+            if a[0] + len(a[2]) == b[0]:
+                joints[tuple(x for _, x in a[2]), tuple(x for _, x in b[2])] += 1
+    out = []
+    for d, found in enumerate(runs):
+        gone, stretch = set(), []
+        for r in [*found, None]:
+            key = r and tuple(x for _, x in r[2])
+            new = r and first[key] == (d, r[0])
+            if stretch and (r is None or new or stretch[-1][0] + len(stretch[-1][2]) != r[0] or joints[tuple(x for _, x in stretch[-1][2]), key] < 2):
+                size = sum(len(x.split()) for q in stretch for _, x in q[2])
+                for q in stretch:
+                    if len(q[2]) > 1 or size >= min_words:
+                        gone |= set(range(q[2][0][0], q[2][-1][0] + 1))
+                stretch = []
+            if r and not new:
+                stretch.append(r)
+        out.append(None if texts[d] is None else "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in gone))
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(21)
+    shared = [passage(f"s{k}", rng.randrange(1, 5), rng.choice([3, 12, 30, 60])) for k in range(25)]
+    texts = []
+    for d in range(120):
+        own = []
+        for _ in range(rng.randrange(6)):
+            own += rng.choice(shared) if rng.random() < 0.5 else passage(f"d{d}.{rng.randrange(99)}", 1, 9)
+            own += rng.choice([[], [""], ["common line"], ["}"], ["}", "}"]])
+        texts.append("\n".join(own))
+    # without cuts by the hash every run is one chunk; with them the same lines go
+    for divisor in (1 << 40, line_dedup.DIVISOR):
+        got = {r["row"]["doc_id"]: r["text"] for r in line_dedup.mark_lines(spark, table(spark, texts), divisor=divisor).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_line_dedup(texts)
+
+
+def test_line_dedup_short_lines_beside_others_stay(spark):
+    lines = [f"usual line {k} of five words" for k in range(12)]
+    texts = ["\n".join(f"only {k}-{j}\n{x}\nalso {k}-{j}" for j, x in enumerate(lines)) for k in range(2)] + ["\n".join(lines)]
+    got = {r["row"]["doc_id"]: r["text"] for r in line_dedup.mark_lines(spark, table(spark, texts)).collect()}
+    assert [got[i] for i in range(3)] == texts
+
+
 def test_line_dedup_awkward(spark):
     assert line_dedup.mark_lines(spark, awkward(spark)).count() == len(AWKWARD)
     assert line_dedup.mark_lines(spark, awkward(spark).limit(0)).count() == 0
