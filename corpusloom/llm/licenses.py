@@ -13,8 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Marks of a match's first and last word; no word holds them.
+OPENS, CLOSES = "\x01", "\x02"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: Matches of a text that are compared at a time.
+PART = 256
+
 #: Phrases whose every place counts, with their labels.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
@@ -146,21 +151,16 @@ def normal(text: Column) -> Column:
 def _starts(words: Column, regex: Column) -> Column:
     """array<struct<first,last>>: first and last word of each match of ``regex`` between blanks.
 
-    The texts between the matches give the starts, as there is no function for the places of matches. A match takes
-    the blank before it and leaves the one after it, so that a next match may begin there.
+    As there is no function for the places of matches, each match is marked at its first and last word; a word's own
+    characters hold no such mark, and the words keep their numbers. A match takes the blank before it and leaves the
+    one after it, so that a next match may begin there.
     """
-    whole = F.concat(F.lit(" (?:"), regex, F.lit(")(?= )"))
-    blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    hits = F.transform(F.regexp_extract_all(words, whole, F.lit(0)), blanks)
-    gaps = F.transform(F.split(words, whole), blanks)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("found"))
-
-    def step(s: Column, both: Column) -> Column:
-        first = s["at"] + both["gap"]
-        return F.struct((first + both["hit"]).alias("at"), F.concat(s["found"], F.array(F.struct(first.alias("first"), (first + both["hit"] - 1).alias("last")))).alias("found"))
-
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.aggregate(pairs, state, step, lambda s: s["found"])
+    marked = F.regexp_replace(words, F.concat(F.lit(" ("), regex, F.lit(")(?= )")), F.lit(f" {OPENS}$1{CLOSES}"))
+    numbered = F.transform(F.split(F.ltrim(marked), " "), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    edges = F.filter(numbered, lambda e: e["w"].startswith(OPENS) | e["w"].endswith(CLOSES))
+    firsts = F.transform(F.filter(edges, lambda e: e["w"].startswith(OPENS)), lambda e: e["i"])
+    lasts = F.transform(F.filter(edges, lambda e: e["w"].endswith(CLOSES)), lambda e: e["i"])
+    return F.zip_with(firsts, lasts, lambda a, z: F.struct(a.alias("first"), z.alias("last")))
 
 
 def detections(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -184,7 +184,7 @@ def kept_detections(raw: Column) -> Column:
     stands before it, or has its very interval, and the furthest end seen so far in each tier decides.
     """
     tiers = (1, 2, 3)
-    state = F.struct(*[F.lit(-1).alias(f"end{t}") for t in tiers], F.array().cast("array<struct<first:int,last:int,tier:int,rule:int,label:string>>").alias("found"))
+    kind = "array<struct<first:int,last:int,tier:int,rule:int,label:string>>"
 
     def step(s: Column, m: Column) -> Column:
         reach = F.greatest(*[F.when(m["tier"] <= t, s[f"end{t}"]).otherwise(-1) for t in tiers])
@@ -192,7 +192,15 @@ def kept_detections(raw: Column) -> Column:
         ends = [F.when((m["tier"] == t) & (m["last"] > s[f"end{t}"]), m["last"]).otherwise(s[f"end{t}"]).alias(f"end{t}") for t in tiers]
         return F.struct(*ends, F.when(reach >= m["last"], s["found"]).otherwise(F.concat(s["found"], F.array(one))).alias("found"))
 
-    return F.aggregate(raw, state, step, lambda s: s["found"])
+    # some matches at a time, so that an array which grows match by match stays short
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(raw) - 1) / PART).cast("int")), lambda b: F.slice(raw, b * PART + 1, PART))
+    start = F.struct(*[F.lit(-1).alias(f"end{t}") for t in tiers], F.array().cast(kind).alias("found"))
+
+    def over(done: Column, part: Column) -> Column:
+        before = F.element_at(done, -1)
+        return F.concat(done, F.array(F.aggregate(part, F.struct(*[before[f"end{t}"].alias(f"end{t}") for t in tiers], F.array().cast(kind).alias("found")), step)))
+
+    return F.when(F.size(raw) > 0, F.aggregate(parts, F.array(start), over, lambda done: F.flatten(F.transform(done, lambda s: s["found"])))).otherwise(F.array().cast(kind))
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -375,6 +375,32 @@ def test_license_rules_and_suppression(spark):
     assert len(licenses.rules()) > 300
 
 
+def brute_detections(text):
+    """Kept (first, last, tier, rule, label) by the rules' regexes and the containment rule, match by match."""
+    words = " " + " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))) + " "
+    raw = []
+    for i, label, regex, tier, _ in licenses.rules():
+        for m in re.finditer(f" (?:{regex})(?= )", words):
+            first = words[: m.start()].count(" ")
+            raw.append((first, first + m[0].count(" ") - 1, tier, i, label))
+    beats = lambda a, b: a[0] <= b[0] and b[1] <= a[1] and (a[2] > b[2] or (a[2] == b[2] and (a[1] - a[0], -a[3]) > (b[1] - b[0], -b[3])))
+    return sorted(m for m in raw if not any(beats(o, m) for o in raw if o is not m))
+
+
+def test_license_detections_equal_brute_force(spark):
+    rng = random.Random(31)
+    parts = ["released under", "the terms of the", "GNU General Public License", "version 2", "v3", "MIT", "license", "Apache", "2.0", "cc by nc", "sa 4.0", "SPDX-License-Identifier:", "GPL-2.0-only", "copyright 2020", "all rights reserved", "under the", "BSD 3-Clause", "zlib", "x"]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(150)] + [" ".join(rng.choices(parts, k=700))]
+    got = {r["doc_id"]: r["detections"] for r in licenses.scan_licenses(spark, table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert sorted(tuple(m) for m in got[i]) == brute_detections(t), t
+
+
+def test_license_many_matches_in_one_text(spark):
+    rows = licenses.scan_licenses(spark, table(spark, ["cc by nc " * 40_000])).collect()
+    assert len(rows[0]["base"]) == 40_000
+
+
 def sample(tree, rng):
     """A text that a parsed pattern matches."""
     out = ""
