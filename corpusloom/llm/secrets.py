@@ -16,8 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusloom.llm.mixing import uniform
 from corpusloom.session import saved
 
-#: Shapes of candidates, tried in this order at each place of a line.
+#: Words that name a secret when they stand before it.
+NAMES = r"(?i)(?:api[ _-]?key|access[ _-]?key|secret|token|passw(?:or)?d|passwd|pwd|credential|auth|bearer|private[ _-]?key|client[ _-]?secret)"
+#: Shapes of candidates, tried in this order at each place of a line: what is assigned or passed to a secret's name, quoted
+#: or bare, of any length; the password of an address; keys of known providers; long runs.
 SHAPES = (
+    rf"(?<=[\"'])(?<={NAMES}[\"']?[ \t]{{0,3}}(?:=|:|=>|\(|,)[ \t]{{0,3}}[\"'])[^\"'\n]{{3,}}(?=[\"'])",
+    rf"(?<=[=:>(][ \t]{{0,3}})(?<={NAMES}[\"']?[ \t]{{0,3}}(?:=|:|=>|\()[ \t]{{0,3}})[^\s\"'`,;()<>]{{4,}}",
+    r"(?<=:)(?<=://[^\s:/@]{1,64}:)[^\s@/]{3,}(?=@)",
     r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     r"gh[pousr]_[0-9A-Za-z]{20,}",
     r"xox[abprs]-[0-9A-Za-z-]{10,}",
@@ -29,8 +35,6 @@ SHAPES = (
     r"[0-9A-Za-z+/_-]{16,}={0,2}",
 )
 CANDIDATE = "|".join(f"(?:{s})" for s in SHAPES)
-#: Words that name a secret when they stand before it.
-NAMES = r"(?i)(?:api[ _-]?key|access[ _-]?key|secret|token|passw(?:or)?d|passwd|pwd|credential|auth|bearer|private[ _-]?key|client[ _-]?secret)"
 #: Words that stand beside long strings that are none.
 HARMLESS = r"(?i)(?:sha-?\d*|md5|commit|revision|checksum|digest|uuid|guid|etag|build|version|isbn|card|phone|order|invoice|example|dummy|sample|placeholder|test)"
 #: Pieces of ordinary words and of placeholders, lower case.
@@ -116,7 +120,9 @@ def labelled_findings(found: DataFrame, most: int = MOST_FINDINGS) -> DataFrame:
     known = found.withColumn("label", evident_label(F.col("value"), F.col("before"), F.col("after"))).filter("label IS NOT NULL")
     known = known.filter(F.coalesce(F.crc32(F.col("id").cast("string")), F.lit(1)) % CHECKED_MOD != 0)
     known = known.withColumn("_by", uniform(F.col("value"), F.col("before"), seed="findings"))
-    some = [known.filter(F.col("label") == y).dropDuplicates(["value", "before"]).orderBy("_by", "value", "before").limit(most) for y in (0, 1)]
+    # of copies the least row, so that the same findings are taken in every run
+    known = known.groupBy("value", "before").agg(F.min(F.struct(*[c for c in known.columns if c not in ("value", "before")])).alias("f")).select("value", "before", "f.*").select(known.columns)
+    some = [known.filter(F.col("label") == y).orderBy("_by", "value", "before").limit(most) for y in (0, 1)]
     return some[0].unionByName(some[1]).drop("_by")
 
 

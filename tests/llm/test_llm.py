@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -449,6 +450,36 @@ def test_secrets_forest(spark):
     assert found == set(range(100))
 
 
+def test_secrets_candidates_by_name_and_in_addresses(spark):
+    said = {
+        'password = "hunter2!x"': "hunter2!x", "pwd: 'Tr0ub4dor&3'": "Tr0ub4dor&3", "db_password=pa$$w0rd.1": "pa$$w0rd.1",
+        "postgres://me:s3cr3t!#@host:5432/db": "s3cr3t!#", 'login(token, "a.b@c%d")': "a.b@c%d", 'api_key => "k#1"': "k#1",
+    }
+    got = {r["id"]: r for r in secrets.candidates(table(spark, [f"before\n{x} after" for x in said])).collect()}
+    for i, (text, value) in enumerate(said.items()):
+        line = f"{text} after"
+        assert (got[i]["value"], got[i]["line"], got[i]["start"]) == (value, 1, line.index(value)), text
+    plain = ["the password was lost", "a token of thanks", "see http://host:80/a@b", 'he said "hello there"']
+    assert secrets.candidates(table(spark, plain)).count() == 0
+
+
+def test_secrets_held_out_findings(spark):
+    """Precision and recall on findings that the forest was not trained on, in texts of other shapes."""
+    rng = random.Random(8)
+    junk = lambda n: "".join(rng.choice("0123456789abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
+    texts = [f'{name} = "{junk(rng.randrange(16, 44))}"' for name in ("token", "secret", "api_key") for _ in range(80)]
+    texts += [f'{name} = "{word}"' for name in ("token", "secret", "password") for word in ("placeholder-value", "example-token-here", "changeme-changeme", "dummy_value_here") for _ in range(20)]
+    texts += [f"sha256: {junk(40)}" for _ in range(120)]
+    secret = set(range(240))
+    got = defaultdict(bool)
+    for r in secrets.scan_secrets(spark, table(spark, texts)).collect():
+        got[r["doc_id"]] |= r["is_secret"]
+    held = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % secrets.CHECKED_MOD == 0]
+    hit = sum(got[i] for i in held if i in secret)
+    assert hit >= 0.9 * sum(i in secret for i in held)
+    assert hit >= 0.9 * sum(got[i] for i in held)
+
+
 def test_secrets_awkward(spark):
     secrets.scan_secrets(spark, awkward(spark)).collect()
     assert secrets.scan_secrets(spark, awkward(spark).limit(0)).count() == 0
