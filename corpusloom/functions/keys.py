@@ -29,8 +29,13 @@ def assigned(speaker: Column) -> Column:
     return F.coalesce((speaker != "") & ~F.endswith(speaker, F.lit(UNASSIGNED)), F.lit(False))
 
 
-def group_key(corpus: Column, speaker: Column, group: Column | None = None) -> Column:
-    """corpus/group where a group is set, else corpus/speaker, without the last suffix in suffixed corpora."""
+def group_key(corpus: Column, speaker: Column, group: Column | None = None, idx: Column | None = None) -> Column:
+    """corpus/group where a group is set, else corpus/speaker, without the last suffix in suffixed corpora.
+
+    A clip without a speaker is a group of its own by its ``idx``, if that is given.
+    """
+    if idx is not None:
+        speaker = F.when(F.coalesce(speaker, F.lit("")) != "", speaker).otherwise(idx)
     short = F.when(corpus.isin(*SUFFIXED), F.regexp_replace(speaker, ":[^:]*$", "")).otherwise(speaker)
     own = F.concat(corpus, F.lit("/"), short)
     return own if group is None else F.when(F.coalesce(group, F.lit("")) != "", F.concat(corpus, F.lit("/"), group)).otherwise(own)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom.operators.ranks import quantiles, ranked
+
 
 def summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """n, mean, median, p90 by nearest rank, population deviation; NaN counts as missing."""
-    x = F.nanvl(F.col(value), F.lit(None).cast("double"))
-    grouped = rows.groupBy(*group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("sd"), F.sort_array(F.collect_list(x)).alias("xs"))
-    rank = F.least(F.col("n") - 1, F.floor(F.lit(0.9) * F.col("n"))).cast("int") + 1
-    return grouped.filter("n > 0").select(*group, "n", "mean", "median", F.element_at("xs", rank).alias("p90"), "sd")
+    some = rows.select(*group, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    placed = ranked(some.withColumn("_group", F.struct(*group)), "_group", [F.col("_x")], "_at")
+    at = lambda pos: F.max(F.when(F.col("_at") == pos, F.col("_x")))
+    n = F.col("_size")
+    middle = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+    p90 = at(F.least(n - 1, F.floor(F.lit(0.9) * n)))
+    return placed.groupBy(*group).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"), middle.alias("median"), p90.alias("p90"), F.stddev_pop("_x").alias("sd"))
 
 
 def micro_rate(rows: DataFrame, group: list[str], errors: Column, units: Column) -> DataFrame:
@@ -29,10 +34,34 @@ def weighted_mean(rows: DataFrame, group: list[str], value: str, weight: str) ->
 
 def rank_percentiles(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """min, p5, middle, p95, max by position in the sorted values."""
-    from pyspark.sql import Window
+    placed = ranked(rows.select(*group, value).withColumn("_group", F.struct(*group)), "_group", [F.col(value)], "_at")
+    at = lambda pos: F.max(F.when(F.col("_at") == pos, F.col(value)))
+    n = F.col("_size")
+    return placed.groupBy(*group).agg(F.count("*").alias("n"), at(F.lit(0)).alias("low"), at(F.floor(n / 20)).alias("p5"), at(F.floor(n / 2)).alias("middle"), at(n - F.ceil(n / 20)).alias("p95"), F.max(value).alias("high"))
+
+
+def failure_report(rows: DataFrame, group: list[str], rate: str, name: str, failed: float = 0.5) -> DataFrame:
+    """Per group: n, mean, median and greatest rate, and how many are above ``failed``; the worst one's name, ties to the least."""
+    some = summary(rows, group, rate).select(*group, "n", "mean", "median")
+    worst = F.min_by(name, F.struct((-F.col(rate)).alias("r"), F.col(name).alias("k")))
+    rest = rows.groupBy(*group).agg(F.max(rate).alias("most"), F.count_if(F.col(rate) > failed).alias("n_fail"), worst.alias("worst"))
+    return some.join(rest, group)
+
+
+def scaled(value: Column, floor: Column, ceiling: Column) -> Column:
+    """(value - floor) / (ceiling - floor); null where the two are next to equal."""
+    return F.when(ceiling - floor > 1e-6, (value - floor) / (ceiling - floor))
+
+
+def calibrated_thresholds(rows: DataFrame, group: str, score: str, floor: float = 0.35) -> DataFrame:
+    """(group, link, half): links above the 99.9th percentile with a margin, halves by the first one, both within bounds."""
+    found = quantiles(rows, group, score, {"p": 0.999, "q": 0.01})
+    link = F.greatest(F.lit(floor), F.coalesce(F.col("p") + 0.03, F.lit(floor)))
+    half = F.coalesce(F.greatest(F.lit(0.15), F.least(F.lit(0.45), F.col("q"))), F.lit(0.3))
+    return found.select(group, link.alias("link"), half.alias("half"))
+
 
-    by = Window.partitionBy(*group)
-    ranked = rows.withColumn("_r", F.row_number().over(by.orderBy(value)) - 1).withColumn("_n", F.count("*").over(by))
-    at = lambda pos: F.max(F.when(F.col("_r") == pos, F.col(value)))
-    n = F.col("_n")
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), at(F.lit(0)).alias("low"), at(F.floor(n / 20)).alias("p5"), at(F.floor(n / 2)).alias("middle"), at(n - F.ceil(n / 20)).alias("p95"), F.max(value).alias("high"))
+def effective_number(rows: DataFrame, group: list[str], mass: str) -> DataFrame:
+    """1 / sum of squared shares of ``mass`` in each group."""
+    m = F.col(mass).cast("double")
+    return rows.groupBy(*group).agg((F.sum(m) * F.sum(m) / F.sum(m * m)).alias("effective"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.keys import assigned, draw
+from corpusloom.session import saved
 
 
 def draw_variant(u: Column, mix: dict[str, float]) -> Column:
@@ -54,38 +53,50 @@ def pick_reference(clips: DataFrame, epoch: int, seed: int = 42, low: float = 2.
     return rows.join(picked, ["speaker", "pos"], "left").select(*clips.columns, "ref")
 
 
-def mass_weights(clips: DataFrame, share: dict[str, float], beta: float = 0.5, cap_voice: float = 0.01, cap_group: float = 0.02, rounds: int = 500) -> DataFrame:
+def multinomial(rows: DataFrame, key: str, u: Column) -> DataFrame:
+    """(key, token): one token of each key by its softmax probability: the first whose cumulative share exceeds ``u``."""
+    whole = Window.partitionBy(key)
+    odds = rows.withColumn("_w", F.exp(F.col("score") - F.max("score").over(whole)))
+    upto = F.sum("_w").over(whole.orderBy("token")) / F.sum("_w").over(whole)
+    odds = odds.withColumn("_upto", upto).withColumn("_last", F.max("token").over(whole))
+    return odds.filter((F.col("_upto") > u) | (F.col("token") == F.col("_last"))).groupBy(key).agg(F.min("token").alias("token"))
+
+
+def mass_weights(clips: DataFrame, share: dict[str, float], beta: float = 0.5, cap_voice: float = 0.01, cap_group: float = 0.02, rounds: int = 60) -> DataFrame:
     """(corpus, speaker, grp, n_clips, mass, weight): sampling mass of each voice, and of each of its clips.
 
-    Masses start from the corpus shares and n^beta within a corpus and are water-filled under a cap per voice and per
-    group; caps that cannot hold a mass of 1 are relaxed. The loop is over one row per voice.
+    Masses start from the corpus shares and n^beta within a corpus. A round cuts them to a cap per group and per voice and
+    deals what is lacking to the voices with room; it is two sums by group and one over all, and the voices stay a table.
+    Caps that cannot hold a mass of 1 are relaxed. Where caps leave a rest after ``rounds``, masses are scaled to 1.
     """
-    voices = clips.groupBy("corpus", "speaker").agg(F.count("*").alias("n_clips"), F.min("grp").alias("grp")).withColumn("one", F.lit(1))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["corpus", "speaker"], kind="stable").reset_index(drop=True)
-        n = part["n_clips"].to_numpy(float) ** beta
-        corpus, corpus_at = np.unique(part["corpus"], return_inverse=True)
-        wanted = np.array([share.get(c, 1.0) for c in corpus])
-        mass = (wanted / wanted.sum())[corpus_at] * n / np.bincount(corpus_at, n)[corpus_at]
-        group_at = np.unique(part["grp"], return_inverse=True)[1]
-        n_groups = group_at.max() + 1
-        voice_cap = max(cap_voice, 1.0001 / len(part) if cap_voice * len(part) < 1 else 0)
-        group_cap = max(cap_group, 1.0001 / n_groups if cap_group * n_groups < 1 else 0)
-        for _ in range(rounds):
-            total = np.bincount(group_at, mass, n_groups)
-            mass = mass * np.minimum(1, group_cap / np.maximum(total, 1e-300))[group_at]
-            mass = np.minimum(mass, voice_cap)
-            lacking = 1 - mass.sum()
-            if lacking < 1e-10:
-                break
-            room = np.clip(np.minimum(voice_cap - mass, group_cap - np.bincount(group_at, mass, n_groups)[group_at]), 0, None)
-            weight = np.where(room > 1e-12, mass, 0)
-            if weight.sum() <= 0:
-                break
-            mass = mass + np.minimum(room, lacking * weight / weight.sum())
-        part["mass"] = mass / mass.sum()
-        part["weight"] = part["mass"] / part["n_clips"]
-        return part[["corpus", "speaker", "grp", "n_clips", "mass", "weight"]]
-
-    return voices.groupBy("one").applyInPandas(run, "corpus string, speaker string, grp string, n_clips long, mass double, weight double")
+    spark = clips.sparkSession
+    voices = clips.groupBy("corpus", "speaker").agg(F.count("*").alias("n_clips"), F.min("grp").alias("grp"))
+    voices = saved(voices.withColumn("_p", F.pow("n_clips", F.lit(beta))), spark)
+    corpora = voices.groupBy("corpus").agg(F.sum("_p").alias("_all"))
+    wanted = F.lit(1.0)
+    for name, value in share.items():
+        wanted = F.when(F.col("corpus") == name, float(value)).otherwise(wanted)
+    corpora = corpora.withColumn("_wanted", wanted)
+    whole = corpora.agg(F.sum("_wanted")).first()[0]
+    sizes = voices.agg(F.count("*").alias("voices"), F.count_distinct("grp").alias("groups")).first()
+    if not sizes["voices"]:
+        return voices.select("corpus", "speaker", "grp", "n_clips", F.lit(0.0).alias("mass"), F.lit(0.0).alias("weight"))
+    most_voice = max(cap_voice, 1.0001 / sizes["voices"] if cap_voice * sizes["voices"] < 1 else 0)
+    most_group = max(cap_group, 1.0001 / sizes["groups"] if cap_group * sizes["groups"] < 1 else 0)
+    now = voices.join(corpora, "corpus").select("corpus", "speaker", "grp", "n_clips", (F.col("_wanted") / whole * F.col("_p") / F.col("_all")).alias("mass"))
+    for _ in range(rounds):
+        held = now.groupBy("grp").agg(F.sum("mass").alias("_held"))
+        cut = F.least(F.col("mass") * F.least(F.lit(1.0), most_group / F.greatest("_held", F.lit(1e-300))), F.lit(most_voice))
+        now = now.join(held, "grp").withColumn("mass", cut).drop("_held")
+        held = now.groupBy("grp").agg(F.sum("mass").alias("_held"))
+        room = F.greatest(F.least(most_voice - F.col("mass"), most_group - F.col("_held")), F.lit(0.0))
+        now = now.join(held, "grp").withColumn("_room", room).withColumn("_share", F.when(F.col("_room") > 1e-12, F.col("mass")).otherwise(0.0)).drop("_held")
+        now = saved(now, spark)
+        total = now.agg(F.sum("mass").alias("mass"), F.sum("_share").alias("share")).first()
+        lacking = 1 - total["mass"]
+        if lacking < 1e-10 or total["share"] <= 0:
+            break
+        now = now.withColumn("mass", F.col("mass") + F.least("_room", lacking * F.col("_share") / total["share"])).drop("_room", "_share")
+    whole = now.agg(F.sum("mass")).first()[0]
+    now = now.withColumn("mass", F.col("mass") / whole)
+    return now.select("corpus", "speaker", "grp", "n_clips", "mass", (F.col("mass") / F.col("n_clips")).alias("weight"))

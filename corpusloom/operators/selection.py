@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.keys import assigned, order_key
+from corpusloom.functions.text import strip
+from corpusloom.operators.ranks import ranked
 
 
 def usable(clips: DataFrame, low: float = 2.5, high: float = 10.2, least_chars: int = 8, without: tuple[str, ...] = ()) -> DataFrame:
     """Clips of a named speaker with a duration in range and a text long enough."""
-    kept = assigned(F.col("speaker")) & F.col("dur").between(low, high) & (F.length(F.trim("text")) >= least_chars)
+    kept = assigned(F.col("speaker")) & F.col("dur").between(low, high) & (F.length(strip(F.col("text"))) >= least_chars)
     return clips.filter(kept & ~F.col("corpus").isin(*without) if without else kept)
 
 
@@ -65,10 +67,10 @@ def systematic_sample(items: DataFrame, group: str, order: list[Column], n: int,
     sizes = items.groupBy(group).agg(F.count("*").alias("_n"))
     roots = sizes.withColumn("_root", F.sum(F.sqrt("_n")).over(Window.partitionBy(F.lit(1))))
     quota = F.least(F.col("_n"), F.greatest(F.lit(least), F.bround(n * F.sqrt("_n") / F.col("_root")).cast("int")))
-    ranked = items.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    placed = ranked(items, group, order, "_at")
     picks = roots.withColumn("_k", quota).select(group, "_n", "_k", F.explode(F.sequence(F.lit(0), F.col("_k").cast("int") - 1)).alias("pick"))
     at = F.floor(F.col("pick") * F.col("_n") / F.col("_k")).cast("int")
-    return picks.select(group, "pick", at.alias("_at")).join(ranked, [group, "_at"]).drop("_at")
+    return picks.select(group, "pick", at.alias("_at")).join(placed.drop("_size"), [group, "_at"]).drop("_at")
 
 
 def evaluation_voices(clips: DataFrame, corpora: list[str], n: int, prompt: tuple[float, float] = (4.0, 9.0)) -> DataFrame:
@@ -83,6 +85,39 @@ def evaluation_voices(clips: DataFrame, corpora: list[str], n: int, prompt: tupl
 
 def middle_pick(clips: DataFrame, order: list[str]) -> DataFrame:
     """The middle clip of each corpus in the given order of columns."""
-    w = Window.partitionBy("corpus")
-    ranked = clips.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
-    return ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).drop("_r", "_n")
+    return ranked(clips, "corpus", [F.col(c) for c in order], "_at").filter(F.col("_at") == F.floor(F.col("_size") / 2)).drop("_at", "_size")
+
+
+def heldout_refs(clips: DataFrame, prompts: DataFrame, k: int = 3) -> DataFrame:
+    """Per prompt (speaker, target, prompt): up to ``k`` other clips of the speaker, at even steps of their order by idx.
+
+    A place among the clips without target and prompt is a place among all, moved on by those before it; so the clips
+    are joined by (speaker, place) and never gathered.
+    """
+    placed = ranked(clips.select("speaker", "idx"), "speaker", [F.col("idx")], "_at")
+    sizes = clips.groupBy("speaker").agg(F.count("*").alias("_size"))
+    rows = prompts.join(sizes, "speaker")
+    for name in ("target", "prompt"):
+        rows = rows.join(placed.select("speaker", F.col("idx").alias(name), F.col("_at").alias(f"_{name}")), ["speaker", name], "left")
+    same = F.col("target").eqNullSafe(F.col("prompt"))
+    first = F.least("_target", F.when(~same, F.col("_prompt")))
+    second = F.when(same, None).otherwise(F.when(F.col("_target").isNotNull() & F.col("_prompt").isNotNull(), F.greatest("_target", "_prompt")))
+    left = F.col("_size") - F.when(F.col("_target").isNotNull(), 1).otherwise(0) - F.when(F.col("_prompt").isNotNull() & ~same, 1).otherwise(0)
+    rows = rows.withColumn("_first", first).withColumn("_second", second).withColumn("_left", left).filter("_left > 0")
+    rows = rows.withColumn("pick", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_left")).cast("int") - 1)))
+    at = F.when(F.col("_left") <= k, F.col("pick")).otherwise(F.floor(F.col("pick") * (F.col("_left") / k))).cast("long")
+    at = at + F.when(at >= F.coalesce("_first", F.col("_size")), 1).otherwise(0)
+    at = at + F.when(at >= F.coalesce("_second", F.col("_size") + 1), 1).otherwise(0)
+    rows = rows.withColumn("_at", at)
+    return rows.join(placed.select("speaker", "_at", F.col("idx").alias("ref")), ["speaker", "_at"]).select("speaker", "target", "prompt", "pick", "ref")
+
+
+def without_matches(rows: DataFrame, name: str, patterns: list[str]) -> DataFrame:
+    """Rows whose name holds none of the patterns; all rows without patterns."""
+    return rows.filter(~F.coalesce(F.col(name).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False))) if patterns else rows
+
+
+def worst_first(rows: DataFrame, status: str, order: tuple[str, ...], value: str, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows by status in the given order, then the smaller value, one without a value last, then key."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col(status)), F.lit(0))
+    return rows.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), F.coalesce(F.col(value), F.lit(float("inf"))), key).limit(n)

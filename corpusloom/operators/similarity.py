@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions.vectors import dot, norm, unit, vector_sum
+from corpusloom.operators.ranks import quantiles
+from corpusloom.session import saved
 
 
 def units(vectors: DataFrame, size: int, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -31,11 +33,11 @@ def leave_one_out(rows: DataFrame, size: int, label: str = "label") -> DataFrame
 
 def outliers(rows: DataFrame, size: int, label: str = "label", spreads: float = 3.0, least_mad: float = 0.02, least_gap: float = 0.1, floor: float = 0.3) -> DataFrame:
     """Leave-one-out cosines far below the label's median, in scaled median deviations, or below ``floor``."""
-    loo = leave_one_out(rows, size, label).filter("loo IS NOT NULL")
-    middle = loo.groupBy(label).agg(F.median("loo").alias("med"))
-    loo = loo.join(middle, label)
-    mad = loo.groupBy(label).agg((1.4826 * F.median(F.abs(F.col("loo") - F.col("med")))).alias("mad"))
-    loo = loo.join(mad, label)
+    # once, for the median, the deviation and the result
+    loo = saved(leave_one_out(rows, size, label).filter("loo IS NOT NULL"), rows.sparkSession)
+    loo = loo.join(quantiles(loo, label, "loo", {"med": 0.5}), label)
+    mad = quantiles(loo.withColumn("_off", F.abs(F.col("loo") - F.col("med"))), label, "_off", {"mad": 0.5})
+    loo = loo.join(mad.withColumn("mad", 1.4826 * F.col("mad")), label)
     gap = F.col("med") - F.col("loo")
     far = (gap > spreads * F.greatest("mad", F.lit(least_mad))) & (gap >= least_gap)
     return loo.withColumn("outlier", far | (F.col("loo") < floor))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions.keys import group_key, order_key, voice_key
+from corpusloom.operators.ranks import ranked
+from corpusloom.session import saved
 
 SPLITS = ("train", "val", "test")
 
 
 def with_groups(clips: DataFrame) -> DataFrame:
     group = F.col("group") if "group" in clips.columns else None
-    return clips.withColumn("grp", group_key(F.col("corpus"), F.col("speaker"), group))
+    return clips.withColumn("grp", group_key(F.col("corpus"), F.col("speaker"), group, F.col("idx").cast("string")))
 
 
 def holdout_split(clips: DataFrame, n_val: int, n_test: int, least: int = 15, seed: int = 42) -> DataFrame:
@@ -59,30 +62,49 @@ def leak_audit(rows: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _segments(runs: list[tuple[int, int]], shares: tuple[float, float, float], tolerance: float) -> list[tuple[int, int, int, int]]:
+    """(size, first, last, split) of groups in order: ``runs`` are (size, number of groups of that size), largest first.
+
+    Only the sizes decide, so groups of one size are told apart by their places alone, and places in a row that go to
+    one split are one segment.
+    """
+    goal = np.array(shares) * sum(n * m for n, m in runs)
+    have, out = np.zeros(3), []
+    for n, m in runs:
+        for place in range(m):
+            lack = np.where(have + n <= goal * (1 + tolerance), goal - have, -np.inf)
+            # the first of equals: train, then val, then test; train too where no split has room
+            split = int(np.argmax(lack))
+            have[split] += n
+            if out and out[-1][0] == n and out[-1][3] == split:
+                out[-1] = (n, out[-1][1], place, split)
+            else:
+                out.append((n, place, place, split))
+    for split in (1, 2):
+        trained = sorted(x for x in out if x[3] == 0)
+        groups = sum(last - first + 1 for _, first, last, _ in trained)
+        if sum(m for _, m in runs) >= 3 and groups > 1 and all(x[3] != split for x in out):
+            n, first, last, _ = trained[0]
+            out.remove(trained[0])
+            out += [(n, first, first, split), *([(n, first + 1, last, 0)] if last > first else [])]
+    return out
+
+
 def deficit_split(clips: DataFrame, shares: tuple[float, float, float] = (0.9, 0.05, 0.05), tolerance: float = 0.5, seed: int = 42) -> DataFrame:
     """(corpus, grp, n, split): largest groups first, each to the split that lacks most among those with room.
 
-    The choice depends on all before it, so it is made over the groups' sizes, a row per group, corpus by corpus.
+    Each choice depends on the sizes before it alone. So a task folds the counts of a corpus's group sizes, of which
+    there are few however many groups there are, and the groups find their split by size and place among equals, which
+    Spark ranks. A corpus of three groups or more has no empty split: its smallest train groups fill val and test.
     """
     sizes = with_groups(clips).groupBy("corpus", "grp").agg(F.count("*").alias("n")).withColumn("tie", order_key(seed, F.col("grp")))
+    sizes = saved(sizes.withColumn("kind", F.struct("corpus", "n")), clips.sparkSession)
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("n", ascending=False)
+        found = _segments(list(zip(part["n"].tolist(), part["m"].tolist(), strict=True)), shares, tolerance)
+        return pd.DataFrame([(part["corpus"].iloc[0], n, a, z, SPLITS[s]) for n, a, z, s in found], columns=["corpus", "n", "a", "z", "split"])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n", "tie"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        goal = {s: share * part["n"].sum() for s, share in zip(SPLITS, shares, strict=True)}
-        have = dict.fromkeys(SPLITS, 0)
-        chosen = []
-        for n in part["n"].tolist():
-            room = [s for s in SPLITS if have[s] + n <= goal[s] * (1 + tolerance)] or ["train"]
-            # ties prefer train, then the earlier split
-            best = max(room, key=lambda s: (goal[s] - have[s], s == "train", -SPLITS.index(s)))
-            have[best] += n
-            chosen.append(best)
-        part["split"] = chosen
-        if len(part) >= 3:
-            for empty in ("val", "test"):
-                own = part[part["split"] == "train"]
-                if not (part["split"] == empty).any() and len(own) > 1:
-                    part.loc[own.sort_values(["n", "tie"], kind="stable").index[0], "split"] = empty
-        return part[["corpus", "grp", "n", "split"]]
-
-    return sizes.groupBy("corpus").applyInPandas(run, "corpus string, grp string, n long, split string")
+    segments = sizes.groupBy("corpus", "n").agg(F.count("*").alias("m")).groupBy("corpus").applyInPandas(fold, "corpus string, n long, a long, z long, split string")
+    placed = ranked(sizes, "kind", [F.col("tie")], "place")
+    return placed.join(segments, ["corpus", "n"]).filter(F.col("place").between(F.col("a"), F.col("z"))).select("corpus", "grp", "n", "split")

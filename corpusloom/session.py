@@ -54,6 +54,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{shared}")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusloom.operators.ranks import ranked
+
 
 def chunked(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
     """(key, chunk, frames, is_final): frames of each key in chunks of ``size``, the rest in a last one."""
@@ -24,9 +26,9 @@ def sliding(rows: DataFrame, key: str, order: list[str], size: int, value: str)
 
 
 def lanes(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    """(key, lane): keys in the order of their first row are dealt to ``n`` lanes in turn; one row per key is ranked."""
-    first = rows.groupBy(key).agg(F.min(order).alias("_f"))
-    return first.select(key, ((F.row_number().over(Window.orderBy("_f")) - 1) % n).cast("int").alias("lane"))
+    """(key, lane): keys in the order of their first row are dealt to ``n`` lanes in turn; no task orders all keys."""
+    first = rows.groupBy(key).agg(F.min(order).alias("_f")).withColumn("_one", F.lit(1))
+    return ranked(first, "_one", [F.col("_f"), F.col(key)], "_at").select(key, (F.col("_at") % n).cast("int").alias("lane"))
 
 
 def stream_chunks(stream: DataFrame, key: str, size: int, quiet: str | None = "10 seconds") -> DataFrame:
