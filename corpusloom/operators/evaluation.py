@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom.functions.keys import draw
 from corpusloom.operators.ranks import quantiles, ranked
 
 
@@ -65,3 +68,24 @@ def effective_number(rows: DataFrame, group: list[str], mass: str) -> DataFrame:
     """1 / sum of squared shares of ``mass`` in each group."""
     m = F.col(mass).cast("double")
     return rows.groupBy(*group).agg((F.sum(m) * F.sum(m) / F.sum(m * m)).alias("effective"))
+
+
+#: Cumulative chances of 0, 1, 2, … under a Poisson law of mean 1: a row's weight in a resampling is how many lie below its draw.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+def bootstrap_interval(rows: DataFrame, group: list[str], key: str, value: str, times: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(group, low, high): percentile interval of the mean over ``times`` resamplings.
+
+    A row's weights in the resamplings follow from the hash of its key, so runs agree and every resampling is a sum by
+    group; sizes of resamplings vary around the group's. Draws are not those of any one language's generator.
+    """
+    some = rows.filter(F.col(value).isNotNull()).select(*group, F.col(key).cast("string").alias("_k"), F.col(value).cast("double").alias("_x"))
+    drawn = some.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    u = draw(seed, "boot", F.col("_b"), F.col("_k"))
+    weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    means = drawn.withColumn("_w", weight).groupBy(*group, "_b").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
+    found = means.filter("_m IS NOT NULL").groupBy(*group).agg(F.array_sort(F.collect_list("_m")).alias("_all"))  # ``times`` numbers
+    low = F.get("_all", F.least(F.size("_all") - 1, F.floor(F.size("_all") * alpha / 2)).cast("int"))
+    high = F.get("_all", F.least(F.size("_all") - 1, F.floor(F.size("_all") * (1 - alpha / 2))).cast("int"))
+    return found.select(*group, low.alias("low"), high.alias("high"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusloom.operators.ranks import ranked
 from corpusloom.session import saved
 
 
@@ -50,3 +51,11 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     root = now.groupBy("v").agg(F.first("v").alias("component")).select(F.col("v").alias("node"), "component")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(root)
+
+
+def numbered(found: DataFrame, name: str = "grp") -> DataFrame:
+    """``found`` (node, component) with ``name``: G001, G002, … by the order of the components' smallest nodes."""
+    heads = found.select("component").distinct().withColumn("_one", F.lit(1))
+    heads = ranked(heads, "_one", [F.col("component")], "_at")
+    number = (F.col("_at") + 1).cast("string")
+    return found.join(heads.select("component", F.concat(F.lit("G"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), "0")).alias(name)), "component").select("node", "component", name)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corpusloom.functions.keys import order_key
 from corpusloom.functions.vectors import dot, norm, unit, vector_sum
-from corpusloom.operators.ranks import quantiles
+from corpusloom.operators.ranks import quantiles, ranked
 from corpusloom.session import saved
 
 
@@ -63,3 +64,13 @@ def nearest_label(rows: DataFrame, size: int, label: str = "label") -> DataFrame
     other = centres.select(F.col("a").alias("b"), F.col("ca").alias("cb"))
     pairs = centres.join(other, F.col("a") != F.col("b")).withColumn("cosine", F.round(dot(F.col("ca"), F.col("cb")), 9))
     return pairs.groupBy("a").agg(F.max_by("b", F.struct("cosine", -F.col("b"))).alias("nearest"), F.max("cosine").alias("cosine"))
+
+
+def split_half(rows: DataFrame, size: int, key: str, label: str = "label", least: int = 6, seed: int = 42) -> DataFrame:
+    """(label, n, half): cosine of the sums of a label's two halves, which are dealt by hash; labels of ``least`` or more."""
+    placed = ranked(rows.select(label, F.col(key).cast("string").alias("_k"), "e"), label, [order_key(seed, "half", F.col("_k")), F.col("_k")], "_at")
+    halves = placed.filter(F.col("_size") >= least).withColumn("_side", (F.col("_at") < F.floor(F.col("_size") / 2)).cast("int"))
+    sums = halves.groupBy(label, "_side").agg(F.first("_size").alias("n"), vector_sum(F.col("e"), size).alias("t"))
+    a, b = (sums.filter(F.col("_side") == i) for i in (0, 1))
+    both = a.select(label, "n", unit(F.col("t")).alias("a")).join(b.select(label, unit(F.col("t")).alias("b")), label)
+    return both.select(label, "n", dot(F.col("a"), F.col("b")).alias("half"))

@@ -7,7 +7,8 @@ from pyspark.sql import Window, functions as F
 from corpusloom.functions import signals, text as tx
 from corpusloom.functions.keys import draw, order_key
 from corpusloom.operators import evaluation, gates, sampling, selection, similarity
-from corpusloom.plans.catalog import CLIPS, DIM, HELD, LOO, U, USABLE, VEC, clips, held, query, turn_pairs, unit_vectors, usable
+from corpusloom.operators.graph import numbered
+from corpusloom.plans.catalog import CLIPS, DIM, HELD, LOO, U, USABLE, VEC, clips, event_components, held, query, turn_pairs, unit_vectors, usable
 from corpusloom.session import table
 
 # splits and sampling -------------------------------------------------------------------------------------------------
@@ -202,6 +203,28 @@ def worst_first(spark, d):
     return selection.worst_first(s, "status", ("RUIM", "SUSPEITO", "OK"), "mean", "source", 15).select("source", "n", "mean", "status")
 
 
+STEPS = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in evaluation.POISSON)
+
+
+@query(f"""WITH b AS (SELECT c_mktsegment, c_acctbal::DOUBLE AS x, b, {U.format("'42|boot|' || b || '|' || c_custkey")} AS u FROM customer, range(40) r(b)), m AS (SELECT c_mktsegment, b, sum(({STEPS}) * x) / sum({STEPS}) AS m FROM b GROUP BY ALL),
+  s AS (SELECT c_mktsegment, list_sort(list(m)) AS s FROM m GROUP BY ALL) SELECT c_mktsegment, round(s[2], 6) AS low, round(s[40], 6) AS high FROM s""")
+def bootstrap_intervals(spark, d):
+    found = evaluation.bootstrap_interval(table(spark, d, "customer"), ["c_mktsegment"], "c_custkey", "c_acctbal", times=40)
+    return found.select("c_mktsegment", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("WITH " + VEC + """, h AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY sha1('42|half|' || vec_id), vec_id::VARCHAR) - 1 < count(*) OVER (PARTITION BY label) // 2 AS side FROM e),
+  t AS (SELECT label, side, i, sum(x) AS t FROM parts JOIN h USING (vec_id) GROUP BY ALL), p AS (SELECT a.label, sum(a.t * b.t) / sqrt(sum(a.t * a.t)) / sqrt(sum(b.t * b.t)) AS half FROM t a JOIN t b ON a.label = b.label AND a.i = b.i AND a.side AND NOT b.side GROUP BY a.label)
+  SELECT label, n, round(half, 8) AS half FROM p JOIN n USING (label) WHERE n >= 6""")
+def split_halves(spark, d):
+    return similarity.split_half(unit_vectors(spark, d), DIM, "vec_id").select("label", F.col("n").cast("long").alias("n"), F.round("half", 8).alias("half"))
+
+
+@query()
+def event_groups(spark, d):
+    return numbered(event_components(spark, d))
+
+
 # text ----------------------------------------------------------------------------------------------------------------
 
 SHORT = "|".join(tx.ABBREVIATIONS)
