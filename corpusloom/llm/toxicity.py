@@ -37,7 +37,7 @@ DENSE = 1_024
 QUERIES = 128
 #: Terms counted in a task before they are passed on.
 GATHERED = 4_000_000
-MEMO = 400_000
+MEMO = 150_000
 BINS = 400
 EVIDENCE = 3
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\~`+=@^"
@@ -139,9 +139,9 @@ def placed(docs: DataFrame, text_col: str, keep: list[str], terms, outside: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, memo = Places(terms.value), Memo()
-        for batch in batches:
-            rows = [places.of(text.as_py()) for text in batch.column(0)]
-            columns = [*batch.columns[1:], *[pa.array([packed(r[i]) for r in rows], pa.binary()) for i in (0, 1)], pa.array([r[2] for r in rows], pa.bool_())]
+        for batch in (b.slice(at, QUERIES) for b in batches for at in range(0, b.num_rows, QUERIES)):
+            rows = [(packed(at), packed(times), empty) for at, times, empty in (places.of(text.as_py()) for text in batch.column(0))]
+            columns = [*batch.columns[1:], *[pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], pa.array([r[2] for r in rows], pa.bool_())]
             if outside:
                 others = []
                 for text in batch.column(0):
