@@ -6,8 +6,9 @@
 3. Rounds of neighbours-of-neighbours joins: around each vector those that list it meet those that it lists, and what is
    nearer than the last of a list enters it. Lists hold ``k`` vectors; one whose every entry reaches the threshold is
    saturated and doubles in each round. Vectors that very many others list are split by salt.
-4. After each round recall is audited: a fixed number of vectors is compared with all rows; the rounds end when the
-   links found by it are ones that the lists connect.
+4. Blocks of a fixed number of vectors are compared with all rows until enough links are seen. After each round recall is
+   the share of these links that the lists connect; the rounds end when it is high, and it is an error if it stays low.
+   Where the blocks hold no link at all recall is not measured, and all rounds are made.
 5. Links at the threshold join candidates into components, and within each all vectors are compared in blocks in double
    precision, which gives exact link counts and drops what is below the threshold; so a list's length loses no link.
 """
@@ -31,8 +32,8 @@ TABLES = 5
 BITS = 8
 WINDOW = 12
 ROUNDS = 6
-AUDITED = 128
-RECALL = 0.98
+AUDITED, AUDITS, LINKS = 128, 8, 50
+RECALL, LEAST_RECALL = 0.98, 0.9
 BLOCK = 256
 #: Lists are compared in single precision; the exact step uses double.
 SLACK = 1e-4
@@ -190,15 +191,23 @@ def meetings(lists: DataFrame, units: DataFrame, split: int = 256) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "u long, v long, sim float")
 
 
-def audit(spark: SparkSession, classes: DataFrame, found: DataFrame, threshold: float, audited: int = AUDITED) -> float:
-    """Share of the links of ``audited`` vectors, found by comparing them with all rows, that ``found`` connects.
+def true_links(spark: SparkSession, classes: DataFrame, threshold: float, audited: int = AUDITED, audits: int = AUDITS, links: int = LINKS) -> DataFrame | None:
+    """(a, b): all links of some vectors, or None where they have none: blocks of ``audited``, in the order of their hashes.
 
-    The audited vectors are those with the smallest hashes among ones that have a near neighbour, and half others.
+    Blocks are compared with all rows until ``links`` links are seen, ``audits`` blocks at most.
     """
-    order = F.xxhash64("rep")
-    asked = classes.orderBy(order).limit(audited).select("rep", "grp", "raw").collect()
-    if not asked:
-        return 1.0
+    asked = classes.orderBy(F.xxhash64("rep"), "rep").limit(audited * audits).select("rep", "grp", "raw").collect()
+    seen, found = 0, None
+    for at in range(0, len(asked), audited):
+        some = saved(_links_of(spark, classes, asked[at : at + audited], threshold), spark)
+        seen += some.count()
+        found = some if found is None else found.union(some)
+        if seen >= links:
+            break
+    return found if seen else None
+
+
+def _links_of(spark: SparkSession, classes: DataFrame, asked: list, threshold: float) -> DataFrame:
     sent = spark.sparkContext.broadcast([(r["rep"], r["grp"], bytes(r["raw"])) for r in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +224,16 @@ def audit(spark: SparkSession, classes: DataFrame, found: DataFrame, threshold:
                     i, j = np.nonzero((sim >= threshold) & (a[:, None] != reps[rows][None]))
                     yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(reps[rows][j])], names=["a", "b"])
 
-    true = classes.select("rep", "grp", "raw").mapInArrow(run, "a long, b long")
+    return classes.select("rep", "grp", "raw").mapInArrow(run, "a long, b long")
+
+
+def recall_of(true: DataFrame | None, found: DataFrame) -> float | None:
+    """Share of the links that ``found`` (node, component) connects; None without links."""
+    if true is None:
+        return None
     one = true.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     counted = one.agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")).first()
-    return counted["hit"] / counted["n"] if counted["n"] else 1.0
+    return counted["hit"] / counted["n"]
 
 
 def exact_links(groups: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -257,12 +272,13 @@ def exact_links(groups: DataFrame, threshold: float, block: int = BLOCK) -> Data
     return rows.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "u long, v long, n long")
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, k: int = K, rounds: int = ROUNDS, report: Callable[[int, float], None] | None = None) -> DataFrame:
+def near_vectors(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, k: int = K, rounds: int = ROUNDS, report: Callable[[int, float | None], None] | None = None) -> DataFrame:
     """Per row: ``id_col``, n_links, component_id, kept.
 
     Rows whose vector is null, empty, zero or holds a null or non-finite value, whose label or id is null, have no
     link. Vectors of different lengths are never compared. Rows that repeat an id are one vertex. An empty table gives
-    an empty result; other columns are not looked at. ``report`` gets each round's number and audited recall.
+    an empty result; other columns are not looked at. ``report`` gets each round's number and audited recall,
+    None where the audited vectors have no link; a recall below 0.9 after twice ``rounds`` is an error.
     """
     rows = saved(prepared(vectors, id_col, vec_col, label_col), spark)
     real = rows.filter("digest IS NOT NULL AND id IS NOT NULL")
@@ -271,15 +287,18 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id"
     ordered = table.repartitionByRange("grp", "tab", "code", "place", "rep").sortWithinPartitions("grp", "tab", "code", "place", "rep")
     lists = saved(best_lists(neighbours_in_order(ordered, k), k, threshold, k), spark)
     units = saved(table.filter("tab = 0").select("rep", "unit").dropDuplicates(["rep"]), spark)
-    joined = None
-    for turn in range(1, rounds + 1):
+    true, joined, recall = true_links(spark, classes, threshold), None, None
+    for turn in range(1, 2 * rounds + 1):
         lists = saved(best_lists(lists.select("u", "v", "sim").union(meetings(lists, units)), k, threshold, k << turn), spark)
         joined = components(spark, lists.filter(F.col("sim") >= threshold - SLACK).select("u", "v"))
-        recall = audit(spark, classes, joined, threshold)
+        recall = recall_of(true, joined)
         if report:
             report(turn, recall)
-        if recall >= RECALL:
+        # twice the rounds where recall is known to be low
+        if turn >= rounds if recall is None else recall >= RECALL:
             break
+    if recall is not None and recall < LEAST_RECALL:
+        raise RuntimeError(f"audited recall {recall:.3f} after {turn} rounds")
     members = joined.select("node", F.col("component").alias("grp")).join(classes.select(F.col("rep").alias("node"), "raw", "size"), "node")
     linked = saved(exact_links(members.select("grp", "node", "raw", "size"), threshold), spark)
     degree = linked.filter("n > 0").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("others"))

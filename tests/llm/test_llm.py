@@ -619,6 +619,20 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.near_vectors(spark, df.limit(0)).count() == 0
 
 
+def test_embeddings_with_sparse_links(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.standard_normal(24)], i % 2) for i in range(700)]
+    rows += [(1000 + i, [x * 1.5 for x in rows[i][1]], rows[i][2]) for i in range(12)]
+    recalls = []
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_vectors(spark, df, report=lambda _, r: recalls.append(r)).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {1000 + i: i for i in range(12)}
+    assert recalls[-1] == 1.0
+    recalls.clear()
+    embedding_dedup.near_vectors(spark, df.filter("vec_id < 60"), report=lambda _, r: recalls.append(r)).collect()
+    assert set(recalls) == {None}
+
+
 # queries and pipeline
 
 
