@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpusloom.functions.text import let
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Marks of a match's first and last word; no word holds them.
@@ -156,11 +158,10 @@ def _starts(words: Column, regex: Column) -> Column:
     one after it, so that a next match may begin there.
     """
     marked = F.regexp_replace(words, F.concat(F.lit(" ("), regex, F.lit(")(?= )")), F.lit(f" {OPENS}$1{CLOSES}"))
-    numbered = F.transform(F.split(F.ltrim(marked), " "), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    edges = F.filter(numbered, lambda e: e["w"].startswith(OPENS) | e["w"].endswith(CLOSES))
-    firsts = F.transform(F.filter(edges, lambda e: e["w"].startswith(OPENS)), lambda e: e["i"])
-    lasts = F.transform(F.filter(edges, lambda e: e["w"].endswith(CLOSES)), lambda e: e["i"])
-    return F.zip_with(firsts, lasts, lambda a, z: F.struct(a.alias("first"), z.alias("last")))
+    places = lambda words, edge: F.array_compact(F.transform(words, lambda w, i: F.when(edge(w), i)))
+    both = lambda words: F.zip_with(places(words, lambda w: w.startswith(OPENS)), places(words, lambda w: w.endswith(CLOSES)), lambda a, z: F.struct(a.alias("first"), z.alias("last")))
+    # the marked words are made once for both edges
+    return let(F.split(F.ltrim(marked), " "), both)
 
 
 def detections(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
