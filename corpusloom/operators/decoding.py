@@ -54,3 +54,21 @@ def closed_blocks(rows: DataFrame, key: str, order: list[str], kind: str, body:
     marked = rows.withColumn("block", F.coalesce(F.sum((F.col(kind) == end).cast("int")).over(by), F.lit(0)))
     counted = marked.groupBy(key, "block").agg(F.count_if(F.col(kind) == body).alias("n"), F.max((F.col(kind) == end).cast("int")).alias("closed"))
     return counted.filter("closed = 1").drop("closed")
+
+
+# fixed values: labels of what is not learned, and of a frame of which only the first codebook is
+IGNORED, FIRST_ONLY = -100, -101
+
+
+def frame_labels(rows: DataFrame, key: str, order: list[str], kind: str, frame: str, end: str, policies: Column, codes: tuple[int, int]) -> DataFrame:
+    """``rows`` with ``target``, what each position is to be learned as.
+
+    ``policies`` is an array of ``train`` or ``first`` for the blocks of frames, each of which goes up to an ``end``;
+    ``codes`` are the labels of a frame and of an end. Other positions are not learned. A frame outside the blocks that
+    have a policy is an error.
+    """
+    by = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    block = F.coalesce(F.sum((F.col(kind) == end).cast("int")).over(by), F.lit(0)).cast("int")
+    marked = rows.withColumn("_policy", F.get(policies, block))
+    learned = F.when(F.col("_policy") == "train", codes[0]).when(F.col("_policy") == "first", FIRST_ONLY).otherwise(F.raise_error(F.lit("a block without a policy")).cast("int"))
+    return marked.withColumn("target", F.when(F.col(kind) == frame, learned).when(F.col(kind) == end, codes[1]).otherwise(IGNORED)).drop("_policy")
