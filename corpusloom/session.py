@@ -62,12 +62,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared
 
 
-def saved(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, spark: SparkSession, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (at ``path``, else a new one) and read it back.
 
     It cuts the lineage, so that a lost executor costs a re-read and not a recomputation, and gives the
     planner the true size of the table.
     """
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    path = path or scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``saved`` wrote and that no later step reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
