@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import bpe, chat, embedding_dedup, licenses, line_dedup, minhash, mixing, quality, secrets, sql_texts, toxicity
+from corpusloom.llm import bpe, chat, clusters, embedding_dedup, licenses, line_dedup, minhash, mixing, nearest, quality, runs, secrets, sql_texts, toxicity
 from corpusloom.session import prepare, table
 
 
@@ -70,10 +70,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_drift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.drift_clusters(spark, table(spark, sf_dir, "embeddings")).drop("scans")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.period_digests(table(spark, sf_dir, "documents"), plant=runs.planted)
+
+
+def op13_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return {name: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir)) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mix": sql_texts.OP6, "op8_reply_trees": sql_texts.OP8}
+    return {"op6_source_mix": sql_texts.OP6, "op8_reply_trees": sql_texts.OP8, "op11_drift_clusters": sql_texts.OP11, "op13_block_join": sql_texts.OP13}

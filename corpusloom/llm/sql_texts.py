@@ -42,3 +42,38 @@ WITH turns AS (
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM joined
 """
+
+
+def clusters(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256) -> str:
+    """Rounds of exact assignment and floored means, one after the other."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS cluster, x FROM v QUALIFY cluster < {k})",
+    ]
+    for i in range(rounds + 1):
+        apart = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, vec_id, v.x, cluster, {apart} AS distance FROM v, c{i} AS c QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT cluster, d, sum(x[d])::BIGINT AS s, count(*) AS n FROM a{i}, generate_series(1, {dims}) AS g(d) GROUP BY cluster, d)")
+            steps.append(f"m{i} AS MATERIALIZED (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY d) AS x FROM s{i} GROUP BY cluster)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} USING (cluster))")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS c USING (cluster)"""
+
+
+OP11 = clusters()
+
+OP13 = """
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), met AS (
+  SELECT q.vec_id AS query_id, q.e AS e, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v AS q JOIN v AS c ON len(q.e) = len(c.e) AND (q.vec_id <> c.vec_id OR q.e <> c.e) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM met QUALIFY rank <= 20
+"""
