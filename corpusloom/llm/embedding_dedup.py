@@ -1,16 +1,17 @@
 """Near-duplicate embeddings by NN-descent within equal labels.
 
-1. Equal vectors of a label fall into one class, which its smallest id stands for.
+1. Vectors are scaled by a power of two, so that no length under- or overflows. Equal ones of a label are one class.
 2. First lists: under several random-hyperplane codes the vectors are sorted by label, code and a projection, and each
    is compared with the rows next to it. The sort is by range, so no label or code makes a large task.
 3. Rounds of neighbours-of-neighbours joins: around each vector those that list it meet those that it lists, and what is
    nearer than the last of a list enters it. Lists hold ``k`` vectors; one whose every entry reaches the threshold is
-   saturated and doubles in each round. Vectors that very many others list are split by salt.
-4. Blocks of a fixed number of vectors are compared with all rows until enough links are seen. After each round recall is
-   the share of these links that the lists connect; the rounds end when it is high, and it is an error if it stays low.
-   Where the blocks hold no link at all recall is not measured, and all rounds are made.
-5. Links at the threshold join candidates into components, and within each all vectors are compared in blocks in double
-   precision, which gives exact link counts and drops what is below the threshold; so a list's length loses no link.
+   saturated and doubles in each round. Vectors that very many others list are split by salt. The rounds end when the
+   lists hardly gain, at ``rounds`` at the latest.
+4. Recall is audited: the classes of ids that ``every`` divides are compared with all classes of their label, in blocks, and
+   their true links are counted, and among these the links that the lists connect. Only counts leave a block.
+5. Where recall is high, links at the threshold join candidates into components; where it is not, a whole label is one
+   component. Within each all vectors are compared in blocks in double precision, which gives exact link counts and drops
+   what is below the threshold; so a list's length loses no link, and low recall costs time, not links.
 """
 
 from __future__ import annotations
@@ -32,15 +33,18 @@ TABLES = 5
 BITS = 8
 WINDOW = 12
 ROUNDS = 6
-AUDITED, AUDITS, LINKS = 128, 8, 50
-RECALL, LEAST_RECALL = 0.98, 0.9
+#: Rounds end when the similarities in the lists gain less than this share.
+GAIN = 1e-3
+EVERY, RECALL = 50, 0.98
+#: Audited classes, and classes that they are compared with, in one unit.
+ASKED, SHOWN = 8_192, 65_536
 BLOCK = 256
 #: Lists are compared in single precision; the exact step uses double.
 SLACK = 1e-4
 
 
 def prepared(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """id, digest (of label and vector; null where the row can have no link), grp, raw (doubles as bytes)."""
+    """id, digest (of label and vector; null where the row can have no link), grp, raw (scaled doubles as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,9 +53,10 @@ def prepared(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> D
                 values = vector.values if vector.is_valid and label is not None else None
                 raw = None
                 if values is not None and len(values) and not values.null_count:
-                    x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-                    norm = np.sqrt(x @ x)
-                    raw = x if np.isfinite(norm) and norm > 0 else None
+                    x = values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # -0.0 is 0.0
+                    most = np.abs(x).max()
+                    # by a power of two, so exactly: the greatest component is from 0.5 to 1
+                    raw = np.ldexp(x, -int(np.frexp(most)[1])) if np.isfinite(most) and most > 0 else None
                 key = None if raw is None else f"{len(raw)}|{label}".encode()
                 groups.append(None if raw is None else np.uint64(xxhash.xxh64_intdigest(key)).view(np.int64).item())
                 raws.append(None if raw is None else raw.tobytes())
@@ -191,49 +196,50 @@ def meetings(lists: DataFrame, units: DataFrame, split: int = 256) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "u long, v long, sim float")
 
 
-def true_links(spark: SparkSession, classes: DataFrame, threshold: float, audited: int = AUDITED, audits: int = AUDITS, links: int = LINKS) -> DataFrame | None:
-    """(a, b): all links of some vectors, or None where they have none: blocks of ``audited``, in the order of their hashes.
+def audited(classes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(links, hits): true links of the asked classes (``asked``), and those that ``found`` (node, component) connects.
 
-    Blocks are compared with all rows until ``links`` links are seen, ``audits`` blocks at most.
+    In each label the asked classes meet all classes, in units of bounded size on the asked side; rows of the other side
+    pass by. Each unit gives one row of counts.
     """
-    asked = classes.orderBy(F.xxhash64("rep"), "rep").limit(audited * audits).select("rep", "grp", "raw").collect()
-    seen, found = 0, None
-    for at in range(0, len(asked), audited):
-        some = saved(_links_of(spark, classes, asked[at : at + audited], threshold), spark)
-        seen += some.count()
-        found = some if found is None else found.union(some)
-        if seen >= links:
-            break
-    return found if seen else None
-
-
-def _links_of(spark: SparkSession, classes: DataFrame, asked: list, threshold: float) -> DataFrame:
-    sent = spark.sparkContext.broadcast([(r["rep"], r["grp"], bytes(r["raw"])) for r in asked])
+    parts = lambda seed, column: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(column)).cast("int")
+    each = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+    held = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("own", F.coalesce("component", "rep"))
+    sizes = classes.groupBy("grp").agg(F.ceil(F.count_if("asked") / ASKED).cast("int").alias("blocks"), F.ceil(F.count("*") / SHOWN).cast("int").alias("stripes")).filter("blocks > 0")
+    rows = held.select("grp", "rep", "own", "raw", "asked").join(sizes, "grp")
+    columns = ["grp", "block", "stripe", "side", "rep", "own", "raw"]
+    asked = rows.filter("asked").withColumn("block", parts(1, "blocks")).withColumn("stripe", each("stripes")).withColumn("side", F.lit(0))
+    shown = rows.withColumn("stripe", parts(2, "stripes")).withColumn("block", each("blocks")).withColumn("side", F.lit(1))
+    units = asked.select(columns).unionByName(shown.select(columns)).repartition("grp", "block", "stripe").sortWithinPartitions("grp", "block", "stripe", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: dict[tuple[int, int], list] = {}
-        for rep, grp, raw in sent.value:
-            queries.setdefault((grp, len(raw)), []).append((rep, raw))
+        unit, asked, links, hits = None, [], 0, 0
         for batch in batches:
-            reps, groups, raws = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            for (grp, size), own in queries.items():
-                rows = np.array([i for i in np.flatnonzero(groups == grp) if len(raws[i]) == size], int)
-                if len(rows):
-                    a = np.array([r for r, _ in own])
-                    sim = _units([x for _, x in own]) @ _units([raws[i] for i in rows]).T
-                    i, j = np.nonzero((sim >= threshold) & (a[:, None] != reps[rows][None]))
-                    yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(reps[rows][j])], names=["a", "b"])
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+            cuts = np.append(np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))), len(keys)) if len(keys) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                lo, hi = int(lo), int(hi)
+                if unit != (now := tuple(keys[lo, :3].tolist())):
+                    unit, asked = now, []
+                part = batch.slice(lo, hi - lo)
+                reps, own, x = part.column(4).to_numpy(), part.column(5).to_numpy(), _units(part.column(6).to_pylist())
+                if not keys[lo, 3]:
+                    asked.append((reps, own, x))
+                    continue
+                for ids, their, q in asked:
+                    for at in range(0, len(ids), 1_024):
+                        true = (q[at : at + 1_024] @ x.T >= threshold) & (ids[at : at + 1_024, None] != reps[None])
+                        links += int(true.sum())
+                        hits += int((true & (their[at : at + 1_024, None] == own[None])).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([links]), pa.array([hits])], names=["links", "hits"])
 
-    return classes.select("rep", "grp", "raw").mapInArrow(run, "a long, b long")
+    return units.mapInArrow(run, "links long, hits long")
 
 
-def recall_of(true: DataFrame | None, found: DataFrame) -> float | None:
-    """Share of the links that ``found`` (node, component) connects; None without links."""
-    if true is None:
-        return None
-    one = true.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    counted = one.agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")).first()
-    return counted["hit"] / counted["n"]
+def recall_of(classes: DataFrame, found: DataFrame, threshold: float) -> float | None:
+    """Share of the audited links that ``found`` (node, component) connects; None without links."""
+    counted = audited(classes, found, threshold).agg(F.sum("links").alias("n"), F.sum("hits").alias("hit")).first()
+    return counted["hit"] / counted["n"] if counted["n"] else None
 
 
 def exact_links(groups: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -272,39 +278,50 @@ def exact_links(groups: DataFrame, threshold: float, block: int = BLOCK) -> Data
     return rows.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, "u long, v long, n long")
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, k: int = K, rounds: int = ROUNDS, report: Callable[[int, float | None], None] | None = None) -> DataFrame:
-    """Per row: ``id_col``, n_links, component_id, kept.
+def near_vectors(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, k: int = K, rounds: int = ROUNDS, every: int = EVERY, report: Callable[[int, float | None], None] | None = None) -> DataFrame:
+    """Per row: ``id_col``, n_links, component_id, kept, audited_recall.
 
     Rows whose vector is null, empty, zero or holds a null or non-finite value, whose label or id is null, have no
-    link. Vectors of different lengths are never compared. Rows that repeat an id are one vertex. An empty table gives
-    an empty result; other columns are not looked at. ``report`` gets each round's number and audited recall,
-    None where the audited vectors have no link; a recall below 0.9 after twice ``rounds`` is an error.
+    link. Vectors of different lengths are never compared. Rows that repeat id, label and vector are one vector; rows that
+    repeat an id with another vector have links of their own, counted as vectors, and as vertices are one, so they share a
+    component. An empty table gives an empty result; other columns are not looked at. ``audited_recall`` is the share of
+    the true links of ids that ``every`` divides which NN-descent connected, null where they have none; below 0.98
+    the exact comparison takes whole labels, so nothing is lost. ``report`` gets the rounds made and this share.
     """
     rows = saved(prepared(vectors, id_col, vec_col, label_col), spark)
     real = rows.filter("digest IS NOT NULL AND id IS NOT NULL")
-    classes = saved(real.groupBy("digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("size"), F.first("grp").alias("grp"), F.first("raw").alias("raw")), spark)
+    grouped = real.groupBy("digest").agg(F.min("id").alias("least"), F.count_distinct("id").alias("size"), F.first("grp").alias("grp"), F.first("raw").alias("raw"), F.max(F.pmod("id", F.lit(every)) == 0).alias("asked"))
+    classes = saved(grouped.withColumn("rep", F.monotonically_increasing_id()), spark)  # once written, the numbers stay
     table = saved(coded(classes), spark)
     ordered = table.repartitionByRange("grp", "tab", "code", "place", "rep").sortWithinPartitions("grp", "tab", "code", "place", "rep")
     lists = saved(best_lists(neighbours_in_order(ordered, k), k, threshold, k), spark)
-    units = saved(table.filter("tab = 0").select("rep", "unit").dropDuplicates(["rep"]), spark)
-    true, joined, recall = true_links(spark, classes, threshold), None, None
-    for turn in range(1, 2 * rounds + 1):
+    units = saved(table.filter("tab = 0").select("rep", "unit"), spark)
+    total = lambda: lists.agg(F.coalesce(F.sum(F.col("sim").cast("double") + 1), F.lit(0.0))).first()[0]
+    before, turn = total(), 0
+    while turn < rounds:
+        turn += 1
         lists = saved(best_lists(lists.select("u", "v", "sim").union(meetings(lists, units)), k, threshold, k << turn), spark)
-        joined = components(spark, lists.filter(F.col("sim") >= threshold - SLACK).select("u", "v"))
-        recall = recall_of(true, joined)
-        if report:
-            report(turn, recall)
-        # twice the rounds where recall is known to be low
-        if turn >= rounds if recall is None else recall >= RECALL:
+        now = total()
+        if now <= before * (1 + GAIN):
             break
-    if recall is not None and recall < LEAST_RECALL:
-        raise RuntimeError(f"audited recall {recall:.3f} after {turn} rounds")
-    members = joined.select("node", F.col("component").alias("grp")).join(classes.select(F.col("rep").alias("node"), "raw", "size"), "node")
-    linked = saved(exact_links(members.select("grp", "node", "raw", "size"), threshold), spark)
+        before = now
+    joined = components(spark, lists.filter(F.col("sim") >= threshold - SLACK).select("u", "v"))
+    recall = recall_of(classes, joined, threshold)
+    if report:
+        report(turn, recall)
+    members = joined.select(F.col("node").alias("rep"), F.col("component").alias("part")) if recall is None or recall >= RECALL else classes.select("rep", F.col("grp").alias("part"))
+    members = members.join(classes.select("rep", "raw", "size"), "rep").select(F.col("part").alias("grp"), F.col("rep").alias("node"), "raw", "size")
+    linked = saved(exact_links(members, threshold), spark)
     degree = linked.filter("n > 0").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("others"))
-    found = components(spark, linked.filter("n = 0").select("u", "v"))
-    out = rows.join(classes.select("digest", "rep", "size"), "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = out.join(degree, "rep", "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    links = F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))
-    return out.select(F.col("id").alias(id_col), links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    # an id with several vectors holds their classes together
+    own = real.join(classes.select("digest", "rep"), "digest").select("id", "rep").distinct()
+    several = own.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("_last")).filter("u != _last")
+    bound = own.join(several, "id").filter("rep != u").select("u", F.col("rep").alias("v"))
+    found = components(spark, linked.filter("n = 0").select("u", "v").unionByName(bound))
+    placed = classes.select("rep", "digest", "size", "least").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = placed.groupBy("component").agg(F.min("least").alias("head"))
+    placed = placed.join(heads, "component").join(degree, "rep", "left").select("digest", "head", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    out = rows.join(placed, "digest", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("head", "id"))
+    links = F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0)
+    return out.select(F.col("id").alias(id_col), links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("audited_recall"))

@@ -43,6 +43,8 @@ PIECES = "the|and|ing|tion|ent|ion|her|for|that|ere|con|ver|ment|able|ous|ter|is
 MOST_FINDINGS = 20_000
 CHECKED_MOD = 5
 TREES, DEPTH = 24, 7
+#: Findings of either label that are made by rule and always learned from.
+SEEDS = 64
 FEATURES = ["f_len", "f_log_len", "f_upper", "f_lower", "f_digit", "f_other", "f_turns", "f_entropy", "f_distinct", "f_dictionary", "f_vowels", "f_before_name", "f_before_harmless", "f_assigned", "f_quoted", "f_after_quote", "f_words_before", "f_line_share", "f_path_depth", "f_path_test", "f_place"]
 
 
@@ -126,6 +128,36 @@ def labelled_findings(found: DataFrame, most: int = MOST_FINDINGS) -> DataFrame:
     return some[0].unionByName(some[1]).drop("_by")
 
 
+def seeded_findings(spark: SparkSession, each: int = SEEDS) -> DataFrame:
+    """Labelled findings made by rule: ``each`` secrets and as many harmless strings, whatever the corpus holds.
+
+    Secrets are keys of providers and values given to a secret's name; the others are digests, numbers, words and
+    placeholders in the places where they usually stand. Random characters follow from the hash of the row's number.
+    """
+    digest = F.sha2(F.concat(F.lit("seed|"), F.col("i").cast("string")), 256)
+    mixed = F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")
+    part = lambda n: F.substring(mixed, 1, n)
+    quoted = lambda name: (F.concat(F.lit(name), F.lit(' = "')), F.lit('"'))
+    # fixed values: forms of provider keys, names of secrets, and what stands beside harmless strings
+    secret = [
+        (F.concat(F.lit("AKIA"), F.upper(F.substring(digest, 1, 16))), *quoted("key")), (F.concat(F.lit("ghp_"), part(36)), F.lit("use "), F.lit(" here")),
+        (part(40), *quoted("api_key")), (digest, *quoted("token")), (F.concat(part(9), F.lit("!")), *quoted("password")), (F.concat(F.lit("sk-"), part(32)), F.lit("Bearer "), F.lit("")),
+        (F.concat(part(4), F.lit("#"), F.substring(mixed, 9, 5)), F.lit("pwd: '"), F.lit("'")), (part(24), F.lit("client_secret="), F.lit("")),
+    ]
+    harmless = [
+        (F.substring(digest, 1, 40), F.lit("commit "), F.lit(" merged")), (digest, F.lit("sha256: "), F.lit("")), (F.translate(F.substring(digest, 1, 20), "abcdef", "123456"), F.lit("order "), F.lit(" sent")),
+        (F.lit("placeholder-value-here"), *quoted("token")), (F.lit("averyverylongordinaryword"), F.lit("the "), F.lit(" is")), (F.lit("your-password-example"), *quoted("password")),
+        (F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.substring(digest, 13, 4), F.substring(digest, 17, 12)), F.lit("uuid "), F.lit("")), (F.lit("some/path/to/ordinary_file_name"), F.lit("see "), F.lit(" for")),
+    ]
+    made = None
+    for label, forms in ((1, secret), (0, harmless)):
+        for k, (value, before, after) in enumerate(forms):
+            some = spark.range(-(-each // len(forms))).select((F.col("id") * 16 + label * 8 + k).alias("i")).select(F.lit(label).alias("label"), value.alias("value"), before.alias("before"), after.alias("after"))
+            made = some if made is None else made.unionByName(some)
+    line = F.length("before") + F.length("value") + F.length("after")
+    return made.select(F.lit(None).cast("string").alias("id"), F.lit("").alias("path"), F.lit(0).alias("line"), F.length("before").alias("start"), "value", "before", "after", F.lit(1).alias("n_lines"), line.alias("line_chars"), "label")
+
+
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:
     """The forest of labelled findings (candidate columns and ``label`` 0 or 1)."""
     # a bounded sample: a few partitions hold it, and either label weighs the same in total
@@ -140,16 +172,16 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, findings: DataFrame | Non
     """Every candidate of every text: ``id_col``, path, line, start, stop, value, probability, is_secret.
 
     ``findings`` are labelled findings (candidate columns and label); without them the candidates of evident nature
-    are taken. With only one label known there is no forest, and that label stands for all. Null texts and ids, empty
-    and very long texts, repeated rows (each its own findings) and empty tables are fine; other columns are not looked
-    at.
+    are taken. The forest also learns from :func:`seeded_findings`, so there is always one, even where the corpus shows one
+    label or none. Null texts and ids, empty and very long texts, repeated rows (each its own findings) and empty
+    tables are fine; other columns are not looked at.
     """
     found = saved(candidates(docs, id_col, text_col, path_col), spark)
-    findings = saved(labelled_findings(found) if findings is None else findings, spark)
-    labels = sorted(int(r["label"]) for r in findings.select("label").distinct().collect())  # at most two rows
+    known = labelled_findings(found) if findings is None else findings
+    seeds = seeded_findings(spark)
+    learned = [c for c in seeds.columns if c != "id"]
+    findings = saved(known.select(learned).unionByName(seeds.select(learned)), spark)
     columns = [F.col("id").alias(id_col), "path", "line", "start", (F.col("start") + F.length("value")).alias("stop"), "value"]
-    if len(labels) < 2:
-        return found.select(*columns, F.lit(float(labels[0]) if labels else 0.0).alias("probability"), F.lit(bool(labels and labels[0])).alias("is_secret"))
     model = train(findings)
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured(found)))
     probability = F.element_at(vector_to_array("probability"), 2)
