@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from corpusloom.functions.text import let
+from corpusloom.functions.text import let, truncated_words
 
 
 def _sum(values: Column) -> Column:
@@ -61,3 +61,47 @@ def rate_factor(step: Column, total: int, warmup: int, floor: float = 0.0, cycle
     else:
         after = wave(F.least((step - warmup) / max(1, total - warmup), F.lit(1.0)))
     return F.when(step < warmup, step / max(1, warmup)).otherwise(after)
+
+
+def sound_ends(samples: Column, frame: int = 2048, hop: int = 512, top_db: float = 40.0) -> Column:
+    """array<int>: where each stretch of sound ends, in samples.
+
+    Frames of ``frame`` samples stand around every ``hop``-th sample, zeros beyond the ends. A frame sounds where its power
+    is less than ``top_db`` below the loudest one's; a stretch ends at the frame after its last, or with the samples.
+    """
+    # fixed value: powers below this count as this
+    least = 1e-10
+
+    def ends(x: Column) -> Column:
+        n = F.size(x)
+        at = F.sequence(F.lit(0), F.floor(n / hop).cast("int"))
+
+        def power(t: Column) -> Column:
+            start, stop = F.greatest(F.lit(0), t * hop - frame // 2), F.least(n, t * hop - frame // 2 + frame)
+            return _sum(F.transform(F.slice(x, start + 1, F.greatest(stop - start, F.lit(0))), lambda v: v.cast("double") * v.cast("double"))) / frame
+
+        def loud(p: Column) -> Column:
+            most = F.greatest(F.array_max(p), F.lit(least))
+            sounds = F.transform(p, lambda v: 10 * F.log10(F.greatest(v, F.lit(least))) - 10 * F.log10(most) > -top_db)
+            last = lambda s: F.filter(F.transform(s, lambda v, t: F.when(v & ~F.coalesce(F.get(s, t + 1), F.lit(False)), F.least((t + 1) * hop, n))), lambda v: v.isNotNull())
+            return let(sounds, last)
+
+        return F.when(n > 0, let(F.transform(at, power), loud)).otherwise(F.array().cast("array<int>"))
+
+    return let(samples, ends)
+
+
+def truncated_pair(samples: Column, text: Column, rate: float, cap: float, frame: int = 2048, hop: int = 512, top_db: float = 40.0) -> Column:
+    """struct<kept int, share double, text string>: sound up to the last end of a stretch within ``cap`` seconds, and its text.
+
+    Without such an end the sound is cut at ``cap``. The text keeps its words in the share of the sound that is kept.
+    """
+    most = int(cap * rate)
+
+    def cut(found: Column) -> Column:
+        n, inside = F.size(samples), F.filter(found, lambda e: e <= most)
+        return F.least(F.when(F.size(inside) > 0, F.array_max(inside)).otherwise(most), n)
+
+    kept = let(sound_ends(samples, frame, hop, top_db), cut)
+    shared = lambda k: F.struct(k.alias("kept"), F.least(F.lit(1.0), k / F.greatest(F.size(samples).cast("double"), F.lit(1e-9 * rate))).alias("share"))
+    return let(let(kept, shared), lambda s: F.struct(s["kept"].alias("kept"), s["share"].alias("share"), truncated_words(text, s["share"]).alias("text")))

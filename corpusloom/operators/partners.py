@@ -55,25 +55,29 @@ def block_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return both.select("grp", "l_block", "r_block", (F.col("l_n") * F.col("r_n")).alias("pairs"), (F.greatest(most, F.lit(0.0)) + ROOM >= least).alias("alive"))
 
 
-def best_matches(left: DataFrame, right: DataFrame, least: float, apart: bool = False, block: int = BLOCK, report=None) -> DataFrame:
-    """(grp, key, partner, cosine): for each row of ``left`` the one of ``right`` in its group with the greatest inner product.
-
-    Both sides are (grp, key, v): keys of one integer type, vectors of one length. Rows that reach no ``least`` (which is
-    positive) have no row here; ties go to the smaller key. ``apart`` leaves out equal keys. Where ``left`` has a column
-    ``above``, a partner's ``place`` must be greater. ``report`` gets the pairs of all blocks and those compared.
-    """
+def _tiles(left: DataFrame, right: DataFrame, around: DataFrame, least: float, block: int, report, tile, schema: str) -> DataFrame:
+    """``tile`` over (grp, left rows, right rows) of each pair of blocks that may reach ``least``; rows are (key, mark, v)."""
     spark = left.sparkSession
-    around = saved(pivots(right), spark)
-    bound = "above" in left.columns
-    left = saved(blocked(left.select("grp", "key", "v", (F.col("above") if bound else F.lit(0)).cast("long").alias("mark")), around, block), spark)
-    right = left if right is None else saved(blocked(right.select("grp", "key", "v", (F.col("place") if bound else F.lit(1)).cast("long").alias("mark")), around, block), spark)
+    left, right = (saved(blocked(rows, around, block), spark) for rows in (left, right))
     pairs = saved(block_pairs(left, right, least), spark)
     if report:
         report(*pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("alive"), F.col("pairs"))), F.lit(0))).first())
     alive = pairs.filter("alive").select("grp", "l_block", "r_block")
     sent = lambda rows, side: rows.withColumnRenamed("block", f"{'lr'[side]}_block").join(alive, ["grp", f"{'lr'[side]}_block"]).select("grp", "l_block", "r_block", F.lit(side).alias("side"), "key", "mark", "v")
     units = sent(left, 0).unionByName(sent(right, 1)).repartition("grp", "l_block", "r_block").sortWithinPartitions("grp", "l_block", "r_block", "side")
-    kind = dict(left.dtypes)["grp"]
+
+    def one(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        side, key, mark = (rows.column(i).to_numpy() for i in (3, 4, 5))
+        middle = int((side == 0).sum())
+        if middle in (0, len(side)):
+            return
+        v = np.asarray(rows.column(6).combine_chunks().flatten(), np.float64).reshape(len(side), -1)
+        i, j, value = tile(key[:middle], mark[:middle], v[:middle], key[middle:], mark[middle:], v[middle:])
+        grp = pa.chunked_array(rows.column(0).take(pa.array(i))).combine_chunks() if len(i) else pa.array([], rows.column(0).type)
+        yield pa.RecordBatch.from_arrays([grp, pa.array(key[:middle][i]), pa.array(key[middle:][j]), pa.array(value)], names=["grp", "key", "partner", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -84,32 +88,51 @@ def best_matches(left: DataFrame, right: DataFrame, least: float, apart: bool =
             for i in range(1, len(keys) + 1):
                 if i == len(keys) or keys[i] != keys[start]:
                     if keys[start] != unit:
-                        yield from tile(held)
+                        yield from one(held)
                         held, unit = [], keys[start]
                     held.append(batch.slice(start, i - start))
                     start = i
-        yield from tile(held)
+        yield from one(held)
 
-    def tile(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        side, key, mark = (rows.column(i).to_numpy() for i in (3, 4, 5))
-        middle = int((side == 0).sum())
-        if middle in (0, len(side)):
-            return
-        v = np.asarray(rows.column(6).combine_chunks().flatten(), np.float64).reshape(len(side), -1)
-        score = v[:middle] @ v[middle:].T
+    return units.mapInArrow(run, schema)
+
+
+def best_matches(left: DataFrame, right: DataFrame, least: float, apart: bool = False, block: int = BLOCK, report=None) -> DataFrame:
+    """(grp, key, partner, cosine): for each row of ``left`` the one of ``right`` in its group with the greatest inner product.
+
+    Both sides are (grp, key, v): keys of one integer type, vectors of one length. Rows that reach no ``least`` have no row
+    here; ties go to the smaller key. ``apart`` leaves out equal keys. Where ``left`` has a column ``above``, a partner's
+    ``place`` must be greater. ``report`` gets the pairs of all blocks and those compared.
+    """
+    around = saved(pivots(right), left.sparkSession)
+    bound = "above" in left.columns
+    left = left.select("grp", F.col("key").cast("long").alias("key"), "v", (F.col("above") if bound else F.lit(0)).cast("long").alias("mark"))
+    right = right.select("grp", F.col("key").cast("long").alias("key"), "v", (F.col("place") if bound else F.lit(1)).cast("long").alias("mark"))
+
+    def best(key, mark, v, other, place, w):
+        score = v @ w.T
         if apart:
-            score[key[:middle, None] == key[None, middle:]] = -np.inf
-        score[~(mark[:middle, None] < mark[None, middle:])] = -np.inf
+            score[key[:, None] == other[None]] = -np.inf
+        score[~(mark[:, None] < place[None])] = -np.inf
         # the right side by key, so that the first of equal scores is the smallest key
-        order = np.argsort(key[middle:], kind="stable")
-        best = score[:, order].argmax(1)
-        value = score[np.arange(middle), order[best]]
-        at = np.flatnonzero(value >= least)
-        grp = rows.column(0).take(pa.array(at))
-        yield pa.RecordBatch.from_arrays([grp.combine_chunks() if isinstance(grp, pa.ChunkedArray) else grp, pa.array(key[:middle][at]), pa.array(key[middle:][order[best[at]]]), pa.array(value[at])], names=["grp", "key", "partner", "cosine"])
-
-    found = units.mapInArrow(run, f"grp {kind}, key long, partner long, cosine double")
+        order = np.argsort(other, kind="stable")
+        at = order[score[:, order].argmax(1)]
+        value = score[np.arange(len(key)), at]
+        i = np.flatnonzero((value >= least) & (value > -np.inf))
+        return i, at[i], value[i]
+
+    found = _tiles(left, right, around, least, block, report, best, f"grp {dict(left.dtypes)['grp']}, key long, partner long, cosine double")
     return found.groupBy("grp", "key").agg(F.max_by("partner", F.struct("cosine", -F.col("partner"))).alias("partner"), F.max("cosine").alias("cosine"))
+
+
+def near_pairs(rows: DataFrame, least: float, block: int = BLOCK, report=None) -> DataFrame:
+    """(grp, key, partner, cosine): every pair of rows (grp, key, v) of a group whose inner product reaches ``least``, once."""
+    around = saved(pivots(rows), rows.sparkSession)
+    rows = rows.select("grp", F.col("key").cast("long").alias("key"), "v", F.lit(0).cast("long").alias("mark"))
+
+    def near(key, _, v, other, __, w):
+        score = v @ w.T
+        i, j = np.nonzero((score >= least) & (key[:, None] < other[None]))
+        return i, j, score[i, j]
+
+    return _tiles(rows, rows, around, least, block, report, near, f"grp {dict(rows.dtypes)['grp']}, key long, partner long, cosine double")

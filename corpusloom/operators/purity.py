@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.vectors import dot, unit, vector_sum
-from corpusloom.operators.similarity import cohesion, label_sums, near_labels, outliers
+from corpusloom.operators.similarity import cohesion, label_sums, near_labels, nearest_label, outliers
 from corpusloom.session import saved
 
 # fixed values: the statuses and their thresholds
@@ -123,3 +123,31 @@ def refined_labels(rows: DataFrame, size: int, key: str, label: str = "label") -
     small: Column = F.col("two_voices") & ~F.coalesce((F.col("_left") >= LEAST_REFINED) & (F.col("intra") >= LEAST_REFINED_INTRA), F.lit(False))
     why = F.when(outlier, "outlier").when(small, "small side")
     return out.select(key, label, F.when(why.isNull(), F.col("_name")).alias("refined"), why.alias("why"))
+
+
+def purity_run(rows: DataFrame, size: int, key: str, label: str = "label", split: str | None = None, same: float = SAME_VOICE) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, pairs) of unit vectors ``e``: what a whole run over labels finds.
+
+    Verdicts are those of :func:`voice_verdicts` with ``nearest`` and ``nearest_cosine``, the most alike other label.
+    Pairs (a, b, cosine, cross_split) are labels that seem one voice; either of them is at least suspect, and its reasons
+    say which one it equals, and that they leak where their splits differ. ``split`` is a column of one value a label; an
+    empty or null one differs from none.
+    """
+    spark = rows.sparkSession
+    own = saved(rows, spark)
+    verdicts = voice_verdicts(label_verdicts(own, size, label), two_voices(two_means(own, size, key, label), size, label), label)
+    near = nearest_label(own, size, label).select(F.col("a").alias(label), "nearest", F.col("cosine").alias("nearest_cosine"))
+    pairs = doubled_labels(own, size, label, same)
+    if split:
+        of = own.groupBy(label).agg(F.nullif(F.min(split), F.lit("")).alias("_split"))
+        side = lambda name: of.select(F.col(label).alias(name), F.col("_split").alias(f"_{name}"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("cross_split", F.coalesce(F.col("_a") != F.col("_b"), F.lit(False))).drop("_a", "_b")
+    else:
+        pairs = pairs.withColumn("cross_split", F.lit(False))
+    pairs = saved(pairs, spark)
+    told = lambda a, b: pairs.select(F.col(a).alias(label), F.struct((-F.col("cosine")).alias("by"), F.concat(F.lit("same voice as "), F.col(b).cast("string"), F.when(F.col("cross_split"), ", other split").otherwise("")).alias("why")).alias("w"))
+    # a label has as many reasons as others that equal it
+    why = told("a", "b").unionByName(told("b", "a")).groupBy(label).agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["why"]).alias("_why"))
+    out = verdicts.join(near, label, "left").join(why, label, "left")
+    reasons = F.concat("reasons", F.coalesce("_why", F.array().cast("array<string>")))
+    return out.withColumn("reasons", reasons).withColumn("status", F.when((F.col("status") == FINE) & F.col("_why").isNotNull(), SUSPECT).otherwise(F.col("status"))).drop("_why"), pairs

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions.keys import order_key
 from corpusloom.functions.vectors import dot, norm, unit, vector_sum
+from corpusloom.operators.partners import best_matches, near_pairs
 from corpusloom.operators.ranks import quantiles, ranked
 from corpusloom.session import saved
 
@@ -51,19 +52,25 @@ def medoids(rows: DataFrame, size: int, key: str, label: str = "label") -> DataF
     return joined.groupBy(label).agg(F.max_by(key, F.struct(score, -F.col(key))).alias("medoid"), F.max(score).alias("score"))
 
 
+def numbered_centres(rows: DataFrame, size: int, label: str = "label") -> DataFrame:
+    """(grp, key, v, label): the mean direction of each label, keys from 0 in the order of the labels."""
+    centres = label_sums(rows, size, label).select(F.col(label).alias("label"), unit(F.col("total")).alias("v"), F.lit(1).alias("grp"))
+    return saved(ranked(centres, "grp", [F.col("label")], "key").drop("_size"), rows.sparkSession)
+
+
 def near_labels(rows: DataFrame, size: int, least: float, label: str = "label") -> DataFrame:
-    """Pairs of labels whose centroids have a cosine of ``least`` or more: one row per label is compared, not vectors."""
-    centres = label_sums(rows, size, label).select(F.col(label).alias("a"), unit(F.col("total")).alias("ca"))
-    other = centres.select(F.col("a").alias("b"), F.col("ca").alias("cb"))
-    return centres.join(other, F.col("a") < F.col("b")).withColumn("cosine", dot(F.col("ca"), F.col("cb"))).filter(F.col("cosine") >= least).select("a", "b", "cosine")
+    """Pairs of labels (a, b, cosine) whose centroids have a cosine of ``least`` or more, compared in blocks that may reach it."""
+    centres = numbered_centres(rows, size, label)
+    named = lambda key, name: centres.select(F.col("key").alias(key), F.col("label").alias(name))
+    return near_pairs(centres, least).join(named("key", "a"), "key").join(named("partner", "b"), "partner").select("a", "b", "cosine")
 
 
 def nearest_label(rows: DataFrame, size: int, label: str = "label") -> DataFrame:
     """For each label the other one with the largest cosine of centroids; ties to the smaller label."""
-    centres = label_sums(rows, size, label).select(F.col(label).alias("a"), unit(F.col("total")).alias("ca"))
-    other = centres.select(F.col("a").alias("b"), F.col("ca").alias("cb"))
-    pairs = centres.join(other, F.col("a") != F.col("b")).withColumn("cosine", F.round(dot(F.col("ca"), F.col("cb")), 9))
-    return pairs.groupBy("a").agg(F.max_by("b", F.struct("cosine", -F.col("b"))).alias("nearest"), F.max("cosine").alias("cosine"))
+    centres = numbered_centres(rows, size, label)
+    named = lambda key, name: centres.select(F.col("key").alias(key), F.col("label").alias(name))
+    found = best_matches(centres, centres, -2.0, apart=True)
+    return found.join(named("key", "a"), "key").join(named("partner", "nearest"), "partner").select("a", "nearest", F.round("cosine", 9).alias("cosine"))
 
 
 def split_half(rows: DataFrame, size: int, key: str, label: str = "label", least: int = 6, seed: int = 42) -> DataFrame:

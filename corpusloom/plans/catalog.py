@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.keys import draw, gender, group_key, order_key, voice_key
-from corpusloom.operators import decoding, evaluation, intervals, purity, relational, sampling, selection, similarity, splits
+from corpusloom.operators import decoding, evaluation, identity, intervals, purity, relational, sampling, selection, similarity, splits
 from corpusloom.operators.graph import components
 from corpusloom.session import prepare, saved, table
 
@@ -507,18 +507,10 @@ def event_components(spark, d):
     return components(spark, edges)
 
 
-@query("""WITH h AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY ALL) SELECT o_custkey, 'P' || lpad(row_number() OVER (ORDER BY round(total, 2) DESC, o_custkey)::VARCHAR, 6, '0') AS person FROM h""")
+@query("""WITH h AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY ALL) SELECT o_custkey, 'P' || CASE WHEN r < 1000 THEN lpad(r::VARCHAR, 3, '0') ELSE r::VARCHAR END AS person FROM (SELECT o_custkey, row_number() OVER (ORDER BY round(total, 2) DESC, o_custkey) AS r FROM h)""")
 def person_rank(spark, d):
-    from pyspark.sql import Window
-
     total = table(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
-    # ranks over a range-sorted table: counts of the partitions give each its first rank
-    total = saved(total.repartitionByRange(F.desc("total"), F.asc("o_custkey")).withColumn("part", F.spark_partition_id()), spark)
-    first = total.groupBy("part").agg(F.count("*").alias("n"))
-    first = first.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    within = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("total"), "o_custkey"))
-    rank = (F.col("within") + F.col("before")).cast("string")
-    return total.withColumn("within", within).join(first, "part").select("o_custkey", F.concat(F.lit("P"), F.lpad(rank, 6, "0")).alias("person"))
+    return identity.person_ids(total.withColumnRenamed("o_custkey", "person"), "person", "total", "P").select(F.col("person").alias("o_custkey"), F.col("id").alias("person"))
 
 
 # references, requests and reports ------------------------------------------------------------------------------------

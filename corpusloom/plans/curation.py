@@ -243,7 +243,7 @@ def spoken_blocks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(tx.text_blocks(F.col("text"))).alias("block", "said"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[-_]', ' ', 'g'), '[^\p{L}\p{N}\s]', '', 'g') AS t FROM documents) SELECT doc_id, md5(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM t""")
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{N}\s]', ' ', 'g') AS t FROM documents) SELECT doc_id, md5(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM t""")
 def comparable_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.comparable(F.col("text"))).alias("digest"))
 
