@@ -105,3 +105,19 @@ def truncated_pair(samples: Column, text: Column, rate: float, cap: float, frame
     kept = let(sound_ends(samples, frame, hop, top_db), cut)
     shared = lambda k: F.struct(k.alias("kept"), F.least(F.lit(1.0), k / F.greatest(F.size(samples).cast("double"), F.lit(1e-9 * rate))).alias("share"))
     return let(let(kept, shared), lambda s: F.struct(s["kept"].alias("kept"), s["share"].alias("share"), truncated_words(text, s["share"]).alias("text")))
+
+
+def quality_ok(energies: Column, least: float) -> Column:
+    """Whether the signal stands ``least`` decibels above its noise; always so where ``least`` is not positive or nothing is known."""
+    return F.lit(True) if least <= 0 else F.coalesce(snr_db(energies) >= least, F.lit(True))
+
+
+def level_matched(samples: Column, target: Column, most_gain: float = 4.0) -> Column:
+    """Samples at the ``target`` root mean square, by a gain of 1/``most_gain`` to ``most_gain``, within -1 and 1; silence stays."""
+
+    def matched(level: Column) -> Column:
+        gain = F.greatest(F.lit(1 / most_gain), F.least(F.lit(most_gain), target / level))
+        louder = F.transform(samples, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double") * gain)))
+        return F.when(level < 1e-6, F.transform(samples, lambda x: x.cast("double"))).otherwise(louder)
+
+    return let(rms(samples), matched)

@@ -72,3 +72,28 @@ def frame_labels(rows: DataFrame, key: str, order: list[str], kind: str, frame:
     marked = rows.withColumn("_policy", F.get(policies, block))
     learned = F.when(F.col("_policy") == "train", codes[0]).when(F.col("_policy") == "first", FIRST_ONLY).otherwise(F.raise_error(F.lit("a block without a policy")).cast("int"))
     return marked.withColumn("target", F.when(F.col(kind) == frame, learned).when(F.col(kind) == end, codes[1]).otherwise(IGNORED)).drop("_policy")
+
+
+def dual_guided(plain: DataFrame, reference: DataFrame, instructed: DataFrame, key: str, ref_scale: float, ins_scale: float) -> DataFrame:
+    """plain + r * (reference - plain) + i * (instructed - plain) for each token of all three."""
+    other = lambda rows, name: rows.select(key, "token", F.col("score").alias(name))
+    rows = plain.join(other(reference, "_r"), [key, "token"]).join(other(instructed, "_i"), [key, "token"])
+    u = F.col("score")
+    return rows.withColumn("score", u + ref_scale * (F.col("_r") - u) + ins_scale * (F.col("_i") - u)).drop("_r", "_i")
+
+
+# fixed value: the label of places that no loss counts
+IGNORED = -100
+
+
+def collated(rows: DataFrame, batch: str, tokens: str, labels: str, pad: int = 0) -> DataFrame:
+    """``input_ids``, ``attention_mask`` and ``labels`` of one length a batch, filled on the left.
+
+    The longest length of a batch is summed up by batch and joined, so no batch is gathered.
+    """
+    longest = rows.groupBy(batch).agg(F.max(F.size(tokens)).alias("_most"))
+    out = rows.join(longest, batch)
+    fill = lambda value: F.array_repeat(F.lit(value), F.col("_most") - F.size(tokens))
+    seen = F.transform(F.col(tokens), lambda _: F.lit(1))
+    filled = {"input_ids": F.concat(fill(pad), F.col(tokens)), "attention_mask": F.concat(fill(0), seen), "labels": F.concat(fill(IGNORED), F.col(labels))}
+    return out.withColumns(filled).drop("_most")

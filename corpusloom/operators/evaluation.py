@@ -89,3 +89,21 @@ def bootstrap_interval(rows: DataFrame, group: list[str], key: str, value: str,
     low = F.get("_all", F.least(F.size("_all") - 1, F.floor(F.size("_all") * alpha / 2)).cast("int"))
     high = F.get("_all", F.least(F.size("_all") - 1, F.floor(F.size("_all") * (1 - alpha / 2))).cast("int"))
     return found.select(*group, low.alias("low"), high.alias("high"))
+
+
+def scaled_within(value: Column, floor: Column, ceiling: Column) -> Column:
+    """(value - floor) / (ceiling - floor), where the two are taken to be 1e-6 apart at least."""
+    return (value - floor) / F.greatest(ceiling - floor, F.lit(1e-6))
+
+
+def language_report(rows: DataFrame, group: list[str], rate: str, chars: str, name: str, failed: float = 0.5, times: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(report, failing) of rated rows: what a report says of each group, and the names above ``failed``, a row each.
+
+    The report has n, mean, its interval (low, high), median, greatest rate, mean of ``chars``, n_fail and share_fail. The
+    list of names grows with the rows, so it is a table.
+    """
+    some = failure_report(rows, group, rate, name, failed).drop("worst")
+    interval = bootstrap_interval(rows, group, name, rate, times)
+    more = rows.groupBy(*group).agg(F.avg(chars).alias("cer"))
+    report = some.join(interval, group).join(more, group).withColumn("share_fail", F.col("n_fail") / F.col("n"))
+    return report, rows.filter(F.col(rate) > failed).select(*group, name, rate)

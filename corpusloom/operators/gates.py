@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.text import plausible_duration
 from corpusloom.operators.ranks import quantiles
+from corpusloom.session import saved
 
 
 def gated(rows: DataFrame, group: str, most_wer: float = 0.05, low: float = 0.75, high: float = 1.30) -> DataFrame:
@@ -14,12 +15,12 @@ def gated(rows: DataFrame, group: str, most_wer: float = 0.05, low: float = 0.75
     A candidate passes with a word error rate that is small or not known, a duration near its group's median and one
     that is plausible for its text.
     """
-    by = Window.partitionBy(group)
-    rows = rows.join(rows.groupBy(group).agg(F.median("dur").alias("_mid")), group)
+    rows = rows.join(quantiles(rows, group, "dur", {"_mid": 0.5}), group)
     near = (F.col("dur") / F.greatest(F.col("_mid"), F.lit(0.01))).between(low, high)
     passed = F.coalesce(F.col("wer") <= most_wer, F.lit(True)) & near & plausible_duration(F.col("text"), F.col("dur"))
     rows = rows.withColumn("passed", F.coalesce(passed, F.lit(False)))
-    return rows.withColumn("_any", F.max("passed").over(by)).filter("passed OR NOT _any").drop("_any", "_mid")
+    some = rows.groupBy(group).agg(F.max("passed").alias("_any"))
+    return rows.join(some, group).filter("passed OR NOT _any").drop("_any", "_mid")
 
 
 def resolved(rows: DataFrame, needs: tuple[str, ...], fallback: str, require: bool = False) -> DataFrame:
@@ -65,12 +66,13 @@ def status_of(checks: list[tuple[str, Column]], otherwise: str = "kept") -> Colu
 def length_buckets(rows: DataFrame, length: str, ratio: float = 2.0) -> DataFrame:
     """``bucket``: rows in order of length, a new bucket where a length is more than ``ratio`` times the bucket's least.
 
-    Only the different lengths are folded in order, and of those no more buckets than powers of ``ratio`` come out.
+    A bucket's least length is a minimum over the different lengths beyond the bucket before, so there are as many passes
+    over these as the lengths' range has powers of ``ratio``.
     """
-    lengths = rows.filter(F.col(length).isNotNull()).agg(F.array_sort(F.collect_set(length)).alias("all"))
-    none = F.array().cast("array<double>")
-    starts = F.aggregate("all", none, lambda s, x: F.when((F.size(s) == 0) | (x > F.element_at(F.concat(s, F.array(F.lit(0.0))), F.greatest(F.size(s), F.lit(1))) * ratio), F.concat(s, F.array(x.cast("double")))).otherwise(s))
-    found = lengths.select(starts.alias("s")).first()["s"]  # as many as the lengths' range has powers of ``ratio``
+    lengths = saved(rows.select(F.col(length).cast("double").alias("x")).filter("x IS NOT NULL").distinct(), rows.sparkSession)
+    found: list[float] = []
+    while (least := lengths.filter(F.col("x") > found[-1] * ratio if found else F.lit(True)).agg(F.min("x")).first()[0]) is not None:
+        found.append(least)
     return rows.withColumn("bucket", F.size(F.filter(F.lit(found).cast("array<double>"), lambda s: s <= F.col(length))) - 1)
 
 

@@ -62,12 +62,13 @@ def multinomial(rows: DataFrame, key: str, u: Column) -> DataFrame:
     return odds.filter((F.col("_upto") > u) | (F.col("token") == F.col("_last"))).groupBy(key).agg(F.min("token").alias("token"))
 
 
-def mass_weights(clips: DataFrame, share: dict[str, float], beta: float = 0.5, cap_voice: float = 0.01, cap_group: float = 0.02, rounds: int = 60) -> DataFrame:
+def mass_weights(clips: DataFrame, share: dict[str, float], beta: float = 0.5, cap_voice: float = 0.01, cap_group: float = 0.02, rounds: int = 500, samples: int = 0, most_repeats: float = 0.0) -> DataFrame:
     """(corpus, speaker, grp, n_clips, mass, weight): sampling mass of each voice, and of each of its clips.
 
     Masses start from the corpus shares and n^beta within a corpus. A round cuts them to a cap per group and per voice and
     deals what is lacking to the voices with room; it is two sums by group and one over all, and the voices stay a table.
-    Caps that cannot hold a mass of 1 are relaxed. Where caps leave a rest after ``rounds``, masses are scaled to 1.
+    Caps that cannot hold a mass of 1 are relaxed. With ``samples`` and ``most_repeats`` a voice's cap is also what
+    gives each of its clips ``most_repeats`` of the samples. Where caps leave a rest after ``rounds``, masses are scaled to 1.
     """
     spark = clips.sparkSession
     voices = clips.groupBy("corpus", "speaker").agg(F.count("*").alias("n_clips"), F.min("grp").alias("grp"))
@@ -81,12 +82,16 @@ def mass_weights(clips: DataFrame, share: dict[str, float], beta: float = 0.5, c
     sizes = voices.agg(F.count("*").alias("voices"), F.count_distinct("grp").alias("groups")).first()
     if not sizes["voices"]:
         return voices.select("corpus", "speaker", "grp", "n_clips", F.lit(0.0).alias("mass"), F.lit(0.0).alias("weight"))
-    most_voice = max(cap_voice, 1.0001 / sizes["voices"] if cap_voice * sizes["voices"] < 1 else 0)
+    cap = F.lit(cap_voice)
+    if samples and most_repeats:
+        cap = F.least(cap, F.col("n_clips") * (most_repeats / samples))
+    held = voices.agg(F.sum(cap)).first()[0]
+    most_voice = cap * (1.0001 / held) if held < 1 else cap
     most_group = max(cap_group, 1.0001 / sizes["groups"] if cap_group * sizes["groups"] < 1 else 0)
     now = voices.join(corpora, "corpus").select("corpus", "speaker", "grp", "n_clips", (F.col("_wanted") / whole * F.col("_p") / F.col("_all")).alias("mass"))
     for _ in range(rounds):
         held = now.groupBy("grp").agg(F.sum("mass").alias("_held"))
-        cut = F.least(F.col("mass") * F.least(F.lit(1.0), most_group / F.greatest("_held", F.lit(1e-300))), F.lit(most_voice))
+        cut = F.least(F.col("mass") * F.least(F.lit(1.0), most_group / F.greatest("_held", F.lit(1e-300))), most_voice)
         now = now.join(held, "grp").withColumn("mass", cut).drop("_held")
         held = now.groupBy("grp").agg(F.sum("mass").alias("_held"))
         room = F.greatest(F.least(most_voice - F.col("mass"), most_group - F.col("_held")), F.lit(0.0))

@@ -121,3 +121,26 @@ def worst_first(rows: DataFrame, status: str, order: tuple[str, ...], value: str
     """The first ``n`` rows by status in the given order, then the smaller value, one without a value last, then key."""
     place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col(status)), F.lit(0))
     return rows.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), F.coalesce(F.col(value), F.lit(float("inf"))), key).limit(n)
+
+
+def candidates_by_gender(clips: DataFrame, most_voices: int, most_clips: int, least: int, order: str, seed: int = 42) -> DataFrame:
+    """Clips of the first voices of each gender by hash: ``most_voices`` a gender, ``most_clips`` clips a voice.
+
+    Only clips of a known gender count; a voice has the gender of its first clip in ``order``, and ``least`` clips or more.
+    """
+    known = clips.filter(F.col("gender").isNotNull())
+    some = known.groupBy("corpus", "speaker").agg(F.count("*").alias("_n"), F.min_by("gender", order).alias("_g")).filter(F.col("_n") >= least)
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy(order_key(seed, "v", F.col("corpus"), F.col("speaker"))))
+    chosen = some.withColumn("_rank", rank).filter(F.col("_rank") <= most_voices).select("corpus", "speaker")
+    return cap_per_speaker(known.join(chosen, ["corpus", "speaker"], "left_semi"), most_clips, 0, seed)
+
+
+def heldout_clips(clips: DataFrame, voices: DataFrame, least: float = 3.0, most: int = 5) -> DataFrame:
+    """(corpus, speaker, idx, at): clips of :func:`evaluation_voices` to hold their samples against.
+
+    Of a voice's other clips of ``least`` seconds and more, in order, every ``n // most``-th, ``most`` at most.
+    """
+    own = clips.join(voices.select("corpus", "speaker", "prompt"), ["corpus", "speaker"]).filter((F.col("idx") != F.col("prompt")) & (F.col("dur") >= least))
+    placed = ranked(own.withColumn("_voice", F.struct("corpus", "speaker")), "_voice", [F.col("idx")], "_at")
+    step = F.greatest(F.lit(1), F.floor(F.col("_size") / most))
+    return placed.filter((F.col("_at") % step == 0) & (F.col("_at") < step * most)).select("corpus", "speaker", "idx", (F.col("_at") / step).cast("int").alias("at"))

@@ -108,3 +108,36 @@ def deficit_split(clips: DataFrame, shares: tuple[float, float, float] = (0.9, 0
     segments = sizes.groupBy("corpus", "n").agg(F.count("*").alias("m")).groupBy("corpus").applyInPandas(fold, "corpus string, n long, a long, z long, split string")
     placed = ranked(sizes, "kind", [F.col("tie")], "place")
     return placed.join(segments, ["corpus", "n"]).filter(F.col("place").between(F.col("a"), F.col("z"))).select("corpus", "grp", "n", "split")
+
+
+def paired_holdout(clips: DataFrame, n_val: int, n_test: int, paired: tuple[str, ...], least: int = 15, seed: int = 42) -> DataFrame:
+    """:func:`holdout_split` in which the corpora of ``paired`` hold out as many female as male groups.
+
+    Their groups stand in the order F, M, F, M, ... by hash as far as both go, the others after them; a group's gender is
+    that of its first clip. Ranks are taken over groups, a row each.
+    """
+    rows = with_groups(clips)
+    sizes = rows.groupBy("corpus", "grp").agg(F.count("*").alias("n"), F.min_by("gender", "idx").alias("_g")).filter(F.col("n") >= least)
+    hashed = order_key(seed, "hold", F.col("grp"))
+    own = F.row_number().over(Window.partitionBy("corpus", "_g").orderBy(hashed))
+    both = F.least(*[F.count_if(F.col("_g") == g).over(Window.partitionBy("corpus")) for g in "FM"])
+    turn = F.when(F.col("corpus").isin(*paired) & F.col("_g").isin("F", "M") & (F.col("_own") <= F.col("_both")), F.col("_own"))
+    some = sizes.withColumn("_own", own).withColumn("_both", both).withColumn("_turn", turn)
+    order = Window.partitionBy("corpus").orderBy(F.col("_turn").asc_nulls_last(), F.when(F.col("_turn").isNotNull(), F.col("_g")), hashed)
+    some = some.withColumn("_rank", F.row_number().over(order)).withColumn("_all", F.count("*").over(Window.partitionBy("corpus")))
+    val = F.least(F.lit(n_val), F.greatest(F.lit(0), F.col("_all") - 1))
+    test = F.least(F.lit(n_test), F.greatest(F.lit(0), F.col("_all") - val - 1))
+    split = F.when(F.col("_rank") <= val, "val").when(F.col("_rank") <= val + test, "test").otherwise("train")
+    return rows.join(some.select("corpus", "grp", split.alias("_split")), ["corpus", "grp"], "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_split")
+
+
+def listed_stats(listed: DataFrame, clips: DataFrame) -> DataFrame:
+    """(split, corpus, n, hours, groups) of a list (split, idx) of clips: per corpus, and ``_total``, whose ``n`` is the list's.
+
+    A name in the list that no clip has counts in the total's ``n`` only.
+    """
+    rows = listed.join(with_groups(clips), "idx", "left")
+    figures = [F.bround(F.coalesce(F.sum("dur"), F.lit(0.0)) / 3600, 3).alias("hours"), F.count_distinct("grp").alias("groups")]
+    per = rows.filter("corpus IS NOT NULL").groupBy("split", "corpus").agg(F.count("*").alias("n"), *figures)
+    total = rows.groupBy("split").agg(F.count("*").alias("n"), *figures)
+    return per.unionByName(total.withColumn("corpus", F.lit("_total")))

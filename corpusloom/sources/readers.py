@@ -5,19 +5,25 @@ from __future__ import annotations
 from string import Formatter
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions.text import collapse, html_unescaped, strip
 from corpusloom.operators.relational import one_per_key
+from corpusloom.session import saved
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): the lines of text files, numbered in order within each file.
+    """(file, line_no, value): the lines of text files, numbered from 0 in each file, empty ones counted and left out.
 
-    A file is one row first, as line numbers need its whole order; such files are lists of clips, not audio.
+    Files are read in parts, whose lines are numbered in order; the lines of a file's parts before are added, so a file of
+    any size is many tasks.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value")).filter(F.col("value") != "")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_id"), "value")
+    lines = saved(lines, spark)  # written once, so that numbers stay
+    parts = lines.groupBy("file", "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0)))
+    return lines.filter(F.col("value") != "").join(parts, ["file", "_part"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before")).alias("line_no"), "value")
 
 
 # fixed value: the form of a pair line
@@ -132,8 +138,8 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".json"):
         rows = spark.read.json(path, multiLine=True)
         return rows.select(F.explode("items").alias("i")).select("i.*") if rows.columns == ["items"] else rows
-    head = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 4096)).first()
-    return spark.read.csv(path, sep=sniffed(head[0] if head else ""), header=True, multiLine=True, escape='"')
+    head = "\n".join(r[0] for r in spark.read.text(path).select(F.substring("value", 1, 4096)).take(200))[:4096]
+    return spark.read.csv(path, sep=sniffed(head), header=True, multiLine=True, escape='"')
 
 
 def templated(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -196,3 +202,33 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
             raise
         return spark.createDataFrame([], "idx string")
     return lines.select(strip(F.col("value")).alias("idx")).filter("idx != ''")
+
+
+def with_defaults(meta: DataFrame, chunks: DataFrame, corrections: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
+    """Last-wins rows (idx, corpus, speaker, group, ref_idx, ...) as they are used: old rows filled, corrections laid over.
+
+    A row without a speaker is of the corpus ``podcast`` where ``chunks`` (idx, speaker) know it, else of ``tata``, with
+    that speaker. ``corrections`` (idx, corpus, speaker, group) then give speakers, a corpus where there is none and a
+    group where they have one; ``refs`` (idx, ref_idx) give references. Of several corrections the one that is last by
+    their order of columns counts.
+    """
+    known = chunks.groupBy("idx").agg(F.max("speaker").alias("_chunk"))
+    rows = meta.join(known, "idx", "left")
+    old = F.col("speaker").isNull()
+    rows = rows.withColumn("corpus", F.when(old, F.when(F.col("_chunk").isNotNull(), "podcast").otherwise("tata")).otherwise(F.col("corpus")))
+    rows = rows.withColumn("speaker", F.coalesce("speaker", "_chunk", F.lit("tata"))).drop("_chunk")
+    if corrections is not None:
+        last = corrections.groupBy("idx").agg(F.max(F.struct("speaker", "corpus", "group")).alias("_c"))
+        rows = rows.join(last, "idx", "left")
+        group = F.when(F.coalesce(F.col("_c.group"), F.lit("")) != "", F.col("_c.group")).otherwise(F.col("group"))
+        rows = rows.withColumns({"speaker": F.coalesce("_c.speaker", "speaker"), "corpus": F.coalesce("corpus", "_c.corpus"), "group": group}).drop("_c")
+    if refs is not None:
+        last = refs.filter("coalesce(ref_idx, '') != ''").groupBy("idx").agg(F.max("ref_idx").alias("_r"))
+        rows = rows.join(last, "idx", "left").withColumn("ref_idx", F.coalesce("_r", "ref_idx")).drop("_r")
+    return rows
+
+
+def newest_checkpoint(names: DataFrame) -> DataFrame:
+    """(name, step) of the checkpoint folder ``...stepN...`` with the greatest step; none without one."""
+    some = names.withColumn("step", F.regexp_extract("name", r"step_?(\d+)", 1)).filter("step != ''")
+    return some.select("name", F.col("step").cast("long").alias("step")).orderBy(F.desc("step"), "name").limit(1)

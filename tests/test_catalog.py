@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from corpusloom.plans import catalog, curation, identity, voices  # noqa: F401
+from corpusloom.plans import catalog, curation, details, identity, voices  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

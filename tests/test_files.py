@@ -103,3 +103,76 @@ def test_writers(spark, tmp_path):
     chosen, missing = writers.first_sources(assets, df.select("idx"), "idx")
     assert rows(chosen) == [("a", "w")] and rows(missing) == [("b",)]
     assert df.filter(F.col("idx") == "a").count() == 1
+
+
+# defaults, numbered lines, reports ------------------------------------------------------------------------------------
+
+
+def test_numbered_lines_of_files_in_parts(spark, tmp_path):
+    from corpusloom.sources import readers
+
+    lines = [f"line {i}" if i % 7 else "" for i in range(5_000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("x\n\ny\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = sorted((r["file"].rsplit("/", 1)[1], r["line_no"], r["value"]) for r in readers._numbered(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [("a.txt", i, x) for i, x in enumerate(lines) if x] + [("b.txt", 0, "x"), ("b.txt", 2, "y")]
+
+
+def test_defaults_and_corrections(spark):
+    from corpusloom.sources import readers
+
+    kind = "idx string, corpus string, speaker string, `group` string, ref_idx string"
+    meta = spark.createDataFrame([("a", None, None, None, None), ("b", None, None, None, "r0"), ("c", "cv", "s1", None, "r1"), ("d", None, "s2", "g0", None)], kind)
+    chunks = spark.createDataFrame([("a", "ep:S1")], "idx string, speaker string")
+    corrections = spark.createDataFrame([("c", "pod", "p1", "g1"), ("d", "pod", "p2", ""), ("z", "pod", "p3", None)], "idx string, corpus string, speaker string, `group` string")
+    refs = spark.createDataFrame([("b", ""), ("c", "r9")], "idx string, ref_idx string")
+    got = {r["idx"]: (r["corpus"], r["speaker"], r["group"], r["ref_idx"]) for r in readers.with_defaults(meta, chunks, corrections, refs).collect()}
+    assert got == {"a": ("podcast", "ep:S1", None, None), "b": ("tata", "tata", None, "r0"), "c": ("cv", "p1", "g1", "r9"), "d": ("pod", "p2", "g0", None)}
+    assert len(readers.with_defaults(meta, chunks).collect()) == 4
+
+
+def test_newest_checkpoint(spark):
+    from corpusloom.sources import readers
+
+    names = spark.createDataFrame([("run_step90",), ("run_step_1000",), ("best",), ("run_step200",)], "name string")
+    assert tuple(readers.newest_checkpoint(names).first()) == ("run_step_1000", 1000)
+    assert readers.newest_checkpoint(names.filter("name = 'best'")).collect() == []
+
+
+def test_reports_in_html_json_and_csv(spark, tmp_path):
+    import json
+
+    from corpusloom.sources import writers
+
+    rows = spark.createDataFrame([(2, "b<&", None), (1, "a", 0.5)], "n int, said string, x double")
+    writers.write_report(writers.html_table(rows, ["n"], "T & U"), str(tmp_path / "html"))
+    page = "".join(p.read_text() for p in sorted((tmp_path / "html").glob("part-*")))
+    assert page.split("\n")[1:-2] == ["<tr><td>1</td><td>a</td><td>0.5</td></tr>", "<tr><td>2</td><td>b&lt;&amp;</td><td></td></tr>"]
+    assert page.startswith("<html>") and "T &amp; U" in page and page.endswith("</table></html>\n")
+    writers.write_json_report(rows.orderBy("n"), str(tmp_path / "json"))
+    said = [json.loads(x) for p in sorted((tmp_path / "json").glob("part-*")) for x in p.read_text().splitlines()]
+    assert said == [{"n": 1, "said": "a", "x": 0.5}, {"n": 2, "said": "b<&", "x": None}]
+    for _ in range(2):
+        writers.append_csv(spark, rows, str(tmp_path / "csv"))
+    lines = [x for p in sorted((tmp_path / "csv").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines[0] == '"n","said","x"' and len(lines) == 5 and lines.count('"n","said","x"') == 1
+    import pytest
+
+    with pytest.raises(ValueError, match="header"):
+        writers.append_csv(spark, rows.select("n"), str(tmp_path / "csv"))
+
+
+def test_mass_weights_with_a_cap_on_repeats(spark):
+    from corpusloom.operators import sampling
+
+    rows = [(f"{v}-{i}", "c", f"v{v:02d}", f"g{v % 40}") for v in range(80) for i in range(1 + v)]
+    clips = spark.createDataFrame(rows, "idx string, corpus string, speaker string, grp string")
+    got = sampling.mass_weights(clips, {"c": 1.0}, beta=0.0, cap_voice=0.05, cap_group=0.1, samples=10_000, most_repeats=6.0).collect()
+    assert abs(sum(r["mass"] for r in got) - 1) < 1e-9
+    assert all(r["mass"] <= min(0.05, r["n_clips"] * 6.0 / 10_000) + 1e-9 for r in got)
+    assert max(r["mass"] for r in got) > 1 / 80
