@@ -55,7 +55,8 @@ def repeated_chunks(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     common = saved(lines.join(often, "h"), spark)
     pairs = common.filter("pair IS NOT NULL").groupBy("pair").agg(F.count("*").alias("together"))
     within = Window.partitionBy("id", "th")
-    rows = common.join(pairs, "pair", "left")
+    # first lines of texts have no line before them: they are no key of the join
+    rows = common.filter("pair IS NOT NULL").join(pairs, "pair").unionByName(common.filter("pair IS NULL").withColumn("together", F.lit(None).cast("long")))
     by_line = within.orderBy("s")
     # the line before is common too, and the two always come together
     bound = (F.lag("s").over(by_line) == F.col("s") - 1) & (F.lag("times").over(by_line) == F.col("together")) & (F.col("times") == F.col("together"))
@@ -75,7 +76,8 @@ def repeated_chunks(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     place = F.struct(F.col("id").isNull(), "id", "th", "s")
     again = chunks.groupBy("ch", "n").agg(F.min(place).alias("least"), F.count("*").alias("places")).filter("places > 1").drop("places")
     joints = chunks.filter("joint IS NOT NULL").groupBy("joint").agg(F.count("*").alias("met")).filter("met > 1").select("joint", F.lit(True).alias("usual"))
-    twice = chunks.join(again, ["ch", "n"]).withColumn("first", place.eqNullSafe(F.col("least"))).join(joints, "joint", "left")
+    met = chunks.filter("joint IS NOT NULL").join(joints, "joint", "left").unionByName(chunks.filter("joint IS NULL").withColumn("usual", F.lit(None).cast("boolean")))
+    twice = met.join(again, ["ch", "n"]).withColumn("first", place.eqNullSafe(F.col("least")))
     # first occurrences stay in, as what the others are compared with, and end a stretch
     goes_on = F.coalesce(F.col("usual") & (F.lag("s").over(by_place) + F.lag("n").over(by_place) == F.col("s")) & ~F.col("first") & ~F.lag("first").over(by_place), F.lit(False))
     stretches = twice.withColumn("gap", F.when(goes_on, 0).otherwise(1)).withColumn("stretch", F.sum("gap").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
