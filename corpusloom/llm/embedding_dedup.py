@@ -6,9 +6,9 @@
 3. Rounds of neighbours-of-neighbours joins: around each vector those that list it meet those that it lists, and what is
    nearer than the last of a list enters it. Lists hold ``k`` vectors; one whose every entry reaches the threshold is
    saturated and doubles in each round. Vectors that very many others list are split by salt.
-4. When a round joins no more vectors, recall is audited, and more rounds follow where it is low, ``rounds`` at most: the
-   classes of ids that ``every`` divides are compared with all classes of their label, in blocks, and their true links
-   are counted, and among these the links that the lists connect. Only counts leave a block.
+4. After each round recall is audited, and more rounds follow where it is low, ``rounds`` at most: the classes of ids
+   that ``every`` divides are compared with all classes of their label, in blocks, and their true links are counted, and
+   among these the links that the lists connect. Only counts leave a block.
 5. Where recall is high, links at the threshold join candidates into components; where it is not, a whole label is one
    component. Within each all vectors are compared in blocks in double precision, which gives exact link counts and drops
    what is below the threshold; so a list's length loses no link, and low recall costs time, not links.
@@ -294,20 +294,17 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id"
     ordered = table.repartitionByRange("grp", "tab", "code", "place", "rep").sortWithinPartitions("grp", "tab", "code", "place", "rep")
     lists = saved(best_lists(neighbours_in_order(ordered, k), k, threshold, k), spark)
     units = saved(table.filter("tab = 0").select("rep", "unit"), spark)
-    joined, before, recall = None, None, None
-    for turn in range(rounds + 1):
+    joined = recall = None
+    for turn in range(min(1, rounds), rounds + 1):
         if turn:
             lists = saved(best_lists(lists.select("u", "v", "sim").union(meetings(lists, units)), k, threshold, k << turn), spark)
         joined = components(spark, lists.filter(F.col("sim") >= threshold - SLACK).select("u", "v"))
-        now = joined.agg(F.count("*"), F.count_distinct("component")).first()
-        # a round that joins nothing more is audited, and so is the last one
-        if now == before or turn == rounds:
-            recall = recall_of(classes, joined, threshold)
-            if report:
-                report(turn, recall)
-            if recall is None or recall >= RECALL:
-                break
-        before = now
+        recall = recall_of(classes, joined, threshold)
+        if report:
+            report(turn, recall)
+        # where the audited ids have no link, two rounds are made
+        if turn > 1 if recall is None else recall >= RECALL:
+            break
     members = joined.select(F.col("node").alias("rep"), F.col("component").alias("part")) if recall is None or recall >= RECALL else classes.select("rep", F.col("grp").alias("part"))
     members = members.join(classes.select("rep", "raw", "size"), "rep").select(F.col("part").alias("grp"), F.col("rep").alias("node"), "raw", "size")
     linked = saved(exact_links(members, threshold), spark)
