@@ -364,7 +364,10 @@ def active_runs(spark, d):
     return intervals.runs(table(spark, d, "events"), "user_id", "event_id", F.col("event_type").isin("click", "view"), 2).select("user_id", "first", "last", "n")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS start, epoch_us(ts) / 1000000.0::DOUBLE + 1800 + (event_id % 7) * 600 AS stop FROM events), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start, stop) AS r FROM s),
+  f AS (SELECT user_id, r, start AS b, stop AS e, 1 AS n, 1 AS k FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.r, CASE WHEN o.start - f.e < 7200 AND o.stop - f.b <= 14400 THEN f.b ELSE o.start END, o.stop,
+    CASE WHEN o.start - f.e < 7200 AND o.stop - f.b <= 14400 THEN f.n + 1 ELSE 1 END, f.k + CASE WHEN o.start - f.e < 7200 AND o.stop - f.b <= 14400 THEN 0 ELSE 1 END FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1)
+  SELECT user_id, b AS start, e AS stop, n::INT AS n FROM f QUALIFY row_number() OVER (PARTITION BY user_id, k ORDER BY r DESC) = 1""")
 def bounded_sessions(spark, d):
     return intervals.bounded_sessions(spans(spark, d).select("user_id", "start", "stop"), "user_id", 7200.0, 14400.0)
 
@@ -499,7 +502,11 @@ def closed_blocks(spark, d):
 # graph ---------------------------------------------------------------------------------------------------------------
 
 
-@query()
+COMPONENTS = """d AS MATERIALIZED (SELECT DISTINCT 'u' || user_id AS u, 'h' || (epoch_us(ts) // 600000000) AS v FROM events), e AS MATERIALIZED (SELECT u, v FROM d UNION ALL SELECT v, u FROM d),
+  cc(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, min(cc.component) FROM cc JOIN e ON e.u = cc.node JOIN recurring.cc AS own ON own.node = e.v WHERE cc.component < own.component GROUP BY e.v)"""
+
+
+@query("WITH RECURSIVE " + COMPONENTS + " SELECT node, component FROM cc")
 def event_components(spark, d):
     e = table(spark, d, "events")
     hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 600)

@@ -8,7 +8,7 @@ from corpusloom.functions import signals, text as tx
 from corpusloom.functions.keys import draw, order_key
 from corpusloom.operators import evaluation, gates, sampling, selection, similarity
 from corpusloom.operators.graph import numbered
-from corpusloom.plans.catalog import CLIPS, DIM, HELD, LOO, U, USABLE, VEC, clips, event_components, held, query, turn_pairs, unit_vectors, usable
+from corpusloom.plans.catalog import CLIPS, COMPONENTS, DIM, HELD, LOO, U, USABLE, VEC, clips, event_components, held, query, turn_pairs, unit_vectors, usable
 from corpusloom.session import table
 
 # splits and sampling -------------------------------------------------------------------------------------------------
@@ -220,7 +220,8 @@ def split_halves(spark, d):
     return similarity.split_half(unit_vectors(spark, d), DIM, "vec_id").select("label", F.col("n").cast("long").alias("n"), F.round("half", 8).alias("half"))
 
 
-@query()
+@query("WITH RECURSIVE " + COMPONENTS + """, g AS (SELECT component, row_number() OVER (ORDER BY component) AS k FROM (SELECT DISTINCT component FROM cc))
+  SELECT node, component, 'G' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS grp FROM cc JOIN g USING (component)""")
 def event_groups(spark, d):
     return numbered(event_components(spark, d))
 
@@ -254,7 +255,7 @@ def unicode_profile(spark, d):
     return t.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"\p{M}")).alias("marked"), F.count_if(F.col("composed") != F.col("text")).alias("changed"), F.sum(F.length(F.regexp_replace("text", "[^À-ÖØ-öø-ÿ]", ""))).alias("accented"))
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def unescaped_pages(spark, d):
     return table(spark, d, "pages").select("page_id", tx.collapse(tx.html_unescaped("html")).alias("text"))
 

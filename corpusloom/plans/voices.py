@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import spoken, text as tx
 from corpusloom.operators import decoding, purity, sampling, similarity
 from corpusloom.operators.linkage import complete_linkage
-from corpusloom.plans.catalog import DIM, U, query, unit_vectors
+from corpusloom.plans.catalog import DIM, LOO, U, query, unit_vectors
 from corpusloom.session import saved, table
 
 AMOUNT = "(CASE WHEN o_totalprice < 0 THEN 0 ELSE round(o_totalprice * 100) END)::BIGINT"
@@ -62,11 +62,17 @@ def two_voice_labels(spark, d):
     return purity.voice_verdicts(purity.label_verdicts(rows, DIM), found).select("label", "n", "two_voices", "status", "reasons")
 
 
-@query()
+HALVES = LOO.replace("SELECT vec_id, label, list_transform", "SELECT vec_id, label || '/' || (vec_id % 2) AS label, list_transform")
+
+
+@query("WITH " + HALVES + """, m AS (SELECT label, median(loo) AS med FROM loo GROUP BY ALL), a AS (SELECT label, 1.4826 * median(abs(loo - med)) AS mad FROM loo JOIN m USING (label) GROUP BY ALL),
+  o AS (SELECT vec_id, label, ((med - loo > 3 * greatest(mad, 0.02)) AND med - loo >= 0.1) OR loo < 0.3 AS outlier FROM loo JOIN m USING (label) JOIN a USING (label)), clean AS (SELECT DISTINCT label FROM o WHERE NOT outlier),
+  used AS (SELECT vec_id, label FROM o WHERE NOT outlier UNION ALL SELECT vec_id, label FROM e WHERE label NOT IN (SELECT label FROM clean)), t AS (SELECT label, i, sum(x) AS t FROM parts JOIN used USING (vec_id, label) GROUP BY ALL),
+  c AS (SELECT label, i, t / sqrt(sum(t * t) OVER (PARTITION BY label)) AS c FROM t) SELECT p.label AS a, q.label AS b, round(sum(p.c * q.c), 7) AS cosine FROM c p JOIN c q ON p.i = q.i AND p.label < q.label GROUP BY ALL HAVING sum(p.c * q.c) >= 0.1""")
 def doubled_labels(spark, d):
     rows = unit_vectors(spark, d)
     halves = rows.withColumn("label", F.concat("label", F.lit("/"), F.col("vec_id") % 2))
-    return purity.doubled_labels(halves, DIM, least=0.1)
+    return purity.doubled_labels(halves, DIM, least=0.1).select("a", "b", F.round("cosine", 7).alias("cosine"))
 
 
 @query()

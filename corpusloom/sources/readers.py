@@ -172,9 +172,18 @@ def with_splits(manifest: DataFrame, speakers: DataFrame) -> DataFrame:
     return manifest.join(last, "speaker", "left")
 
 
+# fixed values: the corpora (name, root, csv) where there is no registry
+LEGACY_CORPORA = (("tata", "TTS-Portuguese-Corpus", "texts.csv"), ("podcast", "podcast", "texts.csv"))
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The corpora of a JSON registry that are enabled; one that does not say is."""
-    rows = spark.read.json(path, multiLine=True)
+    """The corpora of a JSON registry that are enabled; one that does not say is, and without the file there are the usual two."""
+    try:
+        rows = spark.read.json(path, multiLine=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame(LEGACY_CORPORA, "name string, root string, csv string")
     return rows.filter(F.coalesce(F.col("enabled"), F.lit(True))) if "enabled" in rows.columns else rows
 
 
@@ -232,3 +241,27 @@ def newest_checkpoint(names: DataFrame) -> DataFrame:
     """(name, step) of the checkpoint folder ``...stepN...`` with the greatest step; none without one."""
     some = names.withColumn("step", F.regexp_extract("name", r"step_?(\d+)", 1)).filter("step != ''")
     return some.select("name", F.col("step").cast("long").alias("step")).orderBy(F.desc("step"), "name").limit(1)
+
+
+def read_training_folder(spark: SparkSession, root: str) -> DataFrame:
+    """(idx, speaker, corpus, audio, split) of a training folder: its ``manifest.csv`` with the splits of ``speaker_table.csv``.
+
+    Of several rows of a speaker the last counts; without that table every split is null.
+    """
+    lines = lambda name, columns: _columns(spark, f"{root}/{name}", columns, sep=",")
+    clips = lines("manifest.csv", ["idx", "corpus", "speaker"]).select("idx", "speaker", "corpus", F.concat(F.lit(f"{root.rstrip('/')}/wavs24/"), "idx", F.lit(".wav")).alias("audio"))
+    try:
+        return with_splits(clips, lines("speaker_table.csv", ["speaker", "split"]).select("line_no", "speaker", "split")).select("idx", "speaker", "corpus", "audio", "split")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return clips.withColumn("split", F.lit(None).cast("string"))
+
+
+def read_located(spark: SparkSession, path: str, columns: list[str], most: int | None = None) -> DataFrame:
+    """``columns`` of Parquet files with ``file`` and ``row``, where each row is to be found again; the first ``most`` of them.
+
+    Only the named columns are read; the first rows are those by file and row.
+    """
+    rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), *columns)
+    return rows if most is None else rows.orderBy("file", "row").limit(most)

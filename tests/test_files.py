@@ -176,3 +176,25 @@ def test_mass_weights_with_a_cap_on_repeats(spark):
     assert abs(sum(r["mass"] for r in got) - 1) < 1e-9
     assert all(r["mass"] <= min(0.05, r["n_clips"] * 6.0 / 10_000) + 1e-9 for r in got)
     assert max(r["mass"] for r in got) > 1 / 80
+
+
+def test_training_folder_registry_and_locators(spark, tmp_path):
+    from corpusloom.sources import readers
+
+    (tmp_path / "manifest.csv").write_text("idx,corpus,speaker,wav_rel\na,c1,s1,x\nb,c2,s2,y\nd,c2,s3,z\n")
+    bare = {r["idx"]: r["split"] for r in readers.read_training_folder(spark, str(tmp_path)).collect()}
+    assert bare == {"a": None, "b": None, "d": None}
+    (tmp_path / "speaker_table.csv").write_text("split,corpus,group,speaker\ntrain,c1,g,s1\nval,c2,g,s2\ntest,c2,g,s2\n")
+    got = {r["idx"]: (r["speaker"], r["corpus"], r["split"], r["audio"]) for r in readers.read_training_folder(spark, str(tmp_path)).collect()}
+    assert got == {i: (s, c, x, f"{tmp_path}/wavs24/{i}.wav") for i, s, c, x in (("a", "s1", "c1", "train"), ("b", "s2", "c2", "test"), ("d", "s3", "c2", None))}
+    assert {r["name"] for r in readers.read_registry(spark, str(tmp_path / "none.json")).collect()} == {"tata", "podcast"}
+    spark.range(20).select("id", (F_id() * 2).alias("x"), (F_id() * 3).alias("y")).coalesce(1).write.parquet(str(tmp_path / "p"))
+    rows = readers.read_located(spark, str(tmp_path / "p"), ["id"], 5).collect()
+    assert [(r["row"], r["id"]) for r in rows] == [(i, i) for i in range(5)]
+    assert readers.read_located(spark, str(tmp_path / "p"), ["id"]).columns == ["file", "row", "id"]
+
+
+def F_id():
+    from pyspark.sql import functions as F
+
+    return F.col("id")
