@@ -77,3 +77,47 @@ WITH v AS MATERIALIZED (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM met QUALIFY rank <= 20
 """
+
+#: Smallest reachable node of a table of links ``l`` (u, v), for nodes that have any.
+REACHED = """e AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+cc(node, component) USING KEY (node) AS (
+  SELECT DISTINCT u, u FROM e UNION
+  SELECT e.v, min(cc.component) FROM cc JOIN e ON e.u = cc.node JOIN recurring.cc AS own ON own.node = e.v WHERE cc.component < own.component GROUP BY e.v
+)"""
+
+OP4 = (
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), x AS MATERIALIZED (
+  SELECT doc_id, unnest(s) AS t FROM g
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM x AS a JOIN x AS b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS MATERIALIZED (
+  SELECT u, v FROM p JOIN g AS gu ON gu.doc_id = u JOIN g AS gv ON gv.doc_id = v WHERE 100 * n >= 85 * (len(gu.s) + len(gv.s) - n)
+), """
+    + REACHED
+    + """
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM g LEFT JOIN cc ON node = doc_id
+"""
+)
+
+OP7 = (
+    """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), """
+    + REACHED
+    + """, n AS (SELECT u, count(*) AS n FROM e GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM embeddings LEFT JOIN cc ON node = vec_id LEFT JOIN n ON u = vec_id
+"""
+)

@@ -246,10 +246,11 @@ def test_rounding_bounds_hold_and_spare_most_pairs():
     assert np.allclose(score, full[i, j])
 
 
-@pytest.mark.parametrize("name", ["op11_drift_clusters", "op13_block_join"])
+@pytest.mark.parametrize("name", ["op4_minhash", "op7_nn_descent", "op11_drift_clusters", "op13_block_join"])
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{Path(DATA, 'embeddings.parquet')}'")
+    for table in ("embeddings", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{Path(DATA, table + '.parquet')}'")
     df = queries.queries()[name](spark, DATA)
     found = con.sql(queries.oracle_sql()[name])
     at = [found.columns.index(c) for c in df.columns]
