@@ -114,9 +114,10 @@ def failing_names(spark, d):
     return evaluation.language_report(rated(spark, d), ["c_mktsegment"], "rate", "chars", "name", times=2)[1]
 
 
-@query(CLIPS + """ SELECT speaker, NULL AS episode, round_even(sum(dur) / 3600, 4) AS hours FROM clips GROUP BY speaker UNION ALL SELECT NULL, corpus, round_even(sum(dur) / 3600, 4) FROM clips GROUP BY corpus""")
+@query(CLIPS + """ SELECT speaker, NULL AS episode, round(sum(round(dur * 100)::BIGINT) / 360000.0::DOUBLE, 6) AS hours FROM clips GROUP BY speaker UNION ALL SELECT NULL, corpus, round(sum(round(dur * 100)::BIGINT) / 360000.0::DOUBLE, 6) FROM clips GROUP BY corpus""")
 def spoken_hours(spark, d):
-    hours = F.bround(F.sum("dur") / 3600, 4).alias("hours")
+    # hundredths of seconds are summed as whole numbers, whose sum knows no order
+    hours = F.round(F.sum(F.round(F.col("dur") * 100).cast("long")) / F.lit(360000.0), 6).alias("hours")
     sets = clips(spark, d).groupingSets([[F.col("speaker")], [F.col("corpus")]], F.col("speaker"), F.col("corpus"))
     return sets.agg(hours).select("speaker", F.col("corpus").alias("episode"), "hours")
 
