@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from corpusloom.session import saved
 
 
 def _binned(rows: DataFrame, start: str, stop: str, width: float) -> DataFrame:
@@ -45,22 +50,51 @@ def runs(rows: DataFrame, key: str, order: str, active: Column, least: int = 1)
 
 
 def bounded_sessions(rows: DataFrame, key: str, gap: float, longest: float) -> DataFrame:
-    """Intervals of a key merged while the gap is below ``gap`` and the whole not longer than ``longest``.
+    """Intervals of a key merged while the gap is below ``gap`` and the whole not longer than ``longest``: key, start, stop, n.
 
-    A gap of ``gap`` or more always ends a session, so rows are first cut there by a window; only within such a
-    stretch, which is short, the limit on the length is a fold.
+    A gap of ``gap`` or more always ends a session. The rows are sorted by range, so that a key may span many tasks: each
+    part carries on from the last row of the part before, and these gaps cut the rows into stretches. Only within a
+    stretch does a session depend on the one before it, so the rows of each stretch pass in order through one task, which
+    holds the open session alone. A null key is a key; a row with a null start or stop is a session of its own, and the next row
+    begins one.
     """
-    by = Window.partitionBy(key).orderBy("start", "stop")
-    fresh = F.when(F.col("start") - F.lag("stop").over(by) < gap, 0).otherwise(1)
-    stretches = rows.withColumn("_new", fresh).withColumn("_stretch", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = stretches.groupBy(key, "_stretch").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    empty = F.array().cast("array<struct<start:double,stop:double,n:int>>")
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        alone = F.struct(x["start"].cast("double").alias("start"), x["stop"].cast("double").alias("stop"), F.lit(1).alias("n"))
-        joined = F.struct(last["start"].alias("start"), x["stop"].cast("double").alias("stop"), (last["n"] + 1).alias("n"))
-        fits = F.coalesce(x["stop"] - last["start"] <= longest, F.lit(False))
-        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(alone)))
-
-    return spans.select(key, F.explode(F.aggregate("spans", empty, step)).alias("s")).select(key, "s.*")
+    spark = rows.sparkSession
+    rows = rows.select(F.col(key).alias("_k"), F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"))
+    parts = saved(rows.repartitionByRange("_k", "start", "stop").withColumn("_part", F.spark_partition_id()), spark)
+    by, parts_of = Window.partitionBy("_part", "_k").orderBy("start", "stop"), Window.partitionBy("_k").orderBy("_part")
+    ends = parts.groupBy("_k", "_part").agg(F.max(F.struct("start", "stop"))["stop"].alias("_end"))
+    ends = ends.select(F.col("_k").alias("_kk"), F.col("_part").alias("_p"), F.lag("_end").over(parts_of).alias("_before"))
+    same = F.col("_k").eqNullSafe(F.col("_kk")) & (F.col("_part") == F.col("_p"))
+    placed = parts.join(ends, same).drop("_kk", "_p").withColumn("_row", F.row_number().over(by))
+    last = F.when(F.col("_row") == 1, F.col("_before")).otherwise(F.lag("stop").over(by))
+    placed = placed.withColumn("_new", F.coalesce(F.col("start") - last >= gap, F.lit(True))).drop("_before")
+    placed = saved(placed.withColumn("_own", F.count_if("_new").over(by)), spark)
+    counts = placed.groupBy("_k", "_part").agg(F.count_if("_new").alias("_n"))
+    upto = F.coalesce(F.sum("_n").over(parts_of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("_k").alias("_kk"), F.col("_part").alias("_p"), upto.alias("_upto"))
+    stretches = placed.join(counts, same).withColumn("_stretch", F.col("_own") + F.col("_upto"))
+    in_order = stretches.repartition("_k", "_stretch").sortWithinPartitions("_k", "_stretch", "_part", "_row")
+    schema = T.StructType([T.StructField(key, rows.schema["_k"].dataType), *[T.StructField(c, T.DoubleType()) for c in ("start", "stop")], T.StructField("n", T.IntegerType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, current, done = None, None, []
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for k, new, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if current and not new and None not in (current[1], stop) and stop - current[1] <= longest:
+                    current[2], current[3] = stop, current[3] + 1
+                else:
+                    done += [current] if current else []
+                    current = [k, start, stop, 1]
+            yield _sessions(done, key, kind)
+            done = []
+        if current:
+            yield _sessions([current], key, kind)
+
+    return in_order.select("_k", "_new", "start", "stop").mapInArrow(fold, schema)
+
+
+def _sessions(found: list[list], key: str, kind: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*found, strict=True) if found else [[]] * 4
+    types = (kind, pa.float64(), pa.float64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[key, "start", "stop", "n"])

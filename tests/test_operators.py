@@ -123,6 +123,19 @@ def test_bounded_sessions(spark):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_bounded_sessions_of_a_hot_key_over_many_parts(spark):
+    """One long stretch, ties, nulls, ids beyond 2^53 and a key of nulls."""
+    kinds = "key long, start double, stop double"
+    hot = [(2**60 + 1, float(i // 2), i // 2 + 1.0) for i in range(4000)]
+    odd = [(None, 0.0, 1.0), (None, 1.0, 2.0), (2**60, None, 1.0), (2**60, 1.0, None), (2**60, 1.5, 2.0), (2**60, 2.0, 3.0)]
+    got = intervals.bounded_sessions(spark.createDataFrame(hot + odd, kinds).repartition(16), "key", 0.5, 100.0).collect()
+    by_key = {k: [tuple(r)[1:] for r in got if r["key"] == k] for k in (None, 2**60, 2**60 + 1)}
+    assert sorted(by_key[2**60 + 1]) == [(100.0 * i, 100.0 * i + 100, 200) for i in range(20)]
+    assert by_key[None] == [(0.0, 2.0, 2)]
+    assert set(by_key[2**60]) == {(None, 1.0, 1), (1.0, None, 1), (1.5, 3.0, 2)}
+    assert intervals.bounded_sessions(spark.createDataFrame([], kinds), "key", 0.5, 5.0).count() == 0
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(2)
     for n, m in ((30, 20), (40, 60), (1, 0)):
