@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -62,52 +63,77 @@ def leak_audit(rows: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _segments(runs: list[tuple[int, int]], shares: tuple[float, float, float], tolerance: float) -> list[tuple[int, int, int, int]]:
-    """(size, first, last, split) of groups in order: ``runs`` are (size, number of groups of that size), largest first.
+Stripe = tuple[int, int, int, tuple[int, ...]]
+
+
+def _turn(have: list[int], n: int, goal: list[float], most: list[float]) -> tuple[int, ...]:
+    """The splits that the next groups of size ``n`` go to, until one would come again."""
+    have, turn = list(have), ()
+    while True:
+        room = [s for s in range(3) if have[s] + n <= most[s]]
+        # the first of equals: train, then val, then test; train too where no split has room
+        split = max(room, key=lambda s: (goal[s] - have[s], -s)) if room else 0
+        if split in turn:
+            return turn
+        turn += (split,)
+        have[split] += n
+
+
+def _stripes(runs: list[tuple[int, int]], shares: tuple[float, float, float], tolerance: float) -> list[Stripe]:
+    """(size, first, last, turn) of groups in order: ``runs`` are (size, number of groups of that size), largest first.
 
-    Only the sizes decide, so groups of one size are told apart by their places alone, and places in a row that go to
-    one split are one segment.
+    Only the sizes decide, so groups of one size are told apart by their places alone. After a turn all its splits lack
+    one group less, so the same turn follows until one has no room or another split lacks more, which never ends again:
+    bisection finds how often it is repeated. A stripe is a turn and the places over which it repeats, and a size has a few
+    of them however many groups it has.
     """
-    goal = np.array(shares) * sum(n * m for n, m in runs)
-    have, out = np.zeros(3), []
+    total = sum(n * m for n, m in runs)
+    goal = [share * total for share in shares]
+    most = [g * (1 + tolerance) for g in goal]
+    have, out = [0, 0, 0], []
     for n, m in runs:
-        for place in range(m):
-            lack = np.where(have + n <= goal * (1 + tolerance), goal - have, -np.inf)
-            # the first of equals: train, then val, then test; train too where no split has room
-            split = int(np.argmax(lack))
-            have[split] += n
-            if out and out[-1][0] == n and out[-1][3] == split:
-                out[-1] = (n, out[-1][1], place, split)
-            else:
-                out.append((n, place, place, split))
+        place = 0
+        while place < m:
+            turn = _turn(have, n, goal, most)[: m - place]
+            times = (m - place) // len(turn)
+            after = lambda k: [x + k * n * (s in turn) for s, x in enumerate(have)]  # noqa: B023, E731
+            if times > 1:
+                # the first k after which the turn is another one
+                times = 1 + bisect.bisect_left(range(1, times), True, key=lambda k: _turn(after(k), n, goal, most) != turn)  # noqa: B023
+            have = after(times)
+            out.append((n, place, place + times * len(turn) - 1, turn))
+            place += times * len(turn)
     for split in (1, 2):
-        trained = sorted(x for x in out if x[3] == 0)
-        groups = sum(last - first + 1 for _, first, last, _ in trained)
-        if sum(m for _, m in runs) >= 3 and groups > 1 and all(x[3] != split for x in out):
-            n, first, last, _ = trained[0]
-            out.remove(trained[0])
-            out += [(n, first, first, split), *([(n, first + 1, last, 0)] if last > first else [])]
+        trained = sorted((n, first + turn.index(0), first, last, turn) for n, first, last, turn in out if 0 in turn)
+        groups = sum((last - place) // len(turn) + 1 for _, place, _, last, turn in trained)
+        if sum(m for _, m in runs) >= 3 and groups > 1 and all(split not in turn for *_, turn in out):
+            n, place, first, last, turn = trained[0]
+            out.remove((n, first, last, turn))
+            cut = place - first
+            parts = [(n, first, place - 1, turn[:cut]), (n, place, place, (split,)), (n, place + 1, last, (turn[cut + 1 :] + turn[: cut + 1])[: last - place])]
+            out += [x for x in parts if x[1] <= x[2]]
     return out
 
 
 def deficit_split(clips: DataFrame, shares: tuple[float, float, float] = (0.9, 0.05, 0.05), tolerance: float = 0.5, seed: int = 42) -> DataFrame:
     """(corpus, grp, n, split): largest groups first, each to the split that lacks most among those with room.
 
-    Each choice depends on the sizes before it alone. So a task folds the counts of a corpus's group sizes, of which
-    there are few however many groups there are, and the groups find their split by size and place among equals, which
-    Spark ranks. A corpus of three groups or more has no empty split: its smallest train groups fill val and test.
+    Each choice depends on the sizes before it alone. So a task folds the counts of a corpus's group sizes, which are
+    at most the root of twice its clips, in a few steps a size whatever the number of groups, and the groups find their
+    split by size and place among equals, which Spark ranks. A corpus of three groups or more has no empty split: its smallest train groups fill val and test.
     """
     sizes = with_groups(clips).groupBy("corpus", "grp").agg(F.count("*").alias("n")).withColumn("tie", order_key(seed, F.col("grp")))
     sizes = saved(sizes.withColumn("kind", F.struct("corpus", "n")), clips.sparkSession)
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("n", ascending=False)
-        found = _segments(list(zip(part["n"].tolist(), part["m"].tolist(), strict=True)), shares, tolerance)
-        return pd.DataFrame([(part["corpus"].iloc[0], n, a, z, SPLITS[s]) for n, a, z, s in found], columns=["corpus", "n", "a", "z", "split"])
+        found = _stripes(list(zip(part["n"].tolist(), part["m"].tolist(), strict=True)), shares, tolerance)
+        return pd.DataFrame([(part["corpus"].iloc[0], n, a, z, [SPLITS[s] for s in turn]) for n, a, z, turn in found], columns=["corpus", "n", "a", "z", "turn"])
 
-    segments = sizes.groupBy("corpus", "n").agg(F.count("*").alias("m")).groupBy("corpus").applyInPandas(fold, "corpus string, n long, a long, z long, split string")
+    stripes = sizes.groupBy("corpus", "n").agg(F.count("*").alias("m")).groupBy("corpus").applyInPandas(fold, "corpus string, n long, a long, z long, turn array<string>")
     placed = ranked(sizes, "kind", [F.col("tie")], "place")
-    return placed.join(segments, ["corpus", "n"]).filter(F.col("place").between(F.col("a"), F.col("z"))).select("corpus", "grp", "n", "split")
+    split = F.get("turn", ((F.col("place") - F.col("a")) % F.size("turn")).cast("int"))
+    return placed.join(stripes, ["corpus", "n"]).filter(F.col("place").between(F.col("a"), F.col("z"))).select("corpus", "grp", "n", split.alias("split"))
 
 
 def paired_holdout(clips: DataFrame, n_val: int, n_test: int, paired: tuple[str, ...], least: int = 15, seed: int = 42) -> DataFrame:

@@ -125,6 +125,24 @@ def plain_split(sizes, shares=(0.9, 0.05, 0.05), tolerance=0.5):
     return out
 
 
+def test_stripes_equal_the_rule():
+    rng = random.Random(4)
+    shares = [(0.9, 0.05, 0.05), (0.8, 0.1, 0.1), (0.5, 0.3, 0.2), (0.98, 0.01, 0.01)]
+    for case in range(1500):
+        share, tolerance = shares[case % 4], (0.5, 0.0, 0.1)[case % 3]
+        kinds, groups = rng.choice([1, 2, 5, 60]), rng.choice([1, 2, 3, 7, 40, 150])
+        sizes = [rng.randrange(1, kinds + 1) * rng.choice([1, 1, 1, 7]) for _ in range(groups)]
+        runs = sorted(Counter(sizes).items(), reverse=True)
+        got, names = {}, ("train", "val", "test")
+        for n, first, last, turn in splits._stripes(runs, share, tolerance):
+            for place in range(first, last + 1):
+                assert (n, place) not in got
+                got[n, place] = names[turn[(place - first) % len(turn)]]
+        assert got == plain_split([(n, i) for n, m in runs for i in range(m)], share, tolerance), (runs, share, tolerance)
+    many = splits._stripes([(3, 10**9), (2, 10**10), (1, 10**9)], shares[0], 0.5)
+    assert len(many) < 30 and sum(last - first + 1 for _, first, last, _ in many) == 12 * 10**9
+
+
 @pytest.mark.parametrize("kinds", [3, 40, 2])
 def test_deficit_split_equals_the_rule(spark, kinds):
     rng = random.Random(kinds)
