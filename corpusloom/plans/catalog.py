@@ -168,7 +168,26 @@ def leak_audit(spark, d):
     return splits.leak_audit(docs.select(F.col("source").alias("grp"), F.col("lang").alias("corpus"), F.col("source").alias("speaker"), split.alias("split"))).select("kind", "key", "splits", "which")
 
 
-@query()
+def _filled(split: int, rows: str) -> str:
+    """SQL: where no group of a corpus of three or more is in ``split``, its smallest train group is."""
+    return f"""(SELECT * EXCLUDE (s, has, trained, k), CASE WHEN s = 0 AND k = 1 AND groups >= 3 AND trained > 1 AND NOT has THEN {split} ELSE s END AS s FROM (
+    SELECT *, bool_or(s = {split}) OVER (PARTITION BY corpus) AS has, count(*) FILTER (s = 0) OVER (PARTITION BY corpus) AS trained,
+      row_number() OVER (PARTITION BY corpus, s ORDER BY n, tie) AS k FROM {rows}))"""
+
+
+_LACKS = ", ".join(f"CASE WHEN h{s} + n <= {share}::DOUBLE * total * 1.5::DOUBLE THEN {share}::DOUBLE * total - h{s} ELSE '-inf'::DOUBLE END AS l{s}" for s, share in enumerate((0.9, 0.05, 0.05)))
+DEALT = USABLE.replace("WITH clips", "WITH RECURSIVE clips", 1) + f""", sizes AS (
+  SELECT corpus, corpus || '/' || speaker AS grp, count(*) AS n FROM usable GROUP BY ALL), ordered AS (
+  SELECT *, sha1('42|' || grp) AS tie, row_number() OVER (PARTITION BY corpus ORDER BY n DESC, sha1('42|' || grp)) AS r,
+    count(*) OVER (PARTITION BY corpus) AS groups, CAST(sum(n) OVER (PARTITION BY corpus) AS BIGINT) AS total FROM sizes), dealt AS (
+  SELECT corpus, 0::BIGINT AS r, 0::BIGINT AS h0, 0::BIGINT AS h1, 0::BIGINT AS h2, 0 AS s FROM ordered WHERE r = 1
+  UNION ALL SELECT corpus, r, h0 + n * (s = 0)::INT, h1 + n * (s = 1)::INT, h2 + n * (s = 2)::INT, s FROM (
+    SELECT *, CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS s FROM (
+      SELECT o.corpus, o.r, o.n, h0, h1, h2, {_LACKS} FROM dealt d JOIN ordered o ON o.corpus = d.corpus AND o.r = d.r + 1))), placed AS (
+  SELECT o.*, d.s FROM dealt d JOIN ordered o ON o.corpus = d.corpus AND o.r = d.r)"""
+
+
+@query(DEALT + f""" SELECT corpus, grp, n, CASE s WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM {_filled(2, _filled(1, "placed"))}""")
 def deficit_split(spark, d):
     return splits.deficit_split(usable(spark, d))
 
