@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.keys import assigned, draw
+from corpusloom.operators.asof import next_at_or_above
 from corpusloom.session import saved
 
 
@@ -111,12 +112,13 @@ def weighted_draws(rows: DataFrame, key: str, weight: str, n: int, seed: int = 4
     """(draw, ``key``): ``n`` draws with replacement, each row as likely as its whole-number ``weight``.
 
     The rows lie along a line in the order of their keys, each as long as its weight, and draw i is the row at a point
-    that its hash gives. Sums go over sorted parts with the weight of the parts before; points meet rows in bins of one
-    n-th of the line, so a heavy row is in many bins and no task has more than its share. Rows of a weight that is null
-    or not positive are never drawn; without any row there is no draw. A repeated key is as many rows.
+    that its hash gives. Sums go over sorted parts with the weight of the parts before; points meet rows by an as-of join
+    on the rows' ends, so a heavy row is one row and no task has more than its part. Places are doubles, as the points
+    are: whole numbers up to 2^53. Rows of a weight that is null or below 1 are never drawn; without any row there is no
+    draw. A repeated key is as many rows.
     """
     spark = rows.sparkSession
-    line = rows.filter(F.col(weight) > 0).select(key, F.col(weight).cast("decimal(38,0)").alias("_w")).repartitionByRange(key)
+    line = rows.select(key, F.col(weight).cast("decimal(38,0)").alias("_w")).filter("_w > 0").repartitionByRange(key)
     line = saved(line.withColumn("_part", F.spark_partition_id()), spark)
     sums = line.groupBy("_part").agg(F.sum("_w").cast("decimal(38,0)").alias("_s"))  # one row a part
     upto = F.sum("_s").over(Window.orderBy("_part")).cast("decimal(38,0)")
@@ -124,12 +126,9 @@ def weighted_draws(rows: DataFrame, key: str, weight: str, n: int, seed: int = 4
     total = sums.agg(F.max("_upto")).first()[0]
     if not total or n < 1:
         return rows.select(F.lit(0).cast("long").alias("draw"), key).limit(0)
-    width = max(1, int(total) // n)
     own = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = (F.sum("_w").over(own) + F.col("_before")).cast("decimal(38,0)")
-    spans = line.join(sums, "_part").select(key, end.alias("_hi"), "_w").withColumn("_lo", F.col("_hi") - F.col("_w"))
-    at = lambda x: F.floor(x / F.lit(width)).cast("long")
-    spans = spans.withColumn("_bin", F.explode(F.sequence(at(F.col("_lo")), at(F.col("_hi") - 1))))
-    points = spark.range(n).select(F.col("id").alias("draw"), F.floor(draw(seed, "weighted", F.col("id")) * F.lit(float(total))).cast("decimal(38,0)").alias("_at"))
-    points = points.withColumn("_at", F.least("_at", F.lit(int(total) - 1).cast("decimal(38,0)"))).withColumn("_bin", at(F.col("_at")))
-    return points.join(spans, "_bin").filter((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi"))).select("draw", key)
+    ends = line.join(sums, "_part").select(F.lit(0).alias("_line"), key, (end - 1).alias("_to"))
+    at = F.least(F.floor(draw(seed, "weighted", F.col("id")) * F.lit(float(total))).cast("decimal(38,0)"), F.lit(int(total) - 1).cast("decimal(38,0)"))
+    points = spark.range(n).select(F.col("id").alias("draw"), F.lit(0).alias("_line"), at.alias("_at"))
+    return next_at_or_above(points, ends, ["_line"], "_at", "_to", [key], "_drawn").select("draw", F.col("_drawn")[key].alias(key))
