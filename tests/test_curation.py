@@ -107,6 +107,17 @@ def test_ranks_and_quantiles(spark):
     assert evaluation.summary(df.limit(0), ["g"], "x").count() == 0
 
 
+def test_signs_are_one_character_each(spark):
+    n = tx.MOST_SIGNS
+    got = spark.range(n).select(tx.sign(F.col("id")).alias("s")).agg(F.count_distinct("s"), F.min(F.length("s")), F.max(F.length("s"))).first()
+    assert tuple(got) == (n, 1, 1)
+    far = spark.range(1).select(F.levenshtein(F.concat(*[tx.sign(F.lit(i)) for i in (0, 54_999, 55_000, 60_000, n - 1)]), F.concat(*[tx.sign(F.lit(i)) for i in (0, 55_000, 60_001, n - 1)])))
+    assert far.first()[0] == 2
+    long = " ".join(f"w{i}" for i in range(3000))
+    pair = spark.createDataFrame([(long, long.replace("w7 ", "").replace("w2000", "x"))], "a string, b string")
+    assert pair.select(tx.word_distance(F.col("a"), F.col("b"))).first()[0] == 2
+
+
 def plain_split(sizes, shares=(0.9, 0.05, 0.05), tolerance=0.5):
     """The rule group by group: (n, tie) -> split."""
     names, order = ("train", "val", "test"), sorted(sizes, key=lambda g: (-g[0], g[1]))
