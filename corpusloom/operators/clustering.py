@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.functions.vectors import unit
-from corpusloom.operators.partners import best_matches
+from corpusloom.operators.partners import best_matches, blocked, pivots, placed
 from corpusloom.operators.ranks import ranked
 from corpusloom.session import saved
 
@@ -21,24 +23,41 @@ def average_linkage(rows: DataFrame, least: float = LINK) -> DataFrame:
     every two clusters that are each other's best become one. As joining two clusters never brings them nearer to a third
     than the nearer of them was, this gives the clusters that joining one best pair at a time gives. ``cluster`` is its
     smallest key; ties go to the smaller clusters.
+
+    A cluster that reaches no other one never will and is left out of later rounds. In a round only what was joined, and
+    what had a joined one as its best, is compared again: for the others no new cluster is nearer than its nearer part was.
     """
     spark = rows.sparkSession
-    held = saved(rows.select("grp", F.col("key").cast("long").alias("key"), F.col("key").cast("long").alias("cluster")), spark)
-    now = saved(rows.select("grp", F.col("key").cast("long").alias("cluster"), "v", F.lit(1).cast("long").alias("n")), spark)
+    held = saved(rows.select("grp", F.col("key").cast("long").alias("key"), "v"), spark)
+    around = saved(pivots(held), spark)
+    now = saved(blocked(held.withColumn("sum", F.col("v")).withColumn("n", F.lit(1).cast("long")), around), spark)
+    best = saved(best_matches(now, now, least, apart=True).select("grp", "key", "partner"), spark)
+    rounds = []
     while True:
-        means = now.select("grp", F.col("cluster").alias("key"), F.transform("v", lambda x: x / F.col("n")).alias("v"))
-        best = saved(best_matches(means, means, least, apart=True), spark)
         # b is a's best and a is b's
         back = best.select("grp", F.col("partner").alias("key"), F.col("key").alias("partner"))
-        joined = saved(best.select("grp", "key", "partner").join(back, ["grp", "key", "partner"]).filter("key < partner"), spark)
+        joined = saved(best.join(back, ["grp", "key", "partner"]).filter("key < partner"), spark)
         if not joined.limit(1).count():
-            return held
-        into = joined.select("grp", F.col("partner").alias("cluster"), F.col("key").alias("_to"))
-        moved = now.join(into, ["grp", "cluster"], "left").withColumn("cluster", F.coalesce("_to", "cluster"))
+            break
+        rounds.append(joined)
+        into = joined.select("grp", F.explode(F.array("key", "partner")).alias("key"), F.col("key").alias("_to"))
         # two rows at most come together
-        now = saved(moved.groupBy("grp", "cluster").agg(F.collect_list("v").alias("_vs"), F.sum("n").alias("n")).select(
-            "grp", "cluster", F.when(F.size("_vs") == 1, F.get("_vs", F.lit(0))).otherwise(F.zip_with(F.get("_vs", F.lit(0)), F.get("_vs", F.lit(1)), lambda a, b: a + b)).alias("v"), "n"), spark)
-        held = saved(held.join(into, ["grp", "cluster"], "left").select("grp", "key", F.coalesce("_to", "cluster").alias("cluster")), spark)
+        two = now.join(into, ["grp", "key"]).groupBy("grp", "_to").agg(F.collect_list("sum").alias("_vs"), F.sum("n").alias("n"), F.min_by("block", "key").alias("block"))
+        total = two.select("grp", F.col("_to").alias("key"), F.zip_with(F.get("_vs", F.lit(0)), F.get("_vs", F.lit(1)), lambda a, b: a + b).alias("sum"), "n", "block")
+        merged = placed(total.withColumn("v", F.transform("sum", lambda x: x / F.col("n"))), around)
+        alone = now.join(best, ["grp", "key"], "left_semi").join(into, ["grp", "key"], "left_anti")
+        now = saved(alone.unionByName(merged), spark)
+        same = best.join(into.select("grp", F.col("key").alias("partner")), ["grp", "partner"], "left_anti").select("grp", "key", "partner")
+        again = now.join(same, ["grp", "key"], "left_anti")
+        best = saved(same.unionByName(best_matches(again, now, least, apart=True).select("grp", "key", "partner")), spark)
+    if not rounds:
+        return held.select("grp", "key", F.col("key").alias("cluster"))
+    # what a cluster became part of, over one, two, four, ... rounds
+    up = saved(reduce(DataFrame.unionByName, rounds).select("grp", F.col("partner").alias("key"), F.col("key").alias("cluster")), spark)
+    for _ in range(len(rounds).bit_length()):
+        above = up.select("grp", F.col("key").alias("cluster"), F.col("cluster").alias("_to"))
+        up = saved(up.join(above, ["grp", "cluster"], "left").select("grp", "key", F.coalesce("_to", "cluster").alias("cluster")), spark)
+    return held.select("grp", "key").join(up, ["grp", "key"], "left").select("grp", "key", F.coalesce("cluster", "key").alias("cluster"))
 
 
 def named_clusters(clusters: DataFrame) -> DataFrame:

@@ -31,11 +31,16 @@ def pivots(rows: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     return some.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "v"))), lambda x: x["v"]).alias("pivots"))
 
 
-def blocked(rows: DataFrame, around: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``rows`` (grp, key, v, ...) with angles (to each pivot), length and block (from 0 in each group)."""
+def placed(rows: DataFrame, around: DataFrame) -> DataFrame:
+    """``rows`` (grp, key, v, ...) with angles (to each pivot) and length."""
     angle = lambda p, v: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(p, v) / (norm(p) * norm(v)))))
     out = rows.join(around, "grp").withColumn("angles", F.when(norm(F.col("v")) > 0, F.transform("pivots", lambda p: angle(p, F.col("v")))).otherwise(F.transform("pivots", lambda p: F.lit(0.0))))
-    out = out.drop("pivots").withColumn("length", norm(F.col("v"))).withColumn("_near", F.array_min("angles")).withColumn("_pivot", F.array_position("angles", F.col("_near")))
+    return out.drop("pivots").withColumn("length", norm(F.col("v")))
+
+
+def blocked(rows: DataFrame, around: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows`` (grp, key, v, ...) with angles (to each pivot), length and block (from 0 in each group)."""
+    out = placed(rows, around).withColumn("_near", F.array_min("angles")).withColumn("_pivot", F.array_position("angles", F.col("_near")))
     return ranked(out, "grp", [F.col("_pivot"), F.col("_near"), F.col("key")], "_place").withColumn("block", F.floor(F.col("_place") / block).cast("int")).drop("_place", "_size", "_near", "_pivot")
 
 
@@ -58,9 +63,10 @@ def block_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 def _tiles(left: DataFrame, right: DataFrame, around: DataFrame, least: float, block: int, report, tile, schema: str) -> DataFrame:
     """``tile`` over (grp, left rows, right rows) of each pair of blocks that may reach ``least``; rows are (key, mark, v)."""
     spark = left.sparkSession
-    left, right = (saved(blocked(rows, around, block), spark) for rows in (left, right))
-    pairs = saved(block_pairs(left, right, least), spark)
+    left, right = (rows if "block" in rows.columns else saved(blocked(rows, around, block), spark) for rows in (left, right))
+    pairs = block_pairs(left, right, least)
     if report:
+        pairs = saved(pairs, spark)
         report(*pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("alive"), F.col("pairs"))), F.lit(0))).first())
     alive = pairs.filter("alive").select("grp", "l_block", "r_block")
     sent = lambda rows, side: rows.withColumnRenamed("block", f"{'lr'[side]}_block").join(alive, ["grp", f"{'lr'[side]}_block"]).select("grp", "l_block", "r_block", F.lit(side).alias("side"), "key", "mark", "v")
@@ -102,24 +108,29 @@ def best_matches(left: DataFrame, right: DataFrame, least: float, apart: bool =
 
     Both sides are (grp, key, v): keys of one integer type, vectors of one length. Rows that reach no ``least`` have no row
     here; ties go to the smaller key. ``apart`` leaves out equal keys. Where ``left`` has a column ``above``, a partner's
-    ``place`` must be greater. ``report`` gets the pairs of all blocks and those compared.
+    ``place`` must be greater. ``report`` gets the pairs of all blocks and those compared. Rows of both sides that have
+    the columns of :func:`blocked`, around the same pivots, keep their blocks.
     """
-    around = saved(pivots(right), left.sparkSession)
+    own = ("angles", "length", "block") if "block" in right.columns else ()
+    around = None if own else saved(pivots(right), left.sparkSession)
     bound = "above" in left.columns
-    left = left.select("grp", F.col("key").cast("long").alias("key"), "v", (F.col("above") if bound else F.lit(0)).cast("long").alias("mark"))
-    right = right.select("grp", F.col("key").cast("long").alias("key"), "v", (F.col("place") if bound else F.lit(1)).cast("long").alias("mark"))
+    left = left.select("grp", F.col("key").cast("long").alias("key"), "v", (F.col("above") if bound else F.lit(0)).cast("long").alias("mark"), *own)
+    right = right.select("grp", F.col("key").cast("long").alias("key"), "v", (F.col("place") if bound else F.lit(1)).cast("long").alias("mark"), *own)
 
     def best(key, mark, v, other, place, w):
-        score = v @ w.T
-        if apart:
-            score[key[:, None] == other[None]] = -np.inf
-        score[~(mark[:, None] < place[None])] = -np.inf
         # the right side by key, so that the first of equal scores is the smallest key
         order = np.argsort(other, kind="stable")
-        at = order[score[:, order].argmax(1)]
+        other, place, w = other[order], place[order], w[order]
+        score = v @ w.T
+        if apart:
+            _, mine, same = np.intersect1d(key, other, return_indices=True)
+            score[mine, same] = -np.inf
+        if bound:
+            score[~(mark[:, None] < place[None])] = -np.inf
+        at = score.argmax(1)
         value = score[np.arange(len(key)), at]
         i = np.flatnonzero((value >= least) & (value > -np.inf))
-        return i, at[i], value[i]
+        return i, order[at[i]], value[i]
 
     found = _tiles(left, right, around, least, block, report, best, f"grp {dict(left.dtypes)['grp']}, key long, partner long, cosine double")
     return found.groupBy("grp", "key").agg(F.max_by("partner", F.struct("cosine", -F.col("partner"))).alias("partner"), F.max("cosine").alias("cosine"))

@@ -133,3 +133,22 @@ def test_two_passes(spark):
     assert got == expected
     assert clustering.two_pass(frame(spark, [], ", seconds double"), 6).collect() == []
     assert clustering.centroids(frame(spark, rows, ", seconds double").withColumn("cluster", F.lit(1)), 6).count() == 3
+
+
+def test_average_linkage_compares_again_only_what_was_joined(spark, monkeypatch):
+    rows = clouds(np.random.default_rng(4), 2, 70, 6, 5, 1.5)
+    sizes, best = [], clustering.best_matches
+
+    def counted(left, right, *args, **kwargs):
+        sizes.append((left.count(), right.count()))
+        return best(left, right, *args, **kwargs)
+
+    monkeypatch.setattr(clustering, "best_matches", counted)
+    clustering.average_linkage(frame(spark, rows), 0.3).collect()
+    # later rounds leave out clusters that reach none, and do not compare those whose best one stayed
+    assert len(sizes) > 3 and sum(a for a, _ in sizes[1:]) < sum(b for _, b in sizes[1:]) and sizes[-1][1] < 140
+
+
+def test_average_linkage_keeps_rows_without_length_or_group(spark):
+    rows = frame(spark, [("z", 1, [0.0, 0.0]), ("z", 2, [0.0, 0.0]), (None, 3, [1.0, 0.0]), ("a", 4, [1.0, 0.0]), ("a", 6, [1.0, 0.0]), ("a", 5, [1.0, 0.0])])
+    assert sorted((r["key"], r["cluster"]) for r in clustering.average_linkage(rows, 0.5).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 4)]
