@@ -15,11 +15,12 @@ def gated(rows: DataFrame, group: str, most_wer: float = 0.05, low: float = 0.75
     A candidate passes with a word error rate that is small or not known, a duration near its group's median and one
     that is plausible for its text.
     """
-    rows = rows.join(quantiles(rows, group, "dur", {"_mid": 0.5}), group)
+    # one row a group, saved, so that Spark knows its size and a hot group is not brought together
+    rows = rows.join(saved(quantiles(rows, group, "dur", {"_mid": 0.5}), rows.sparkSession), group)
     near = (F.col("dur") / F.greatest(F.col("_mid"), F.lit(0.01))).between(low, high)
     passed = F.coalesce(F.col("wer") <= most_wer, F.lit(True)) & near & plausible_duration(F.col("text"), F.col("dur"))
     rows = rows.withColumn("passed", F.coalesce(passed, F.lit(False)))
-    some = rows.groupBy(group).agg(F.max("passed").alias("_any"))
+    some = saved(rows.groupBy(group).agg(F.max("passed").alias("_any")), rows.sparkSession)
     return rows.join(some, group).filter("passed OR NOT _any").drop("_any", "_mid")
 
 
@@ -53,7 +54,7 @@ def parsed_mix(spec: Column, names: dict[str, str]) -> Column:
 
 def voice_changed(rows: DataFrame, label: str, halves: str, threshold: float, gap: float = 0.15) -> DataFrame:
     """``changed``: halves that are unlike, below ``threshold``, in a label whose median is far above or low as well."""
-    middle = quantiles(rows, label, halves, {"_mid": 0.5})
+    middle = saved(quantiles(rows, label, halves, {"_mid": 0.5}), rows.sparkSession)
     low = (F.col(halves) < threshold) & ((F.col(halves) < F.col("_mid") - gap) | (F.col("_mid") < threshold))
     return rows.join(middle, label, "left").withColumn("changed", F.coalesce(low, F.lit(False))).drop("_mid")
 

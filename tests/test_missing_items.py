@@ -279,3 +279,11 @@ def test_composed_texts_are_held_some_at_a_time():
     tx.composed(texts)
     assert tracemalloc.get_traced_memory()[1] < 40 << 20
     tracemalloc.stop()
+
+
+def test_gated_rows_are_not_brought_together_by_group(spark):
+    from corpusloom.operators import gates
+
+    rows = spark.createDataFrame([(i, "one", "uma frase de teste", 2.0 + i % 3 / 10, None) for i in range(50)], "i int, g string, text string, dur double, wer double")
+    plan = gates.gated(rows, "g")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
