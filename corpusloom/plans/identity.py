@@ -8,7 +8,7 @@ from corpusloom.functions import profiles, signals, spoken
 from corpusloom.functions.vectors import unit
 from corpusloom.operators import asof, clustering, containment, identity, partners, purity, scoring
 from corpusloom.plans.catalog import DIM, clips, query, unit_vectors
-from corpusloom.session import saved, table
+from corpusloom.session import dealt, saved, table
 
 UNITS = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings)"""
 
@@ -103,7 +103,8 @@ def profile_faults(spark, d):
         PROFILE, F.when(k % 5 == 0, 2).otherwise(1).cast("string"), F.when(k % 7 == 0, " ").otherwise("fast"), (k % 3).cast("string"), F.when(k % 11 == 0, "0.5, 2.0").otherwise("2.0"), F.col("p_size").cast("string"),
         F.when(k % 6 > 2, k % 6).otherwise(1).cast("string"), (k % 4).cast("string"), F.when(k % 13 == 0, "").otherwise(F.col("p_name")),
     )
-    return table(spark, d, "part").select("p_partkey", F.explode(profiles.profile_faults(doc)).alias("f")).select("p_partkey", "f.path", "f.reason")
+    parts = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), spark)
+    return parts.select("p_partkey", F.explode(profiles.profile_faults(doc)).alias("f")).select("p_partkey", "f.path", "f.reason")
 
 
 @query("""WITH v AS (SELECT c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'user' ELSE 'val' END AS grp, c_custkey FROM customer), j AS (SELECT name || '__p' || r_regionkey AS key, name, grp, r_regionkey AS k, r_name AS phrase, c_custkey FROM v, region WHERE grp = 'user' OR r_regionkey IN (1, 3))

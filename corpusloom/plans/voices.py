@@ -8,7 +8,7 @@ from corpusloom.functions import spoken, text as tx
 from corpusloom.operators import decoding, purity, sampling, similarity
 from corpusloom.operators.linkage import complete_linkage
 from corpusloom.plans.catalog import DIM, LOO, U, query, unit_vectors
-from corpusloom.session import saved, table
+from corpusloom.session import dealt, saved, table
 
 AMOUNT = "(CASE WHEN o_totalprice < 0 THEN 0 ELSE round(o_totalprice * 100) END)::BIGINT"
 
@@ -21,7 +21,7 @@ def spoken_orders(spark, d):
     cents = F.round(F.greatest("o_totalprice", F.lit(0.0)) * 100).cast("long")
     price = F.concat(F.floor(cents / F.lit(100)).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
     line = F.concat(F.lit("Pedido "), "o_orderkey", F.lit(": R$ "), price, F.lit(" em "), F.date_format("o_orderdate", "d/M/yyyy"))
-    return spoken.spoken(table(spark, d, "orders").select("o_orderkey", line.alias("line")), "line", "said").select("o_orderkey", "said")
+    return spoken.spoken(dealt(table(spark, d, "orders").select("o_orderkey", line.alias("line")), spark), "line", "said").select("o_orderkey", "said")
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w, (30 + doc_id % 6 * 10)::DOUBLE / 100::DOUBLE AS share FROM documents),

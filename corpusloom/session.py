@@ -78,6 +78,11 @@ def saved(df: DataFrame, spark: SparkSession, path: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """``df`` dealt over all cores, four parts each, before a step that takes long for a row: small files are few tasks."""
+    return df.repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table that ``saved`` wrote and that no later step reads."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

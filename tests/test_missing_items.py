@@ -287,3 +287,10 @@ def test_gated_rows_are_not_brought_together_by_group(spark):
     rows = spark.createDataFrame([(i, "one", "uma frase de teste", 2.0 + i % 3 / 10, None) for i in range(50)], "i int, g string, text string, dur double, wer double")
     plan = gates.gated(rows, "g")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_long_steps_are_dealt_over_all_cores(spark):
+    import __spark_entry__ as entry
+
+    for name in ("profile_faults", "spoken_orders"):
+        assert entry.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
