@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions.keys import draw, gender, group_key, order_key, voice_key
@@ -47,6 +47,14 @@ def query(sql: str | None = None):
     return register
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL does it: scaled first, so that 3.8499999999999996 is 38.5 tenths and gives 3.9.
+
+    Spark's own rounding goes by the decimal digits of the double and gives 3.8 there.
+    """
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def clips(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     speaker = F.concat("source", F.lit(":"), F.when(F.col("doc_id") % 7 == 3, "99").otherwise((F.col("doc_id") % 2).cast("string")))
@@ -466,7 +474,7 @@ TOK = """tok AS (SELECT l_orderkey AS k, l_linenumber AS token, round(l_extended
 
 
 def tokens(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("token"), (F.round(F.col("l_extendedprice") / 10000 - 3, 1) + F.lit(0.0)).alias("score"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("token"), (rounded(F.col("l_extendedprice") / 10000 - 3, 1) + F.lit(0.0)).alias("score"))
 
 
 @query("WITH " + TOK + " SELECT k, token FROM (SELECT *, rank() OVER (PARTITION BY k ORDER BY score DESC) AS r FROM tok) WHERE r <= 3")
@@ -482,7 +490,7 @@ def top_k_exact(spark, d):
 @query("WITH " + TOK + """, e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY k)) AS e FROM tok), p AS (SELECT *, e / sum(e) OVER (PARTITION BY k) AS prob FROM e), b AS (
   SELECT *, coalesce(sum(prob) OVER (PARTITION BY k ORDER BY score DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT k, token, round(prob, 9) AS prob FROM b WHERE before <= 0.8""")
 def nucleus(spark, d):
-    return decoding.nucleus(tokens(spark, d), "k", 0.8).select("k", "token", F.round("prob", 9).alias("prob"))
+    return decoding.nucleus(tokens(spark, d), "k", 0.8).select("k", "token", rounded(F.col("prob"), 9).alias("prob"))
 
 
 @query("WITH " + TOK + """, h AS (SELECT DISTINCT l_orderkey AS k, (l_suppkey % 4)::INT + 1 AS token FROM lineitem)
