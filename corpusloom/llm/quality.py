@@ -3,19 +3,21 @@
 The model is an interpolated modified Kneser-Ney model of character n-grams inside words (with a mark at either end),
 one per language, counted by Spark over the plain words of all documents. Its tables are joined level by level in Spark, hashed, and
 stored as sorted arrays of 64-bit hashes with log probabilities and back-off weights, which tasks search by bisection.
+Where the tables are more than a task should hold, it holds the most frequent n-grams, and Spark joins the others with the
+whole tables. Both ways add the same whole steps of log probability, so the result is one and the same.
 A document's perplexity is per character; each language has a lower and an upper bound, set by the median and the
 median absolute deviation of all its documents, and documents outside are rejected.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.llm.shingles import grouped, mixed, words
 from corpusloom.session import saved
@@ -23,14 +25,17 @@ from corpusloom.session import saved
 ORDER = 4
 BEGIN, END = "\x02", "\x03"
 SPACES, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
-#: Bound of the model that is sent to every task: 16 bytes an entry. Beyond it the rarest n-grams are pruned.
+#: Bound of the model that is sent to every task: 16 bytes an entry. What it leaves out is joined by Spark.
 MOST_ENTRIES = 12_000_000
+#: Log probabilities are added in whole steps of this size, so that a sum knows no order: 2^31 of them are 2,048 nats.
+SCALE = 1 << 20
+NO_MODEL = -12.0
 MEMO = 200_000
 SPREADS = 6.0
 LEAST_BAND = 0.5
 STEP = 1 / 512
 
-SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 
@@ -86,8 +91,9 @@ def kneser_ney(spark: SparkSession, grams: DataFrame, order: int = ORDER) -> Dat
     level = {order: grams.filter(F.length("gram") == order)}
     for n in range(order - 1, 0, -1):
         begin = grams.filter((F.length("gram") == n) & F.col("gram").startswith(BEGIN))
-        within = level[n + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
-        level[n] = saved(begin.unionByName(within), spark)
+        within = level[n + 1].select("lang", F.expr("substring(gram, 2)").alias("gram"), F.lit(1).cast("long").alias("n"))
+        # one sum over both: an n-gram within a word begins with the mark where a text holds that character
+        level[n] = saved(begin.unionByName(within).groupBy("lang", "gram").agg(F.sum("n").alias("n")), spark)
     done = None
     tables = []
     for n in range(1, order + 1):
@@ -106,7 +112,9 @@ def kneser_ney(spark: SparkSession, grams: DataFrame, order: int = ORDER) -> Dat
         some = some.join(by_count, "lang")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         some = some.withColumn("d", d)
-        contexts = some.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("held"), F.first("types").alias("types"))
+        # whole numbers times the language's discounts, so that the sum knows no order
+        held = F.first("d1") * F.count_if(F.col("n") == 1) + F.first("d2") * F.count_if(F.col("n") == 2) + F.first("d3") * F.count_if(F.col("n") > 2)
+        contexts = some.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), held.alias("held"), F.first("types").alias("types"))
         contexts = contexts.withColumn("gamma", F.col("held") / F.col("total"))
         some = some.select("lang", "gram", "ctx", "n", "d").join(contexts, ["lang", "ctx"])
         own = (F.col("n") - F.col("d")) / F.col("total")
@@ -121,7 +129,8 @@ def kneser_ney(spark: SparkSession, grams: DataFrame, order: int = ORDER) -> Dat
             weights = contexts.select("lang", F.col("ctx").alias("gram"), F.log("gamma").alias("backoff"))
             tables.append(done.join(weights, ["lang", "gram"], "left").select("lang", "gram", F.log("p").alias("logp"), F.coalesce("backoff", F.lit(0.0)).alias("backoff"), "n"))
             # a context that begins a word is no n-gram of its own when it is the mark alone
-            tables.append(weights.filter(F.col("gram") == BEGIN).select("lang", "gram", F.lit(0.0).alias("logp"), "backoff", F.lit(None).cast("long").alias("n")))
+            mark = weights.filter(F.col("gram") == BEGIN).join(done, ["lang", "gram"], "left_anti")
+            tables.append(mark.select("lang", "gram", F.lit(0.0).alias("logp"), "backoff", F.lit(None).cast("long").alias("n")))
         done = saved(now, spark)
     tables.append(done.select("lang", "gram", F.log("p").alias("logp"), F.lit(0.0).alias("backoff"), "n"))
     out = tables[0]
@@ -148,11 +157,16 @@ def lang_key(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode()))
 
 
+def steps(x: Column) -> Column:
+    """A log probability in whole steps of 1 / ``SCALE``."""
+    return F.rint(x * SCALE).cast("int")
+
+
 class Model:
-    """Sorted hashes with a log probability and a back-off weight each."""
+    """Sorted hashes with a log probability and a back-off weight each, in steps; ``whole`` unless some n-grams are left out."""
 
-    def __init__(self, hashes: np.ndarray, logp: np.ndarray, backoff: np.ndarray, unknown: dict[str, float], order: int):
-        self.hashes, self.logp, self.backoff, self.unknown, self.order = hashes, logp, backoff, unknown, order
+    def __init__(self, hashes: np.ndarray, logp: np.ndarray, backoff: np.ndarray, unknown: dict[str, int], order: int, whole: bool):
+        self.hashes, self.logp, self.backoff, self.unknown, self.order, self.whole = hashes, logp, backoff, unknown, order, whole
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.hashes):
@@ -161,9 +175,13 @@ class Model:
         return at, self.hashes[at] == keys
 
     def score(self, lang: str, found: list[str]) -> np.ndarray:
-        """Log probability of each word with its end."""
+        """Log probability of each word with its end, without the n-grams of :meth:`score_open`."""
+        return self.score_open(lang, found)[0]
+
+    def score_open(self, lang: str, found: list[str]) -> tuple[np.ndarray, list[tuple[int, str]]]:
+        """Log probability of each word with its end, and (word, n-gram) of all that only the whole tables tell."""
         if not found:
-            return np.zeros(0)
+            return np.zeros(0, np.int64), []
         joined = "".join([BEGIN + w + END for w in found])
         chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         length = np.fromiter((len(w) + 2 for w in found), np.int64, len(found))
@@ -171,7 +189,8 @@ class Model:
         hashes = gram_hashes(chars, np.full(len(chars), lang_key(lang)), self.order)
         inside = np.arange(len(chars)) - np.repeat(starts, length)
         left = np.flatnonzero(inside > 0)
-        value = np.zeros(len(chars))
+        value = np.zeros(len(chars), np.int64)
+        open_: list[tuple[int, str]] = []
         for n in range(self.order, 0, -1):
             ready = inside[left] + 1 >= n
             now = left[ready]
@@ -181,22 +200,33 @@ class Model:
             hit, at = hit[back], at[back]
             value[now[hit]] += self.logp[at[hit]]
             missed = now[~hit]
-            if n > 1 and len(missed):
+            if not self.whole:
+                # whether it is left out or was never seen is not known here
+                word = np.searchsorted(starts, missed, "right") - 1
+                open_ += [(w, joined[i - n + 1 : i + 1]) for w, i in zip(word.tolist(), missed.tolist(), strict=True)]
+                missed = missed[:0]
+            elif n > 1 and len(missed):
                 at, known = self.find(hashes[n - 2][missed - 1])
                 value[missed[known]] += self.backoff[at[known]]
             elif len(missed):
-                value[missed] += self.unknown.get(lang, -12.0)
+                value[missed] += self.unknown.get(lang, round(NO_MODEL * SCALE))
             left = np.concatenate([left[~ready], missed])
-        return np.add.reduceat(value, starts)
+        return np.add.reduceat(value, starts), open_
 
 
 def sorted_arrays(spark: SparkSession, table: DataFrame, order: int = ORDER, most: int = MOST_ENTRIES) -> Model:
-    """The model's tables as sorted hash arrays, pruned to ``most`` entries by count if there are more."""
+    """The model's tables as sorted hash arrays.
+
+    If there are more than ``most`` entries, they are those of the most frequent n-grams that end a look-up at once: the
+    longest ones and those that begin a word. All others are for :func:`settled`.
+    """
     entries = table.filter("gram != ''")
-    if entries.count() > most:
-        by_count = entries.filter("n IS NOT NULL").groupBy("n").count().orderBy(F.desc("n"))
+    whole = entries.count() <= most
+    if not whole:
+        entries = entries.filter((F.length("gram") == order) | (F.col("gram").startswith(BEGIN) & (F.length("gram") > 1)))
+        by_count = entries.groupBy("n").count()
         cut = by_count.withColumn("upto", F.sum("count").over(Window.orderBy(F.desc("n")))).filter(F.col("upto") > most).agg(F.max("n")).first()[0]
-        entries = entries.filter(F.col("n").isNull() | (F.col("n") > F.lit(cut)))
+        entries = entries.filter(F.col("n") > F.lit(cut or 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,14 +238,50 @@ def sorted_arrays(spark: SparkSession, table: DataFrame, order: int = ORDER, mos
                 chars = np.frombuffer("".join([grams[i] for i in rows]).encode("utf-32-le"), np.uint32)
                 lang = np.repeat(np.array([keys[langs[i]] for i in rows], np.uint64), n)
                 out[rows] = gram_hashes(chars, lang, order)[n - 1][n - 1 :: n]
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()]), pa.array([np.asarray(batch.column(2), np.float32).tobytes()]), pa.array([np.asarray(batch.column(3), np.float32).tobytes()])], names=["h", "p", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()]), pa.array([np.asarray(batch.column(2), np.int32).tobytes()]), pa.array([np.asarray(batch.column(3), np.int32).tobytes()])], names=["h", "p", "b"])
 
-    parts = entries.select("lang", "gram", F.col("logp").cast("float"), F.col("backoff").cast("float")).mapInArrow(run, "h binary, p binary, b binary").collect()
+    parts = entries.select("lang", "gram", steps(F.col("logp")), steps(F.col("backoff"))).mapInArrow(run, "h binary, p binary, b binary").collect()
     join = lambda i, kind: np.frombuffer(b"".join(bytes(x[i]) for x in parts), kind)
     hashes = join(0, np.uint64)
     by_hash = np.argsort(hashes, kind="stable")
-    unknown = {r["lang"]: r["logp"] for r in table.filter("gram = ''").collect()}
-    return Model(hashes[by_hash], join(1, np.float32)[by_hash], join(2, np.float32)[by_hash], unknown, order)
+    unknown = {r["lang"]: r["v"] for r in table.filter("gram = ''").select("lang", steps(F.col("logp")).alias("v")).collect()}
+    return Model(hashes[by_hash], join(1, np.int32)[by_hash], join(2, np.int32)[by_hash], unknown, order, whole)
+
+
+def looked_up(spark: SparkSession, asked: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, value): the log probability in steps of the last character of each n-gram of ``asked`` (lang, gram).
+
+    Joins with the whole tables, level by level; what :meth:`Model.score` does with a whole model.
+    """
+    entries = table.filter("gram != ''").select("lang", F.col("gram").alias("_g"), steps(F.col("logp")).alias("logp"), steps(F.col("backoff")).alias("backoff"))
+    unknown = table.filter("gram = ''").select("lang", steps(F.col("logp")).alias("logp"))
+    left = saved(asked.withColumn("value", F.lit(0).cast("long")), spark)
+    done = []
+    for n in range(order, 0, -1):
+        now = left.filter(F.length("gram") >= n).withColumn("_g", F.expr(f"right(gram, {n})"))
+        now = saved(now.join(entries.select("lang", "_g", "logp"), ["lang", "_g"], "left").drop("_g"), spark)
+        done.append(now.filter("logp IS NOT NULL").select("lang", "gram", (F.col("value") + F.col("logp")).alias("value")))
+        missed = now.filter("logp IS NULL").drop("logp")
+        if n > 1:
+            missed = missed.withColumn("_g", F.expr(f"left(right(gram, {n}), {n - 1})")).join(entries.select("lang", "_g", "backoff"), ["lang", "_g"], "left")
+            missed = missed.select("lang", "gram", (F.col("value") + F.coalesce("backoff", F.lit(0))).alias("value"))
+            left = missed.unionByName(left.filter(F.length("gram") < n))
+        else:
+            missed = missed.join(unknown, "lang", "left")
+            done.append(missed.select("lang", "gram", (F.col("value") + F.coalesce("logp", F.lit(round(NO_MODEL * SCALE)))).alias("value")))
+    out = done[0]
+    for some in done[1:]:
+        out = out.unionByName(some)
+    return out
+
+
+def settled(spark: SparkSession, scored: DataFrame, table: DataFrame, lang_col: str, order: int = ORDER) -> DataFrame:
+    """``scored`` with the n-grams in ``_open`` looked up in the whole tables and added to ``total``."""
+    asked = scored.filter(F.size("_open") > 0).select("_row", F.coalesce(lang_col, F.lit("")).alias("lang"), F.explode("_open").alias("gram", "times"))
+    values = saved(looked_up(spark, asked.select("lang", "gram").distinct(), table, order), spark)
+    more = asked.join(values, ["lang", "gram"]).groupBy("_row").agg(F.sum(F.col("times") * F.col("value")).alias("_more"))
+    out = scored.join(more, "_row", "left").withColumn("total", F.col("total") + F.coalesce("_more", F.lit(0)))
+    return out.drop("_row", "_open", "_more")
 
 
 def rule_counts(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -242,41 +308,55 @@ def rule_counts(texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, text_col: str, lang_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns, the rule counts and log_ppl (null without words) of every row."""
+    """``keep`` columns, the rule counts and the total log probability in steps of every row.
+
+    If n-grams are left out of the model, also ``_row``, a number of the row, and ``_open``, the n-grams that are not in
+    the total and how often they occur. Such a result is to be saved before it is used, as the numbers hold for one run.
+    """
     sent = spark.sparkContext.broadcast(model)
+    whole = model.whole
+    extra = [] if whole else [("_row", "long"), ("_open", "map<string, long>")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        memo: dict[str, dict[bytes, float]] = {}
+        memo: dict[str, dict[bytes, int]] = {}
+        memo_open: dict[str, dict[bytes, list[str]]] = {}
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = [(x.as_py() or "").encode() for x in batch.column(0)]
             langs = [x.as_py() or "" for x in batch.column(1)]
-            perplexity = []
-            for lo, hi in grouped(texts, 1 << 22):
+            # fewer texts at a time where n-grams are kept for each of them
+            for lo, hi in grouped(texts, 1 << (22 if whole else 18)):
                 split = [t.split() for t in texts[lo:hi]]
                 fresh: dict[str, set[bytes]] = {}
                 for own, lang in zip(split, langs[lo:hi], strict=True):
                     fresh.setdefault(lang, set()).update(own)
                 for lang, seen in fresh.items():
-                    known = memo.setdefault(lang, {})
+                    known, known_open = memo.setdefault(lang, {}), memo_open.setdefault(lang, {})
                     new = sorted(seen - known.keys())
                     if len(known) + len(new) > MEMO:
                         known.clear()
+                        known_open.clear()
                         new = sorted(seen)
-                    known.update(zip(new, model.score(lang, [w.decode() for w in new]).tolist(), strict=True))
-                for own, text, lang in zip(split, texts[lo:hi], langs[lo:hi], strict=True):
-                    if own:
-                        known = memo[lang]
-                        size = len(text.translate(None, SPACES).decode()) + len(own)
-                        perplexity.append(-math.fsum(map(known.__getitem__, own)) / size)
-                    else:
-                        perplexity.append(None)
-            counts = list(zip(*rule_counts(texts), strict=True)) if texts else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *[pa.array(c, pa.int64()) for c in counts], pa.array(perplexity, pa.float64())], names=[*keep, *(c.split()[0] for c in SCORED.split(", "))])
+                    values, open_ = model.score_open(lang, [w.decode() for w in new])
+                    known.update(zip(new, values.tolist(), strict=True))
+                    for w, gram in open_:
+                        known_open.setdefault(new[w], []).append(gram)
+                totals = [sum(map(memo[lang].__getitem__, own)) for own, lang in zip(split, langs[lo:hi], strict=True)]
+                counts = zip(*rule_counts(texts[lo:hi]), strict=True)
+                columns = [*batch.slice(lo, hi - lo).columns[2:], *[pa.array(c, pa.int64()) for c in counts], pa.array(totals, pa.int64())]
+                if not whole:
+                    left_out = []
+                    for own, lang in zip(split, langs[lo:hi], strict=True):
+                        known_open = memo_open[lang]
+                        left_out.append(list(Counter(g for w in own if w in known_open for g in known_open[w]).items()))
+                    columns += [pa.array(range(row, row + hi - lo), pa.int64()), pa.array(left_out, pa.map_(pa.string(), pa.int64()))]
+                row += hi - lo
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *COUNTS, "total", *[c for c, _ in extra]])
 
     source = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:])
-    return source.mapInArrow(run, f"{schema}, {SCORED}")
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[2:]]
+    return source.mapInArrow(run, ", ".join([*own, *[f"{c} long" for c in COUNTS], "total long", *[f"{c} {kind}" for c, kind in extra]]))
 
 
 def bands(scored: DataFrame, lang: str, spreads: float = SPREADS, least: float = LEAST_BAND) -> DataFrame:
@@ -299,23 +379,27 @@ def bands(scored: DataFrame, lang: str, spreads: float = SPREADS, least: float =
     return width.select("band_lang", ((F.col("mid") + 0.5) * STEP - reach).alias("low"), ((F.col("mid") + 0.5) * STEP + reach).alias("high"))
 
 
-def quality(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), spreads: float = SPREADS) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ("doc_id",), spreads: float = SPREADS, most: int = MOST_ENTRIES) -> DataFrame:
     """``keep`` columns, the rule counts, log_ppl, base_failed and kept of every row.
 
     A null or blank text has no words, fails the base rules and has a null log_ppl; a null language and an
     empty one are one language; repeated rows are scored one by one; an empty table gives an empty result. ``keep`` may hold any of the
-    table's columns, other ones are not looked at.
+    table's columns, other ones are not looked at. ``most`` bounds what is sent to every task and changes no result.
     """
     keep = list(keep)
     table = kneser_ney(spark, saved(count_grams(docs, text_col, lang_col), spark))
-    model = sorted_arrays(spark, table)
+    model = sorted_arrays(spark, table, most=most)
     scored = docs.select(*[F.col(c) for c in dict.fromkeys([text_col, lang_col, *keep])])
     inner = [f"k{i}" for i in range(len(keep))]
     scored = scored.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("band_lang"), *[F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)])
     scored = saved(score_documents(spark, scored, model, "t", "band_lang", ["band_lang", *inner]), spark)
+    if not model.whole:
+        scored = saved(settled(spark, scored, table, "band_lang"), spark)
+    # every word counts one character more, its end
+    size = F.col("word_chars") + F.col("n_words")
+    scored = scored.withColumn("log_ppl", F.when(F.col("n_words") > 0, -F.col("total") / F.lit(float(SCALE)) / size)).drop("total")
     limits = saved(bands(scored, "band_lang", spreads), spark)
     out = scored.withColumn("band_lang", F.coalesce("band_lang", F.lit(""))).join(limits, "band_lang", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     within = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
-    names = [c.split()[0] for c in SCORED.split(", ")]
-    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)], *names, failed.alias("base_failed"), (~failed & within).alias("kept"))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)], *COUNTS, "log_ppl", failed.alias("base_failed"), (~failed & within).alias("kept"))

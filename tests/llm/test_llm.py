@@ -539,6 +539,20 @@ def test_kneser_ney_is_a_distribution(spark):
     assert all(0 < p <= 1 + 1e-6 for p in by_context.values())
 
 
+@pytest.mark.parametrize("most", [0, 300])
+def test_quality_is_the_same_whatever_is_sent_to_tasks(spark, most):
+    texts = [r["text"] for r in documents(spark).limit(80).collect()] + AWKWARD + ["#x# $y$ QQQQ " * 30, "a\x02b c\x02b \x02 \x02\x02b " * 20, "東京都は日本 の首都𝒳 " * 25]
+    langs = [("en", "fr", None)[i % 3] for i in range(len(texts))] + ["zz"]
+    rows = table(spark, [*texts, "ONLY $SIGNS$ HERE " * 20], langs=langs)
+    rows = rows.union(rows.limit(5))
+    model = quality.sorted_arrays(spark, quality.kneser_ney(spark, quality.count_grams(rows, "text", "lang")), most=most)
+    assert not model.whole and len(model.hashes) <= most
+    # a row is not told from an equal one by its id
+    whole, parted = (sorted(map(tuple, quality.quality(spark, rows, **how).collect()), key=str) for how in ({}, {"most": most}))
+    assert parted == whole
+    assert len({r[6] for r in whole}) > 60
+
+
 def test_quality_awkward(spark):
     got = quality.quality(spark, awkward(spark)).collect()
     assert len(got) == len(AWKWARD)
