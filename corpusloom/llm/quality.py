@@ -94,48 +94,51 @@ def kneser_ney(spark: SparkSession, grams: DataFrame, order: int = ORDER) -> Dat
         within = level[n + 1].select("lang", F.expr("substring(gram, 2)").alias("gram"), F.lit(1).cast("long").alias("n"))
         # one sum over both: an n-gram within a word begins with the mark where a text holds that character
         level[n] = saved(begin.unionByName(within).groupBy("lang", "gram").agg(F.sum("n").alias("n")), spark)
-    done = None
-    tables = []
+    every = level[1]
+    for n in range(2, order + 1):
+        every = every.unionByName(level[n])
+    every = every.withColumn("k", F.length("gram")).withColumn("ctx", F.expr("substring(gram, 1, length(gram) - 1)"))
+    # one row per language and order
+    by_count = every.groupBy("lang", "k").agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("types"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+
+    def discount(i: int) -> Column:
+        raw = i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
+        # tables too small to estimate from get the usual constants
+        good = (F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0) & (raw > 0) & (raw < i)
+        return F.when(good, raw).otherwise(F.lit({1: 0.5, 2: 0.75, 3: 0.9}[i]))
+
+    # written, so that the planner knows it is small and deals no n-grams out by their language for it
+    by_count = saved(by_count.select("lang", "k", "types", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)]), spark)
+    # whole numbers times the language's discounts, so that the sum knows no order
+    held = F.first("d1") * F.count_if(F.col("n") == 1) + F.first("d2") * F.count_if(F.col("n") == 2) + F.first("d3") * F.count_if(F.col("n") > 2)
+    contexts = every.join(by_count, ["lang", "k"]).groupBy("lang", "ctx").agg(F.sum("n").alias("total"), held.alias("held"), *[F.first(c).alias(c) for c in ("types", "d1", "d2", "d3")])
+    # all that follows reads this one table: each context is summed once
+    contexts = saved(contexts.withColumn("gamma", F.col("held") / F.col("total")).drop("held"), spark)
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    own = (F.col("n") - d) / F.col("total")
+    none = F.lit(None).cast("long").alias("n")
+    done = []
     for n in range(1, order + 1):
-        some = level[n].withColumn("ctx", F.expr(f"substring(gram, 1, {n - 1})"))
-        # one row per language
-        by_count = some.groupBy("lang").agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)], F.count("*").alias("types"))
-        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-
-        def discount(k: int, y=y):
-            raw = k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
-            # tables too small to estimate from get the usual constants
-            good = (F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0) & (raw > 0) & (raw < k)
-            return F.when(good, raw).otherwise(F.lit({1: 0.5, 2: 0.75, 3: 0.9}[k]))
-
-        by_count = by_count.select("lang", "types", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
-        some = some.join(by_count, "lang")
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        some = some.withColumn("d", d)
-        # whole numbers times the language's discounts, so that the sum knows no order
-        held = F.first("d1") * F.count_if(F.col("n") == 1) + F.first("d2") * F.count_if(F.col("n") == 2) + F.first("d3") * F.count_if(F.col("n") > 2)
-        contexts = some.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), held.alias("held"), F.first("types").alias("types"))
-        contexts = contexts.withColumn("gamma", F.col("held") / F.col("total"))
-        some = some.select("lang", "gram", "ctx", "n", "d").join(contexts, ["lang", "ctx"])
-        own = (F.col("n") - F.col("d")) / F.col("total")
+        some = level[n].withColumn("ctx", F.expr(f"substring(gram, 1, {n - 1})")).join(contexts.filter(F.length("ctx") == n - 1), ["lang", "ctx"])
         if n == 1:
             now = some.select("lang", "gram", "n", (own + F.col("gamma") / (F.col("types") + 1)).alias("p"))
-            unknown = contexts.select("lang", F.lit("").alias("gram"), F.log(F.col("gamma") / (F.col("types") + 1)).alias("logp"), F.lit(0.0).alias("backoff"), F.lit(None).cast("long").alias("n"))
-            tables.append(unknown)
         else:
-            lower = done.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            now = some.withColumn("suffix", F.expr("substring(gram, 2)")).join(lower, ["lang", "suffix"])
-            now = now.select("lang", "gram", "n", (own + F.col("gamma") * F.col("q")).alias("p"))
-            weights = contexts.select("lang", F.col("ctx").alias("gram"), F.log("gamma").alias("backoff"))
-            tables.append(done.join(weights, ["lang", "gram"], "left").select("lang", "gram", F.log("p").alias("logp"), F.coalesce("backoff", F.lit(0.0)).alias("backoff"), "n"))
-            # a context that begins a word is no n-gram of its own when it is the mark alone
-            mark = weights.filter(F.col("gram") == BEGIN).join(done, ["lang", "gram"], "left_anti")
-            tables.append(mark.select("lang", "gram", F.lit(0.0).alias("logp"), "backoff", F.lit(None).cast("long").alias("n")))
-        done = saved(now, spark)
-    tables.append(done.select("lang", "gram", F.log("p").alias("logp"), F.lit(0.0).alias("backoff"), "n"))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
+            lower = done[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+            some = some.select("lang", "gram", "n", own.alias("own"), "gamma", F.expr("substring(gram, 2)").alias("suffix"))
+            now = some.join(lower, ["lang", "suffix"]).select("lang", "gram", "n", (F.col("own") + F.col("gamma") * F.col("q")).alias("p"))
+        done.append(saved(now, spark) if n < order else now)
+    out = contexts.filter("ctx = ''").select("lang", F.lit("").alias("gram"), F.log(F.col("gamma") / (F.col("types") + 1)).alias("logp"), F.lit(0.0).alias("backoff"), none)
+    out = out.unionByName(done[-1].select("lang", "gram", F.log("p").alias("logp"), F.lit(0.0).alias("backoff"), "n"))
+    if order > 1:
+        weights = contexts.filter("ctx != ''").select("lang", F.col("ctx").alias("gram"), F.log("gamma").alias("backoff"))
+        lower = done[0]
+        for some in done[1:-1]:
+            lower = lower.unionByName(some)
+        out = out.unionByName(lower.join(weights, ["lang", "gram"], "left").select("lang", "gram", F.log("p").alias("logp"), F.coalesce("backoff", F.lit(0.0)).alias("backoff"), "n"))
+        # a context that begins a word is no n-gram of its own when it is the mark alone
+        mark = weights.filter(F.col("gram") == BEGIN).join(done[0].filter(F.col("gram") == BEGIN), ["lang", "gram"], "left_anti")
+        out = out.unionByName(mark.select("lang", "gram", F.lit(0.0).alias("logp"), "backoff", none))
     return saved(out, spark)
 
 
@@ -366,6 +369,8 @@ def bands(scored: DataFrame, lang: str, spreads: float = SPREADS, least: float =
     the number of its documents.
     """
     cells = scored.filter("log_ppl IS NOT NULL").groupBy(F.coalesce(lang, F.lit("")).alias("band_lang"), F.floor(F.col("log_ppl") / STEP).alias("x")).agg(F.count("*").alias("n"))
+    # both medians and the join between them read this small table
+    cells = saved(cells, scored.sparkSession)
 
     def median(rows: DataFrame, value: str, name: str) -> DataFrame:
         whole = Window.partitionBy("band_lang")

@@ -553,6 +553,36 @@ def test_quality_is_the_same_whatever_is_sent_to_tasks(spark, most):
     assert len({r[6] for r in whole}) > 60
 
 
+def test_kneser_ney_sums_each_context_once(spark, monkeypatch, capsys):
+    import re
+
+    keep = quality.saved
+
+    def noted(df, session):
+        df.explain()
+        return keep(df, session)
+
+    grams = keep(quality.count_grams(table(spark, ["the cat sat on the mat " * 3, "le chat " * 4], langs=["en", "fr"]), "text", "lang"), spark)
+    monkeypatch.setattr(quality, "saved", noted)
+    capsys.readouterr()
+    quality.kneser_ney(spark, grams)
+    plans = capsys.readouterr().out
+    assert len(re.findall(r"HashAggregate\(keys=\[lang#\d+, ctx#\d+\]", plans)) == 2
+    # no n-grams are dealt out by their language alone
+    assert not re.findall(r"hashpartitioning\(lang#\d+, \d+", plans)
+
+
+def test_quality_stage_keeps_the_same_rows_whatever_is_sent_to_tasks(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    rows = documents(spark).limit(60)
+    whole = sorted(map(tuple, p.quality_rules(spark, rows, "").collect()), key=str)
+    plain = quality.quality
+    monkeypatch.setattr(quality, "quality", lambda *a, **how: plain(*a, **how, most=300))
+    assert sorted(map(tuple, p.quality_rules(spark, rows, "").collect()), key=str) == whole
+    assert whole
+
+
 def test_quality_awkward(spark):
     got = quality.quality(spark, awkward(spark)).collect()
     assert len(got) == len(AWKWARD)
