@@ -15,8 +15,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector over its length, which counts as 1e-9 at least."""
-    n = F.greatest(norm(a), F.lit(1e-9))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    # a variable of a lambda is found once; an expression in the inner one is found again for each component
+    n = F.array(F.greatest(norm(a), F.lit(1e-9)))
+    return F.get(F.transform(n, lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def vector_sum(a: Column, size: int) -> Column:

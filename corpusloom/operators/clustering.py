@@ -2,21 +2,104 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corpusloom.functions.vectors import unit
-from corpusloom.operators.partners import best_matches, blocked, pivots, placed
+from corpusloom.functions.vectors import norm, unit
+from corpusloom.operators.partners import ROOM, best_matches, blocked, pivots, placed, runs_of
 from corpusloom.operators.ranks import ranked
 from corpusloom.session import saved
 
 # fixed values: cosines and seconds of the clusterings
 LINK, KEEP, LINK_SPANS = 0.70, 0.45, 0.55
 LONG_SPAN, LEAST_SPEECH = 2.0, 60.0
+#: Clusters of a group that a task may hold with all their cosines (128 MB); rows of a block, steps of a cosine.
+MOST, WIDE, STEPS = 4_096, 4_096, 65_536
 
 
-def average_linkage(rows: DataFrame, least: float = LINK) -> DataFrame:
+def _linked(key: np.ndarray, total: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Place of the cluster that each of some clusters, by ``key``, becomes part of; ``total`` and ``n`` are added up in place."""
+    v = total / n[:, None]
+    alive = np.isfinite(v).all(1)
+    score = v @ v.T
+    np.fill_diagonal(score, -np.inf)
+    score[~alive] = -np.inf
+    score[:, ~alive] = -np.inf
+    best, value, to = score.argmax(1), score.max(1), np.arange(len(key))
+    while True:
+        i = np.flatnonzero(alive & (value >= least))
+        a = i[(best[best[i]] == i) & (i < best[i])]
+        if not len(a):
+            break
+        b = best[a]
+        total[a] += total[b]
+        n[a] += n[b]
+        v[a] = total[a] / n[a, None]
+        to[b], alive[b] = a, False
+        score[b] = -np.inf
+        score[:, b] = -np.inf
+        new = v[a] @ v.T
+        new[:, ~alive] = -np.inf
+        # both halves alike, so that of two best pairs one is always each other's best
+        both = np.maximum(new[:, a], new[:, a].T)
+        np.fill_diagonal(both, -np.inf)
+        new[:, a] = both
+        score[a], score[:, a] = new, new.T
+        moved = np.zeros(len(key), bool)
+        moved[a] = moved[b] = True
+        again = np.flatnonzero(alive & (value >= least) & (moved | moved[best]))
+        best[again] = score[again].argmax(1)
+        value[again] = score[again, best[again]]
+    while (to[to] != to).any():
+        to = to[to]
+    return to
+
+
+def linked_sets(sets: DataFrame) -> DataFrame:
+    """(grp, key, to, sum, n, block) of clusters (grp, level, key, sum, n, block): those of a group joined down to its level.
+
+    A cluster that became part of another has its key in ``to``; one that stayed has its own. A group is one task's work.
+    """
+    spark = sets.sparkSession
+    kind = dict(sets.dtypes)["grp"]
+    rows = sets.filter("grp IS NOT NULL").select("grp", "level", "key", "sum", "n", "block").repartition(4 * spark.sparkContext.defaultParallelism, "grp").sortWithinPartitions("grp", "key")
+
+    def one(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        of = pa.Table.from_batches(held).combine_chunks()
+        key, n = of.column(2).to_numpy(), of.column(4).to_numpy().copy()
+        total = np.array(of.column(3).combine_chunks().flatten(), np.float64).reshape(len(key), -1)
+        to = _linked(key, total, n, of.column(1)[0].as_py())
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * total.shape[1]), pa.array(total.ravel()))
+        yield pa.RecordBatch.from_arrays([of.column(0).combine_chunks(), pa.array(key), pa.array(key[to]), sums, pa.array(n), of.column(5).combine_chunks()], names=["grp", "key", "to", "sum", "n", "block"])
+
+    return rows.mapInArrow(lambda batches: runs_of(batches, 1, one), f"grp {kind}, key long, to long, sum array<double>, n long, block int")
+
+
+def levels(best: DataFrame, least: float, most: int) -> DataFrame:
+    """(grp, step, level, whole): the clusters of a group whose best cosine is in ``step`` or above are ``most`` at most.
+
+    All other clusters reach less than ``level`` with any, and so does what they or these become. ``whole``: they are all.
+    """
+    steps = best.groupBy("grp", F.floor(F.col("cosine") * STEPS).alias("step")).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy("grp")
+    steps = steps.withColumn("_sum", F.sum("_n").over(by.orderBy(F.desc("step")))).withColumn("_all", F.sum("_n").over(by))
+    out = steps.filter(F.col("_sum") <= most).groupBy("grp").agg(F.min("step").alias("step"), (F.max("_sum") == F.first("_all")).alias("whole"))
+    return out.select("grp", "step", F.when(F.col("whole"), F.lit(least)).otherwise(F.greatest(F.lit(least), F.col("step") / STEPS + ROOM)).alias("level"), "whole")
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """(grp, v, key, n): the equal unit vectors of a group as one row with the smallest key; other rows as they are."""
+    own = F.when(F.col("grp").isNotNull() & (F.abs(norm(F.col("v")) - 1) < 1e-6), F.lit(None)).otherwise(F.col("key"))
+    return rows.groupBy("grp", "v", own.alias("_own")).agg(F.min("key").alias("key"), F.count("*").alias("n")).drop("_own")
+
+
+def average_linkage(rows: DataFrame, least: float = LINK, most: int = 0) -> DataFrame:
     """(grp, key, cluster): unit vectors ``v`` of each group joined while the mean cosine of two clusters reaches ``least``.
 
     The mean cosine of two clusters is the product of their mean vectors, so a cluster is one row with a sum. In a round
@@ -26,30 +109,28 @@ def average_linkage(rows: DataFrame, least: float = LINK) -> DataFrame:
 
     A cluster that reaches no other one never will and is left out of later rounds. In a round only what was joined, and
     what had a joined one as its best, is compared again: for the others no new cluster is nearer than its nearer part was.
+
+    ``most`` is the number of clusters of a group that one task may hold. In each round the clusters with the greatest
+    best cosines, as many as that at most, are joined in a task down to the level that no other cluster reaches; a group
+    of so few clusters is done then. Else a crowd of near copies, whose middle is the best partner of all, takes a round
+    for every few joins. Equal vectors are one row from the start, unless ``least`` is above their cosine.
     """
     spark = rows.sparkSession
     held = saved(rows.select("grp", F.col("key").cast("long").alias("key"), "v"), spark)
-    around = saved(pivots(held), spark)
-    now = saved(blocked(held.withColumn("sum", F.col("v")).withColumn("n", F.lit(1).cast("long")), around), spark)
-    best = saved(best_matches(now, now, least, apart=True).select("grp", "key", "partner"), spark)
+    alike = saved(copies(held) if least <= 1 else held.withColumn("n", F.lit(1).cast("long")), spark)
     rounds = []
-    while True:
-        # b is a's best and a is b's
-        back = best.select("grp", F.col("partner").alias("key"), F.col("key").alias("partner"))
-        joined = saved(best.join(back, ["grp", "key", "partner"]).filter("key < partner"), spark)
-        if not joined.limit(1).count():
-            break
-        rounds.append(joined)
-        into = joined.select("grp", F.explode(F.array("key", "partner")).alias("key"), F.col("key").alias("_to"))
-        # two rows at most come together
-        two = now.join(into, ["grp", "key"]).groupBy("grp", "_to").agg(F.collect_list("sum").alias("_vs"), F.sum("n").alias("n"), F.min_by("block", "key").alias("block"))
-        total = two.select("grp", F.col("_to").alias("key"), F.zip_with(F.get("_vs", F.lit(0)), F.get("_vs", F.lit(1)), lambda a, b: a + b).alias("sum"), "n", "block")
-        merged = placed(total.withColumn("v", F.transform("sum", lambda x: x / F.col("n"))), around)
-        alone = now.join(best, ["grp", "key"], "left_semi").join(into, ["grp", "key"], "left_anti")
-        now = saved(alone.unionByName(merged), spark)
-        same = best.join(into.select("grp", F.col("key").alias("partner")), ["grp", "partner"], "left_anti").select("grp", "key", "partner")
-        again = now.join(same, ["grp", "key"], "left_anti")
-        best = saved(same.unionByName(best_matches(again, now, least, apart=True).select("grp", "key", "partner")), spark)
+    same = alike.filter("n > 1").select("grp", "v", F.col("key").alias("cluster"))
+    if same.limit(1).count():
+        rounds.append(saved(held.join(same, ["grp", "v"]).filter("key != cluster").select("grp", F.col("cluster").alias("key"), F.col("key").alias("partner")), spark))
+    now = alike.withColumn("sum", F.transform("v", lambda x: x * F.col("n")))
+    if most:
+        # groups of few clusters need no partners
+        few = now.groupBy("grp").agg(F.count("*").alias("_n")).filter(F.col("_n") <= most).select("grp")
+        done = linked_sets(now.join(few, "grp").withColumn("level", F.lit(float(least))).withColumn("block", F.lit(0)))
+        rounds.append(saved(done.filter("key != to").select("grp", F.col("to").alias("key"), F.col("key").alias("partner")), spark))
+        now = saved(now.join(few, "grp", "left_anti"), spark)
+    if not most or now.limit(1).count():
+        rounds += _rounds(now, least, most)
     if not rounds:
         return held.select("grp", "key", F.col("key").alias("cluster"))
     # what a cluster became part of, over one, two, four, ... rounds
@@ -60,6 +141,49 @@ def average_linkage(rows: DataFrame, least: float = LINK) -> DataFrame:
     return held.select("grp", "key").join(up, ["grp", "key"], "left").select("grp", "key", F.coalesce("cluster", "key").alias("cluster"))
 
 
+def _rounds(now: DataFrame, least: float, most: int) -> list[DataFrame]:
+    """(grp, key, partner) of each round: ``partner`` became part of ``key``."""
+    spark = now.sparkSession
+    around = saved(pivots(now), spark)
+    now = saved(blocked(now, around, WIDE), spark)
+    best = saved(best_matches(now, now, least, apart=True), spark)
+    rounds = []
+    while True:
+        # b is a's best and a is b's
+        back = best.select("grp", F.col("partner").alias("key"), F.col("key").alias("partner"))
+        joined = best.select("grp", "key", "partner").join(back, ["grp", "key", "partner"]).filter("key < partner")
+        if most:
+            level = saved(levels(best, least, most), spark)
+            at = best.join(F.broadcast(level), "grp").filter(F.floor(F.col("cosine") * STEPS) >= F.col("step")).select("grp", "key", "level")
+            task = saved(linked_sets(now.join(at, ["grp", "key"])), spark)
+            # both of a pair are left to the task, or none
+            for side in ("key", "partner"):
+                joined = joined.join(task.select("grp", F.col("key").alias(side)), ["grp", side], "left_anti")
+            joined = joined.select("grp", "key", "partner").withColumn("_pair", F.lit(True))
+            joined = joined.unionByName(task.filter("key != to").select("grp", F.col("to").alias("key"), F.col("key").alias("partner"), F.lit(False).alias("_pair")))
+        else:
+            joined = joined.withColumn("_pair", F.lit(True))
+        joined = saved(joined, spark)
+        if not joined.limit(1).count():
+            return rounds
+        rounds.append(joined.select("grp", "key", "partner"))
+        if most:
+            done = F.broadcast(level.filter("whole").select("grp"))
+            now, best, joined, task = (x.join(done, "grp", "left_anti") for x in (now, best, joined, task))
+        into = joined.select("grp", F.explode(F.array("key", "partner")).alias("key"), F.col("key").alias("_to"), "_pair").distinct()
+        # two rows at most come together, but for those that a task has added up
+        two = now.join(into.filter("_pair"), ["grp", "key"]).groupBy("grp", "_to").agg(F.collect_list("sum").alias("_vs"), F.sum("n").alias("n"), F.min_by("block", "key").alias("block"))
+        total = two.select("grp", F.col("_to").alias("key"), F.zip_with(F.get("_vs", F.lit(0)), F.get("_vs", F.lit(1)), lambda a, b: a + b).alias("sum"), "n", "block")
+        if most:
+            total = total.unionByName(task.join(into.filter("NOT _pair AND key = _to").select("grp", "key"), ["grp", "key"]).select("grp", "key", "sum", "n", "block"))
+        merged = placed(total.withColumn("v", F.transform("sum", lambda x: x / F.col("n"))), around)
+        alone = now.join(best, ["grp", "key"], "left_semi").join(into, ["grp", "key"], "left_anti")
+        now = saved(alone.unionByName(merged), spark)
+        kept = best.join(into.select("grp", "key"), ["grp", "key"], "left_anti").join(into.select("grp", F.col("key").alias("partner")), ["grp", "partner"], "left_anti").select("grp", "key", "partner", "cosine")
+        again = now.join(kept, ["grp", "key"], "left_anti")
+        best = saved(kept.unionByName(best_matches(again, now, least, apart=True)), spark)
+
+
 def named_clusters(clusters: DataFrame) -> DataFrame:
     """``clusters`` with ``speaker``: ``tag:<grp>:<number>``, ``:99`` where a cluster has one clip, ``:00`` where its group has.
 
@@ -132,7 +256,7 @@ def two_pass(spans: DataFrame, size: int, link: float = LINK_SPANS, keep: float
     spark = spans.sparkSession
     own = saved(spans.select("grp", F.col("key").cast("long").alias("key"), "v", "seconds"), spark)
     first = own.filter(F.col("seconds") >= long)
-    linked = first.join(average_linkage(first, link), ["grp", "key"])
+    linked = first.join(average_linkage(first, link, MOST), ["grp", "key"])
     centres = saved(centroids(linked, size), spark)
     kept = dissolved(linked, centres, keep, least_speech).filter("cluster IS NOT NULL")
     order = _seconds(kept).withColumn("_at", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("total"), "cluster")) - 1)

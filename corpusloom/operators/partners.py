@@ -8,20 +8,24 @@ gives the best partner of each vector only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from corpusloom.functions.keys import order_key
-from corpusloom.functions.vectors import dot, norm
+from corpusloom.functions.vectors import norm
 from corpusloom.operators.ranks import ranked
 from corpusloom.session import saved
 
 PIVOTS = 4
 BLOCK = 1_024
 ROOM = 1e-9
+#: Rows of a product made at once; bound of the error of a product of unit vectors in single precision, per component.
+SLICE, SINGLE = 256, 2.0**-22
 
 
 def pivots(rows: DataFrame, pivots: int = PIVOTS) -> DataFrame:
@@ -33,14 +37,31 @@ def pivots(rows: DataFrame, pivots: int = PIVOTS) -> DataFrame:
 
 def placed(rows: DataFrame, around: DataFrame) -> DataFrame:
     """``rows`` (grp, key, v, ...) with angles (to each pivot) and length."""
-    angle = lambda p, v: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(p, v) / (norm(p) * norm(v)))))
-    out = rows.join(around, "grp").withColumn("angles", F.when(norm(F.col("v")) > 0, F.transform("pivots", lambda p: angle(p, F.col("v")))).otherwise(F.transform("pivots", lambda p: F.lit(0.0))))
-    return out.drop("pivots").withColumn("length", norm(F.col("v")))
+    both = rows.join(around, "grp")
+    schema = StructType([f for f in both.schema if f.name != "pivots"]).add("angles", ArrayType(DoubleType())).add("length", DoubleType())
+    names, at, of = schema.names, both.columns.index("v"), both.columns.index("pivots")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.asarray(batch.column(at).flatten(), np.float64).reshape(batch.num_rows, -1)
+            sizes = pc.list_value_length(batch.column(of)).to_numpy()
+            row = np.repeat(np.arange(len(v)), sizes)
+            p = np.asarray(batch.column(of).flatten().flatten(), np.float64).reshape(len(row), -1)
+            length = np.sqrt((v * v).sum(1))
+            lengths = np.sqrt((p * p).sum(1)) * length[row]
+            cosine = np.divide((p * v[row]).sum(1), lengths, out=np.ones(len(row)), where=lengths > 0)
+            angles = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.arccos(np.clip(cosine, -1, 1))))
+            own = [c for i, c in enumerate(batch.columns) if i != of]
+            yield pa.RecordBatch.from_arrays([*own, angles, pa.array(length)], names=names)
+
+    return both.mapInArrow(run, schema)
 
 
 def blocked(rows: DataFrame, around: DataFrame, block: int = BLOCK) -> DataFrame:
     """``rows`` (grp, key, v, ...) with angles (to each pivot), length and block (from 0 in each group)."""
-    out = placed(rows, around).withColumn("_near", F.array_min("angles")).withColumn("_pivot", F.array_position("angles", F.col("_near")))
+    out = saved(placed(rows, around), rows.sparkSession).withColumn("_near", F.array_min("angles")).withColumn("_pivot", F.array_position("angles", F.col("_near")))
     return ranked(out, "grp", [F.col("_pivot"), F.col("_near"), F.col("key")], "_place").withColumn("block", F.floor(F.col("_place") / block).cast("int")).drop("_place", "_size", "_near", "_pivot")
 
 
@@ -60,6 +81,23 @@ def block_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return both.select("grp", "l_block", "r_block", (F.col("l_n") * F.col("r_n")).alias("pairs"), (F.greatest(most, F.lit(0.0)) + ROOM >= least).alias("alive"))
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int, one: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``one`` over the batches of each run of rows that are equal in their first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    unit = None
+    for batch in batches:
+        found = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
+        start = 0
+        for i in range(1, len(found) + 1):
+            if i == len(found) or found[i] != found[start]:
+                if found[start] != unit:
+                    yield from one(held)
+                    held, unit = [], found[start]
+                held.append(batch.slice(start, i - start))
+                start = i
+    yield from one(held)
+
+
 def _tiles(left: DataFrame, right: DataFrame, around: DataFrame, least: float, block: int, report, tile, schema: str) -> DataFrame:
     """``tile`` over (grp, left rows, right rows) of each pair of blocks that may reach ``least``; rows are (key, mark, v)."""
     spark = left.sparkSession
@@ -70,7 +108,9 @@ def _tiles(left: DataFrame, right: DataFrame, around: DataFrame, least: float, b
         report(*pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("alive"), F.col("pairs"))), F.lit(0))).first())
     alive = pairs.filter("alive").select("grp", "l_block", "r_block")
     sent = lambda rows, side: rows.withColumnRenamed("block", f"{'lr'[side]}_block").join(alive, ["grp", f"{'lr'[side]}_block"]).select("grp", "l_block", "r_block", F.lit(side).alias("side"), "key", "mark", "v")
-    units = sent(left, 0).unionByName(sent(right, 1)).repartition("grp", "l_block", "r_block").sortWithinPartitions("grp", "l_block", "r_block", "side")
+    # by number, as a few small units are long work that must not come together in one task
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    units = sent(left, 0).unionByName(sent(right, 1)).repartition(tasks, "grp", "l_block", "r_block").sortWithinPartitions("grp", "l_block", "r_block", "side")
 
     def one(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -85,22 +125,7 @@ def _tiles(left: DataFrame, right: DataFrame, around: DataFrame, least: float, b
         grp = pa.chunked_array(rows.column(0).take(pa.array(i))).combine_chunks() if len(i) else pa.array([], rows.column(0).type)
         yield pa.RecordBatch.from_arrays([grp, pa.array(key[:middle][i]), pa.array(key[middle:][j]), pa.array(value)], names=["grp", "key", "partner", "cosine"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        unit = None
-        for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            start = 0
-            for i in range(1, len(keys) + 1):
-                if i == len(keys) or keys[i] != keys[start]:
-                    if keys[start] != unit:
-                        yield from one(held)
-                        held, unit = [], keys[start]
-                    held.append(batch.slice(start, i - start))
-                    start = i
-        yield from one(held)
-
-    return units.mapInArrow(run, schema)
+    return units.mapInArrow(lambda batches: runs_of(batches, 3, one), schema)
 
 
 def best_matches(left: DataFrame, right: DataFrame, least: float, apart: bool = False, block: int = BLOCK, report=None) -> DataFrame:
@@ -121,14 +146,46 @@ def best_matches(left: DataFrame, right: DataFrame, least: float, apart: bool =
         # the right side by key, so that the first of equal scores is the smallest key
         order = np.argsort(other, kind="stable")
         other, place, w = other[order], place[order], w[order]
-        score = v @ w.T
+        longest = np.sqrt(max((v * v).sum(1).max(), (w * w).sum(1).max(), 1e-18))
+        slack = SINGLE * v.shape[1] * longest * longest
+        at, value = np.zeros(len(key), np.int64), np.full(len(key), -np.inf)
+        twin = np.full(len(key), -1)
         if apart:
             _, mine, same = np.intersect1d(key, other, return_indices=True)
-            score[mine, same] = -np.inf
-        if bound:
-            score[~(mark[:, None] < place[None])] = -np.inf
-        at = score.argmax(1)
-        value = score[np.arange(len(key)), at]
+            twin[mine] = same
+
+        def without(score, part):
+            mine = np.flatnonzero(twin[part] >= 0)
+            score[mine, twin[part][mine]] = -np.inf
+            if bound:
+                score[~(mark[part][:, None] < place[None])] = -np.inf
+            return score
+
+        # single precision leaves few pairs, which double precision decides; where it leaves many, it is no help
+        short = longest < 1e9
+        v32, w32 = (v.astype(np.float32), w.astype(np.float32)) if short else (v, w)
+        for start in range(0, len(key), SLICE):
+            part = slice(start, start + SLICE)
+            rows = np.arange(start, min(start + SLICE, len(key)))
+            i = j = None
+            if short:
+                score = without(v32[part] @ w32.T, part)
+                top = score.max(1)
+                rows = rows[(top >= least - slack) & (top > -np.inf)]
+                if not len(rows):
+                    continue
+                score, top = score[rows - start], top[rows - start]
+                i, j = np.nonzero(score >= (top - 2 * slack)[:, None])
+            if i is not None and len(i) <= 4 * len(rows):
+                exact = (v[rows[i]] * w[j]).sum(1)
+                # of each row the greatest, then the first
+                first = np.lexsort((j, -exact, i))
+                first = first[np.unique(i[first], return_index=True)[1]]
+                at[rows], value[rows] = j[first], exact[first]
+            else:
+                score = without(v[part] @ w.T, part)[rows - start]
+                at[rows] = score.argmax(1)
+                value[rows] = score[np.arange(len(rows)), at[rows]]
         i = np.flatnonzero((value >= least) & (value > -np.inf))
         return i, order[at[i]], value[i]
 

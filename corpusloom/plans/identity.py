@@ -24,7 +24,7 @@ def best_references(spark, d):
 @query()
 def episode_clusters(spark, d):
     rows = unit_vectors(spark, d).select(F.col("label").alias("grp"), F.col("vec_id").alias("key"), F.col("e").alias("v"))
-    named = clustering.named_clusters(clustering.average_linkage(rows, 0.25))
+    named = clustering.named_clusters(clustering.average_linkage(rows, 0.25, clustering.MOST))
     return named.select(F.col("grp").alias("show"), F.col("key").alias("vec_id"), "speaker")
 
 

@@ -152,3 +152,38 @@ def test_average_linkage_compares_again_only_what_was_joined(spark, monkeypatch)
 def test_average_linkage_keeps_rows_without_length_or_group(spark):
     rows = frame(spark, [("z", 1, [0.0, 0.0]), ("z", 2, [0.0, 0.0]), (None, 3, [1.0, 0.0]), ("a", 4, [1.0, 0.0]), ("a", 6, [1.0, 0.0]), ("a", 5, [1.0, 0.0])])
     assert sorted((r["key"], r["cluster"]) for r in clustering.average_linkage(rows, 0.5).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 4)]
+
+
+def calls(monkeypatch):
+    seen, best = [], clustering.best_matches
+    monkeypatch.setattr(clustering, "best_matches", lambda *args, **kwargs: seen.append(1) or best(*args, **kwargs))
+    return seen
+
+
+def test_average_linkage_takes_equal_vectors_as_one(spark, monkeypatch):
+    seen = calls(monkeypatch)
+    v = unit(np.random.default_rng(1).normal(size=(3, 4)))
+    rows = [("g", 10 * i + j, v[i].tolist()) for i in range(3) for j in range(9)] + [("h", 100, [0.0] * 4), ("h", 101, [0.0] * 4), (None, 102, v[0].tolist()), (None, 103, v[0].tolist())]
+    got = {r["key"]: r["cluster"] for r in clustering.average_linkage(frame(spark, rows), 0.99).collect()}
+    assert got == {k: (k // 10 * 10 if g == "g" else k) for g, k, _ in rows}
+    assert len(seen) == 1
+
+
+@pytest.mark.parametrize("most", [24, 4_096])
+def test_average_linkage_of_a_crowd_takes_few_rounds(spark, monkeypatch, most):
+    seen = calls(monkeypatch)
+    rng = np.random.default_rng(3)
+    middle = unit(rng.normal(size=8))
+    v = np.concatenate([unit(middle + 0.03 * rng.normal(size=(70, 8))), unit(rng.normal(size=(30, 8)))])
+    rows = [("crowd", i, x.tolist()) for i, x in enumerate(v)] + [("few", 200 + i, x.tolist()) for i, x in enumerate(v[60:80])]
+    got = clustering.average_linkage(frame(spark, rows), 0.4, most).collect()
+    for g, base in (("crowd", 0), ("few", 200)):
+        own = np.array([x for h, _, x in rows if h == g])
+        found = {}
+        for r in got:
+            if r["grp"] == g:
+                found.setdefault(r["cluster"], set()).add(r["key"])
+        assert {frozenset(x) for x in found.values()} == {frozenset(base + i for i in x) for x in plain_linkage(own, 0.4)}
+        assert all(min(x) == c for c, x in found.items())
+    # joining only each other's best takes 23 rounds
+    assert len(seen) <= (0 if most > 100 else 9)
