@@ -7,10 +7,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.vectors import norm, unit
-from corpusloom.operators.partners import ROOM, best_matches, blocked, pivots, placed, runs_of
+from corpusloom.operators.partners import ROOM, best_matches, blocked, near_lists, pivots, placed, runs_of
 from corpusloom.operators.ranks import ranked
 from corpusloom.session import saved
 
@@ -19,6 +19,8 @@ LINK, KEEP, LINK_SPANS = 0.70, 0.45, 0.55
 LONG_SPAN, LEAST_SPEECH = 2.0, 60.0
 #: Clusters of a group that a task may hold with all their cosines (128 MB); rows of a block, steps of a cosine.
 MOST, WIDE, STEPS = 4_096, 4_096, 65_536
+#: Centroids in the list of a span that may go to another cluster, at first.
+LIST = 16
 
 
 def _linked(key: np.ndarray, total: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
@@ -199,38 +201,114 @@ def named_clusters(clusters: DataFrame) -> DataFrame:
     return out.select("grp", "key", "cluster", F.concat(F.lit("tag:"), F.col("grp").cast("string"), F.lit(":"), last).alias("speaker"))
 
 
+def _ticks() -> Column:
+    """Seconds in whole 10^-9, so that sums depend on no order."""
+    return F.round(F.col("seconds") * 1e9).cast("long")
+
+
 def _seconds(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("grp", "cluster").agg(F.sum("seconds").alias("total"))
+    return spans.groupBy("grp", "cluster").agg(F.sum(_ticks()).alias("total"))
+
+
+def _moves(rows: DataFrame) -> DataFrame:
+    """(grp, key, goal, time, host, ticks, ends) of spans (grp, key, ticks, cluster, time, goals): where each one goes.
 
+    A cluster is dissolved at (its time, itself), never if the time is null. A span goes to the first of its goals that is
+    there. A row with ``ends`` says where it stays (null: nowhere). The others say when, with the time and the cluster
+    it leaves, it goes to a goal, or would if that goal were still there.
+    """
 
-def dissolved(spans: DataFrame, centroids: DataFrame, keep: float = KEEP, least_speech: float = LEAST_SPEECH) -> DataFrame:
+    def one(cluster, time, goals):
+        found, host, done = [], cluster, 0
+        while time is not None:
+            at = next((i for i, (goal, end) in enumerate(goals) if end is None or (end, goal) > (time, host)), len(goals))
+            found += [(goal, time, host) for goal, _ in goals[done : at + 1] if goal != cluster]
+            done = max(done, at + 1)
+            if at == len(goals):
+                return found, None
+            host, time = goals[at]
+        return found, host
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, ends = [], []
+            for i, (cluster, time, goals) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)), strict=True)):
+                found, host = one(cluster, time, [(g["goal"], g["end"]) for g in goals])
+                out += [(i, *x, False) for x in found] + [(i, host, None, None, True)]
+            at = pa.array([x[0] for x in out], pa.int64())
+            grp, key, ticks = (batch.column(c).take(at) for c in range(3))
+            goal, time, host = (pa.array([x[c] for x in out], pa.int64()) for c in (1, 2, 3))
+            yield pa.RecordBatch.from_arrays([grp, key, goal, time, host, ticks, pa.array([x[4] for x in out], pa.bool_())], names=["grp", "key", "goal", "time", "host", "ticks", "ends"])
+
+    return rows.select("grp", "key", "ticks", "cluster", "time", "goals").mapInArrow(run, f"grp {dict(rows.dtypes)['grp']}, key long, goal long, time long, host long, ticks long, ends boolean")
+
+
+def _times(moves: DataFrame, small: DataFrame, bound: int) -> DataFrame:
+    """(grp, cluster, time) of the clusters (grp, cluster, base, alone): when each one is dissolved, if others are when ``moves`` says.
+
+    That is as soon as its seconds are less than the next time at which it gets some. A null time is never.
+    """
+    got = moves.filter("NOT ends").groupBy("grp", F.col("goal").alias("cluster"), "time", "host").agg(F.sum("ticks").alias("_t"))
+    by = Window.partitionBy("grp", "cluster").orderBy("time", "host").rowsBetween(Window.unboundedPreceding, -1)
+    got = got.join(small, ["grp", "cluster"]).withColumn("_before", F.col("base") + F.coalesce(F.sum("_t").over(by), F.lit(0)))
+    stop = (F.col("time") > F.col("_before")) | ((F.col("time") == F.col("_before")) & (F.col("host") > F.col("cluster")))
+    ends = got.groupBy("grp", "cluster").agg(F.coalesce(F.min(F.when(stop, F.col("_before"))), F.first("base") + F.sum("_t")).alias("_end"))
+    out = small.join(ends, ["grp", "cluster"], "left").withColumn("_end", F.coalesce("_end", "base"))
+    out = out.withColumn("time", F.when(F.col("_end") < bound, F.col("_end"))).select("grp", "cluster", "time", "alone")
+    # the last cluster of a group stays
+    last = out.filter("alone").groupBy("grp").agg(F.max(F.struct("time", "cluster"))["cluster"].alias("_last"), F.count_if(F.col("time").isNull()).alias("_stay")).filter("_stay = 0")
+    out = out.join(last.select("grp", "_last"), "grp", "left")
+    return out.select("grp", "cluster", F.when(F.col("_last").isNull() | (F.col("_last") != F.col("cluster")), F.col("time")).alias("time"))
+
+
+def dissolved(spans: DataFrame, centroids: DataFrame, keep: float = KEEP, least_speech: float = LEAST_SPEECH, most: int = LIST) -> DataFrame:
     """``spans`` (grp, key, v, seconds, cluster) after clusters of too little speech are dissolved, the smallest first.
 
     A span of a dissolved cluster goes to the nearest centroid that is left, if its cosine reaches ``keep``, else its
-    ``cluster`` becomes null. The last cluster of a group stays. ``centroids`` (grp, cluster, v) do not move. A round
-    dissolves the smallest clusters of every group, as many as none of their spans goes to: so the order is that of one
-    at a time. Ties go to the smaller cluster.
+    ``cluster`` becomes null. The last cluster of a group stays. ``centroids`` (grp, cluster, v) do not move. Ties go to
+    the smaller cluster. Seconds count in whole 10^-9.
+
+    Spans of small clusters are compared with the centroids once, for lists of the ``most`` nearest; where a span needs
+    more, lists get longer. A cluster is dissolved at the seconds that it has then, so what it gets later counts for
+    nothing. Rounds find these times from those of the round before until none changes. The earliest time not yet right
+    gets right in each round, and many others do at once; so times that do not change are those of one at a time.
     """
     spark = spans.sparkSession
     now = saved(spans.select("grp", "key", "v", "seconds", "cluster"), spark)
-    by = Window.partitionBy("grp").orderBy("total", "cluster")
+    bound = round(least_speech * 1e9)
+    total = saved(_seconds(now.filter("cluster IS NOT NULL")), spark)
+    large = total.filter(F.col("total") >= bound)
+    small = total.filter(F.col("total") < bound).select("grp", "cluster", F.col("total").alias("base"))
+    small = saved(small.join(large.select("grp").distinct().withColumn("_large", F.lit(True)), "grp", "left").withColumn("alone", F.col("_large").isNull()).drop("_large"), spark)
+    if not small.limit(1).count():
+        return now
+    own = saved(now.join(small.select("grp", "cluster"), ["grp", "cluster"]).select("grp", F.col("key").cast("long").alias("key"), "v", _ticks().alias("ticks"), F.col("cluster").cast("long").alias("cluster")), spark)
+    goals = centroids.join(total.select("grp", "cluster"), ["grp", "cluster"]).select("grp", F.col("cluster").alias("key"), "v")
+    known = large.select("grp", F.col("cluster").alias("goal"), F.lit(True).alias("_large"))
     while True:
-        alive = _seconds(now.filter("cluster IS NOT NULL"))
-        placed = alive.withColumn("place", F.row_number().over(by)).withColumn("_of", F.count("*").over(Window.partitionBy("grp")))
-        placed = saved(placed.withColumn("small", (F.col("total") < least_speech) & (F.col("place") < F.col("_of"))), spark)
-        small = placed.filter("small").select("grp", "cluster", F.col("place").alias("above"))
-        if not small.limit(1).count():
-            return now
-        going = now.join(small, ["grp", "cluster"]).select("grp", "key", "v", "above")
-        staying = centroids.join(placed.select("grp", "cluster", "place"), ["grp", "cluster"]).select("grp", F.col("cluster").alias("key"), "v", "place")
-        goal = best_matches(going, staying, keep).select("grp", "key", F.col("partner").alias("_to"))
-        goal = goal.join(placed.select("grp", F.col("cluster").alias("_to"), F.col("place").alias("_place"), F.col("small").alias("_small")), ["grp", "_to"])
-        goal = saved(goal, spark)
-        # the first small cluster that a span of a smaller one goes to, and all after it, wait
-        wait = goal.filter("_small").groupBy("grp").agg(F.min("_place").alias("_wait"))
-        out = small.join(wait, "grp", "left").filter("above < coalesce(_wait, above + 1)").select("grp", "cluster", F.lit(True).alias("_out"))
-        moved = now.join(out, ["grp", "cluster"], "left").join(goal.select("grp", "key", "_to"), ["grp", "key"], "left")
-        now = saved(moved.select("grp", "key", "v", "seconds", F.when(F.col("_out"), F.col("_to")).otherwise(F.col("cluster")).alias("cluster")), spark)
+        # no list goes on after a cluster that always stays
+        lists = near_lists(own, goals, keep, most).select("grp", "key", (F.size("partners") == most).alias("open"), F.posexplode("partners").alias("place", "goal"))
+        lists = lists.join(known, ["grp", "goal"], "left").withColumn("_end", F.min(F.when(F.col("_large"), F.col("place"))).over(Window.partitionBy("grp", "key")))
+        lists = lists.filter(F.col("_end").isNull() | (F.col("place") <= F.col("_end"))).withColumn("open", F.col("open") & F.col("_end").isNull())
+        steps = saved(own.drop("v").join(lists.select("grp", "key", "open", "place", "goal"), ["grp", "key"], "left"), spark)
+        times = small.select("grp", "cluster", F.col("base").alias("time"))
+        while True:
+            end = times.select("grp", F.col("cluster").alias("goal"), F.col("time").alias("end"))
+            each = steps.join(times, ["grp", "cluster"]).join(end, ["grp", "goal"], "left")
+            goal = F.collect_list(F.when(F.col("goal").isNotNull(), F.struct("place", "goal", "end")))
+            rows = each.groupBy("grp", "key", "ticks", "cluster", "time").agg(F.sort_array(goal).alias("goals"))
+            moves = saved(_moves(rows), spark)
+            after = saved(_times(moves, small, bound), spark)
+            if not after.join(times.withColumnRenamed("time", "_was"), ["grp", "cluster"]).filter(~F.col("time").eqNullSafe(F.col("_was"))).limit(1).count():
+                break
+            times = after
+        stays = moves.filter("ends").select("grp", "key", F.col("goal").alias("_to"))
+        short = steps.filter("open").select("grp", "key").join(stays.filter("_to IS NULL"), ["grp", "key"])
+        if not short.limit(1).count():
+            break
+        most *= 8
+    moved = now.join(stays.withColumn("_own", F.lit(True)), ["grp", "key"], "left")
+    return moved.select("grp", "key", "v", "seconds", F.when(F.col("_own"), F.col("_to")).otherwise(F.col("cluster")).alias("cluster"))
 
 
 def centroids(spans: DataFrame, size: int) -> DataFrame:

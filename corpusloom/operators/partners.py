@@ -193,6 +193,34 @@ def best_matches(left: DataFrame, right: DataFrame, least: float, apart: bool =
     return found.groupBy("grp", "key").agg(F.max_by("partner", F.struct("cosine", -F.col("partner"))).alias("partner"), F.max("cosine").alias("cosine"))
 
 
+def near_lists(left: DataFrame, right: DataFrame, least: float, most: int, block: int = BLOCK) -> DataFrame:
+    """(grp, key, partners): of each row of ``left`` those of ``right`` in its group that reach ``least``, the nearest ``most``.
+
+    Nearest first, ties to the smaller key; rows that reach ``least`` with none have no row here.
+    """
+    around = saved(pivots(right), left.sparkSession)
+    left, right = (rows.select("grp", F.col("key").cast("long").alias("key"), "v", F.lit(0).cast("long").alias("mark")) for rows in (left, right))
+
+    def nearest(key, _, v, other, __, w):
+        parts = []
+        for start in range(0, len(key), SLICE):
+            score = v[start : start + SLICE] @ w.T
+            bound = np.partition(score, -most, axis=1)[:, -most] if score.shape[1] > most else np.full(len(score), -np.inf)
+            i, j = np.nonzero(score >= np.maximum(bound, least)[:, None] - ROOM)
+            exact = (v[start + i] * w[j]).sum(1)
+            order = np.lexsort((other[j], -exact, i))
+            order = order[exact[order] >= least]
+            i, j, exact = i[order], j[order], exact[order]
+            # a row's place in its list
+            first = np.arange(len(i)) - np.searchsorted(i, i) < most
+            parts.append((start + i[first], j[first], exact[first]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    found = _tiles(left, right, around, least, block, None, nearest, f"grp {dict(left.dtypes)['grp']}, key long, partner long, cosine double")
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("_c"), "partner")))
+    return found.groupBy("grp", "key").agg(F.slice(F.transform(ordered, lambda x: x["partner"]), 1, most).alias("partners"))
+
+
 def near_pairs(rows: DataFrame, least: float, block: int = BLOCK, report=None) -> DataFrame:
     """(grp, key, partner, cosine): every pair of rows (grp, key, v) of a group whose inner product reaches ``least``, once."""
     around = saved(pivots(rows), rows.sparkSession)

@@ -187,3 +187,24 @@ def test_average_linkage_of_a_crowd_takes_few_rounds(spark, monkeypatch, most):
         assert all(min(x) == c for c, x in found.items())
     # joining only each other's best takes 23 rounds
     assert len(seen) <= (0 if most > 100 else 9)
+
+
+@pytest.mark.parametrize("most", [1, 16])
+def test_dissolving_compares_spans_once_and_sums_exactly(spark, monkeypatch, most):
+    seen, tiles = [], partners._tiles
+    monkeypatch.setattr(partners, "_tiles", lambda *args: seen.append(1) or tiles(*args))
+    rng = np.random.default_rng(5)
+    centres = {c: unit(rng.normal(size=4)) for c in range(25)}
+    spans = [(k, unit(centres[k % 25] + 0.6 * rng.normal(size=4)), float(rng.integers(20, 60)), k % 25) for k in range(150)]
+    expected = plain_dissolved(spans, centres, 0.45, 320.0)
+    # ten tenths are a second; a group whose last cluster stays, whatever it says
+    spans += [(200 + k, centres[0], 0.1, 0) for k in range(10)] + [(300, centres[1], 0.1, 1), (301, centres[2], 0.2, 2), (302, -centres[2], 0.1, 1)]
+    grp = lambda k: "ten" if 200 <= k < 300 else "last" if k >= 300 else "g"
+    rows = [(grp(k), k, v.tolist(), s if k >= 200 else s / 320, c) for k, v, s, c in spans]
+    heads = [(g, c, v.tolist()) for g in ("g", "ten", "last") for c, v in centres.items()]
+    heads = spark.createDataFrame(heads, "grp string, cluster long, v array<double>")
+    got = clustering.dissolved(frame(spark, rows, ", seconds double, cluster long"), heads, 0.45, 1.0, **({"most": most} if most != 16 else {})).collect()
+    expected |= {200 + k: 0 for k in range(10)} | {300: 2 if np.dot(centres[1], centres[2]) >= 0.45 else None, 301: 2, 302: None}
+    assert {r["key"]: r["cluster"] for r in got} == expected
+    assert len({c for c in expected.values()}) > 2
+    assert len(seen) == 1 if most == 16 else len(seen) < 4
