@@ -18,7 +18,7 @@ from corpusloom.session import saved
 LINK, KEEP, LINK_SPANS = 0.70, 0.45, 0.55
 LONG_SPAN, LEAST_SPEECH = 2.0, 60.0
 #: Clusters of a group that a task may hold with all their cosines (128 MB); rows of a block, steps of a cosine.
-MOST, WIDE, STEPS = 4_096, 4_096, 65_536
+MOST, WIDE, STEPS = 4_096, 16_384, 65_536
 #: Centroids in the list of a span that may go to another cluster, at first.
 LIST = 16
 
